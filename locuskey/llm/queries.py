@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from locuskey.llm.embedding_dedup import near_vectors
+from locuskey.llm.jaccard_join import similar_documents
+from locuskey.llm.packing import pack
+from locuskey.llm.sharding import place
 from locuskey.llm.substring_dedup import remove_repeated_windows
+from locuskey.llm.warc import read_archives, resolve_revisits, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,7 +24,38 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(docs, width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return resolve_revisits(read_archives(index))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2, with_ids=False)
+
+
+#: The shards of op5_sharding.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_packing": op4_packing,
+    "op5_sharding": op5_sharding,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
