@@ -2,10 +2,11 @@
 
 Jaccard distance is a metric. In a text corpus nearly all distances are 1, so the first pivots are
 single shingles: a document belongs to the regions of its rarest shingles, as many as a partner at
-distance r or less cannot all miss. Inside a region a document is the next pivot. Members within r
-of it are linked through it; the others ("far") stay, with those linked members whose distance to
-the pivot is within r of a far one's (triangle inequality), and form the next region, with a far
-document as pivot, and so on until a region is small enough to be joined in one task.
+distance r or less cannot all miss. Inside a region a document is the next pivot: all members are
+measured against it, those within r are its cell and in one component with it. Then only pairs of
+different components matter, and of the largest one only members whose distance to the pivot is
+within r of another's (triangle inequality). What is left is the next region, with a document outside
+the largest component as pivot, and so on until those outside fit one task, where they are compared.
 
 Equal sets are one class from the start, and regions with the same members are joined once, so the
 work follows the number of different texts and not the square of a group's size.
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locuskey.llm.components import components
 from locuskey.llm.scratch import Tables, blocks_for, send_package
@@ -24,7 +26,7 @@ from locuskey.llm.textkernel import Words, chunks, finalise, shingle_sets, text_
 
 #: Parquet bytes of documents in a block.
 BLOCK_BYTES = 4 << 20
-#: A region of so many members at most is joined in one task.
+#: Members outside a region's largest component that one task compares with the others, at most.
 LEAF = 128
 #: Levels of pivots; regions that are still larger then are joined in tiles of LEAF by LEAF.
 DEPTH = 6
@@ -192,38 +194,58 @@ def _leaf(least: int):
     return run
 
 
-def _once(members: DataFrame) -> DataFrame:
-    """Of regions with the same members, one; with its size and its next pivot. Regions of one group have nothing to find."""
-    h = F.xxhash64("class", "group", "far")
-    shape = members.groupBy("region").agg(
+def _once(members: DataFrame, first: bool) -> DataFrame:
+    """Of regions with the same members, one: region, size, pivot, major (the largest group), n_minor (members of other groups).
+
+    Regions of one group have nothing to find. At first every member is its own group.
+    """
+    h = F.xxhash64("class", "group")
+    of = members
+    if first:
+        of = of.withColumn("major", F.lit(None).cast("binary"))
+    else:
+        counts = of.groupBy("region", "group").agg(F.count("*").alias("n"))
+        major = counts.groupBy("region").agg(F.max(F.struct("n", "group")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
+        of = of.join(major.select("region", F.col("m.group").alias("major")), "region")
+    minor = F.col("major").isNull() | (F.col("group") != F.col("major"))
+    shape = of.groupBy("region").agg(
         F.count("*").alias("size"),
-        F.min("group").alias("low"),
-        F.max("group").alias("high"),
-        F.min(F.when(F.col("far"), F.col("class"))).alias("pivot"),
+        F.count_if(minor).alias("n_minor"),
+        F.min(F.when(minor, F.col("class"))).alias("pivot"),
+        F.first("major").alias("major"),
+        F.max("class").alias("last"),
         F.bit_xor(h).alias("x"),
         F.bit_xor(F.xxhash64(h, F.lit(1), "class")).alias("y"),
     )
-    same = ["size", "low", "high", "pivot", "x", "y"]
-    return shape.where("low <> high").groupBy(*same).agg(F.min("region").alias("region")).select("region", "size", "pivot")
+    same = ["size", "n_minor", "pivot", "major", "last", "x", "y"]
+    return shape.where("size > 1").groupBy(*same).agg(F.min("region").alias("region")).select("region", "size", "n_minor", "pivot", "major")
 
 
 def _join_regions(members: DataFrame, sets: DataFrame, tables: Tables, least: int, leaf: int, depth: int) -> DataFrame:
-    """Links (a, b) between classes; whatever is connected by links inside regions is connected by these.
+    """(node, root): the components of all links between classes that share a region.
 
-    A member's group is the pivot that it is linked to, itself while it is ``far`` from all pivots so
-    far; pairs of different groups are still to be found.
+    A member's group is the component that it is known to be in; only pairs of different groups are still
+    to be found. Each level measures a region's members against a pivot, then groups grow, regions of one
+    group are done, and of a region's largest group only those stay that can be within the radius of another's.
     """
     radius = 1 - least / 100
-    links = []
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+
+    def linked(more: DataFrame) -> DataFrame:
+        """Old and new components as links; few rows for each class."""
+        return more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+
     for level in range(depth + 1):
-        state = tables.write(members.join(_once(members), "region"), "regions")
-        in_one_task = F.col("pivot").isNull() | F.lit(level == depth) | (F.lit(level > 0) & (F.col("size") <= leaf))
+        state = tables.write(members.join(_once(members, level == 0), "region"), "regions")
+        in_one_task = F.lit(level > 0) & (F.lit(level == depth) | (F.col("n_minor") <= leaf))
+        large = state.where(~in_one_task)
         if level:
-            links.append(_join_leaves(state.where(in_one_task), sets, tables, least, leaf))
-        state = state.where(~in_one_task)
-        if state.isEmpty():
+            leaves = state.where(in_one_task)
+            links = _join_leaves(leaves, sets, tables, least, leaf) if not leaves.isEmpty() else None
+        if large.isEmpty():
             break
-        pairs = state.where("class <> pivot").select("pivot", "class").distinct()
+        pairs = large.where("class <> pivot").select("pivot", "class").distinct()
         measured = (
             pairs.join(sets.select("class", F.col("hashes").alias("_a")), "class")
             .join(sets.select(F.col("class").alias("pivot"), F.col("hashes").alias("_b")), "pivot")
@@ -231,53 +253,49 @@ def _join_regions(members: DataFrame, sets: DataFrame, tables: Tables, least: in
             .select("pivot", "class", F.expr(f"100 * both >= {least} * (sum - both)").alias("near"), (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("d"))
         )
         measured = tables.write(measured, "distances")
-        links.append(measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
-        rest = state.join(measured, ["pivot", "class"]).select(
-            "region",
-            "class",
-            "pivot",
-            "d",
-            F.when(F.col("far") & F.col("near"), F.col("pivot")).otherwise(F.col("group")).alias("group"),
-            (F.col("far") & ~F.col("near")).alias("far"),
-        )
-        rest = tables.write(rest, "rest")
-        window = rest.where("group <> pivot").groupBy("region").agg(F.min("d").alias("d_other"))
-        # A member of the pivot's cell is of no more use if all others are more than a radius farther from the pivot.
-        members = rest.join(window, "region").where((F.col("group") != F.col("pivot")) | (F.col("d") + radius + 1e-9 >= F.col("d_other"))).select("region", "class", "group", "far")
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
+        near = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+        roots = components(linked(near if links is None else near.unionByName(links)), tables)
+        links = None
+        grown = large.drop("group", "major").join(measured, ["pivot", "class"]).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+        grown = tables.write(grown.select("region", "class", "d", F.coalesce("root", "class").alias("group")), "grown")
+        counts = grown.groupBy("region", "group").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        major = counts.groupBy("region").agg(F.max(F.struct("n", "group")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("region", F.col("m.group").alias("major"))
+        others = counts.join(major, "region").where(F.col("group") != F.col("major")).groupBy("region", "major").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        in_window = (F.col("group") != F.col("major")) | ((F.col("d") + radius + 1e-9 >= F.col("low")) & (F.col("d") - radius - 1e-9 <= F.col("high")))
+        members = grown.join(others, "region").where(in_window).select("region", "class", "group")
+    if links is not None:
+        roots = components(linked(links), tables)
+    if roots is None:
+        roots = components(sets.select(F.col("class").alias("a"), F.col("class").alias("b")), tables)
+    return roots
 
 
 def _join_leaves(state: DataFrame, sets: DataFrame, tables: Tables, least: int, leaf: int) -> DataFrame:
-    """Regions in tiles of ``leaf`` by ``leaf`` members; tiles are dealt over lots of bounded size."""
-    n = F.ceil(F.col("size") / leaf).cast("int")
-    here = lambda salt: F.pmod(F.xxhash64("class", F.lit(salt)), n.cast("long"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    """Links of regions in tiles of ``leaf`` by ``leaf`` members, those outside the largest group against all; tiles are dealt over lots of bounded size."""
+    n_probe, n_base = (F.ceil(F.col(c) / leaf).cast("long") for c in ("n_minor", "size"))
+    here = lambda salt, n: F.pmod(F.xxhash64("class", F.lit(salt)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     both = ["region", "class", "group"]
-    probes = state.select(*both, here(1).alias("_i"), every.alias("_j"), F.lit(True).alias("_probe"), F.lit(False).alias("_base"))
-    bases = state.select(*both, every.alias("_i"), here(2).alias("_j"), F.lit(False).alias("_probe"), F.lit(True).alias("_base"))
+    probes = state.where("group <> major").select(*both, here(1, n_probe).alias("_i"), every(n_base).alias("_j"), F.lit(True).alias("_probe"), F.lit(False).alias("_base"))
+    bases = state.select(*both, every(n_probe).alias("_i"), here(2, n_base).alias("_j"), F.lit(False).alias("_probe"), F.lit(True).alias("_base"))
     tile = ["region", "_i", "_j"]
     rows = tables.write(probes.unionByName(bases).groupBy(*both, "_i", "_j").agg(F.max("_probe").alias("_probe"), F.max("_base").alias("_base")), "tiles")
     lots = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1000))
     full = rows.join(sets.select("class", "hashes"), "class").withColumn("_lot", F.pmod(F.xxhash64(*tile), F.lit(lots)))
-    return full.groupBy("_lot").applyInArrow(_leaf(least), "a binary, b binary")
+    return tables.write(full.groupBy("_lot").applyInArrow(_leaf(least), "a binary, b binary"), "leaf-links")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: int = 80, leaf: int = LEAF, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: its id, n_shingles, and component_id, the smallest id reachable by links, its own included.
+def _add_key(width: int):
+    def run(batches):
+        for batch in batches:
+            keys = [_class_key(s) or None for s in _sets(batch.column("_text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(keys, pa.binary())], names=["_row", "_text", "class"])
 
-    Texts are lower-cased (A-Z), cut into words at ASCII white space and made sets of ``width``-word
-    shingles (a shorter text: its whole word sequence). Two documents link when 100 * |both| >=
-    ``least`` * |either|; a document without words, or with a null text, links with nothing and has
-    its own id as component. Rows are documents of their own; repeated rows link with each other.
-    A null id is never a component's id unless all the component's ids are null. Other columns are
-    not returned.
-    """
-    spark = docs.sparkSession
-    send_package(spark)
-    tables = Tables(spark)
+    return run
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, width: int, least: int, leaf: int, depth: int, block_bytes: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(_id, n, class) of every row, and (class, _first, root, component_id) of every class; both written tables."""
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     blocks = blocks_for(own, block_bytes)
     keys = tables.write(own.mapInArrow(_keys(width), f"_id {own.schema['_id'].dataType.simpleString()}, n long, class binary"), "classes")
@@ -286,13 +304,45 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     answers = sent.groupBy("_range").applyInArrow(_frequencies, "_block long, _range long, _shared binary, _df binary")
     sets = texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_prefixes(width, blocks, least), "class binary, n long, hashes array<long>, prefix array<long>")
     sets = tables.write(sets, "sets")
-    members = sets.select(F.explode("prefix").alias("region"), "class", F.col("class").alias("group"), F.lit(True).alias("far"))
-    links = _join_regions(members, sets, tables, least, leaf, depth)
-    roots = components(links, tables)
+    members = sets.select(F.explode("prefix").alias("region"), "class", F.col("class").alias("group"))
+    roots = _join_regions(members, sets, tables, least, leaf, depth)
     firsts = keys.where("n > 0").groupBy("class").agg(F.min("_id").alias("_first"))
-    labelled = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "_first", F.coalesce("root", "class").alias("root"))
-    labelled = tables.write(labelled, "labels")
-    least_id = labelled.groupBy("root").agg(F.min("_first").alias("component_id"))
-    labels = labelled.join(least_id, "root").select("class", "component_id")
-    out = keys.join(labels, "class", "left")
+    rooted = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "_first", F.coalesce("root", "class").alias("root"))
+    rooted = tables.write(rooted, "rooted")
+    least_id = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+    return keys, tables.write(rooted.join(least_id, "root"), "labels")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: int = 80, leaf: int = LEAF, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: its id, n_shingles, and component_id, the smallest id reachable by links, its own included.
+
+    Texts are lower-cased (A-Z), cut into words at ASCII white space and made sets of ``width``-word
+    shingles (a shorter text: its whole word sequence). Two documents link when 100 * |both| >=
+    ``least`` * |either|; a document without words, or with a null text, links with nothing and has
+    its own id as component. Rows are documents of their own; repeated rows link with each other.
+    A null id is never a component's id unless all the component's ids are null. Other columns are
+    not returned.
+    """
+    send_package(docs.sparkSession)
+    keys, labels = _classes(docs, id_col, text, width, least, leaf, depth, block_bytes, Tables(docs.sparkSession))
+    out = keys.join(labels.select("class", "component_id"), "class", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: int = 80, leaf: int = LEAF, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component of ``similar_documents``: that with the least id.
+
+    Rows that repeat that id with the same words count once; documents without words all stay.
+    """
+    send_package(docs.sparkSession)
+    _, labels = _classes(docs, id_col, text, width, least, leaf, depth, block_bytes, Tables(docs.sparkSession))
+    chosen = labels.where(F.col("_first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("class").alias("class"), F.first("component_id").alias("_id")).select("class", "_id")
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    kind = T.StructType([*rows.schema.fields, T.StructField("class", T.BinaryType())])
+    keyed = rows.mapInArrow(_add_key(width), kind)
+    own = F.col("_row").getField(id_col)
+    with_words = keyed.where("class is not null").withColumn("_own", own)
+    kept = with_words.join(chosen.withColumnRenamed("class", "_class"), (F.col("class") == F.col("_class")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.dropDuplicates(["class"]).select("_row", "_text").unionByName(keyed.where("class is null").select("_row", "_text"))
+    return kept.select(*[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
