@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from locuskey.llm import langid, quality
 from locuskey.llm.embedding_dedup import near_vectors
 from locuskey.llm.jaccard_join import similar_documents
 from locuskey.llm.packing import pack
@@ -29,6 +30,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_archives(index))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,15 +53,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.label(docs.drop("lang"), langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
