@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from locuskey.llm import langid, quality
+from locuskey.llm import bm25, langid, quality, sentencepiece_lattice
 from locuskey.llm.embedding_dedup import near_vectors
 from locuskey.llm.jaccard_join import similar_documents
 from locuskey.llm.packing import pack
@@ -53,6 +53,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.label(docs.drop("lang"), langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
@@ -68,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op6_exact_topk_search": op6_exact_topk_search,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,

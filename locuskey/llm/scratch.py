@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Estimates from this size on are no estimates.
+_UNKNOWN = 1 << 52
 
 
 def folder(spark: SparkSession) -> str:
@@ -61,9 +65,16 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def blocks_for(df: DataFrame, block_bytes: int) -> int:
-    """A block count that grows with the input, two for each shuffle partition at least."""
+    """A block count that grows with the input, two for each shuffle partition at least.
+
+    Where Spark does not know a frame's size, as of rows from the driver or from a join, its texts are measured.
+    """
     least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, -(-plan_bytes(df) // block_bytes)), 1 << 22))
+    size = plan_bytes(df)
+    if size >= _UNKNOWN:
+        texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        size = sum(df.agg(*texts).first()) if texts else 0
+    return int(max(least, -(-size // block_bytes)))
 
 
 _sent: set[str] = set()

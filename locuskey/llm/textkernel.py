@@ -81,15 +81,25 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         first = last
 
 
+def spaces_but(others: bytes) -> np.ndarray:
+    """Which bytes end words, if ``others`` of the usual ones do not."""
+    mask = _is_space.copy()
+    mask[list(others)] = False
+    return mask
+
+
 class Words:
-    """Words of some rows: byte positions, hashes, and each row's first word (``first`` has a row more)."""
+    """Words of some rows: byte positions, hashes, and each row's first word (``first`` has a row more).
+
+    With ``gaps`` a word begins where the one before it ends, and what follows a row's last word is one more.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _is_space, gaps: bool = False):
         self.base = int(offsets[0])
         self.bytes = data[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
         b, n = self.bytes, len(self.bytes)
-        inside = ~_is_space[b]
+        inside = ~spaces[b]
         begins, ends = inside.copy(), inside.copy()
         if n:
             edge = np.zeros(n + 1, bool)
@@ -97,6 +107,9 @@ class Words:
             begins[1:] &= ~inside[:-1] | edge[1:n]
             ends[:-1] &= ~inside[1:] | edge[1:n]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if gaps:
+            bounds = np.unique(np.concatenate([self.offsets, self.ends]))
+            self.starts, self.ends = bounds[:-1], bounds[1:]
         self.first = np.searchsorted(self.starts, self.offsets)
         self.hashes = self._hash(_lower if lower else _plain)
 
