@@ -1 +1 @@
-
+"""Operators over DataFrames: annotation, collections, normalisation, HGVS conversion, audits."""

@@ -1,2 +1,576 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""The registered queries: each an operator over a whole driver table, with the same query in DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locuskey.functions import alleles, assembly, hgvs, ids
+from locuskey.functions.assembly import GENBANK, LENGTHS, NAMES, OFFSETS, REFSEQ, UCSC_NAMES, Scheme
+from locuskey.operators import annotate, audit, collection, hgvs_convert, normalize
+from locuskey.plans import inputs
+from locuskey.plans.inputs import ROW, sql_dashed, sql_hex, sql_keyed, sql_pick
+from locuskey.sources import refgenome, vcf
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+_ROW = ", ".join(ROW)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    return v.withColumn("key", ids.encode_key("ci", "pos", "ref", "alt", "asm"))
+
+
+_KEYED = f"WITH {inputs.sql_variants()}, {sql_keyed('v', 'e')}"
+
+
+# Identifiers.
+
+
+@query(f"{_KEYED} SELECT {_ROW}, {sql_dashed('key')} AS uvid FROM e")
+def encode_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).select(*ROW, ids.dashed("key").alias("uvid"))
+
+
+@query(f"{_KEYED} SELECT name AS chr, CAST(count(*) AS BIGINT) AS n, min(key) AS first_key, max(key) AS last_key FROM e GROUP BY name")
+def encode_count_by_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).groupBy(F.col("name").alias("chr")).agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+@query(f"{_KEYED} SELECT {_ROW}, key FROM e WHERE k = 5")
+def encode_length_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).where("k = 5").select(*ROW, "key")
+
+
+@query(f"{_KEYED} SELECT {_ROW}, rc AS ref_code, ac AS alt_code FROM e")
+def allele_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    return v.select(*ROW, alleles.encode_allele("ref").alias("ref_code"), alleles.encode_allele("alt").alias("alt_code"))
+
+
+@query(f"SELECT doc_id, {inputs.sql_fingerprint('left(text, 200)')} AS fingerprint FROM documents WHERE text IS NOT NULL AND regexp_full_match(left(text, 200), '(?s)[ -~\\s]*')".replace("left(text, 200)", "text"))
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.read(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"(?s)^[ -~\s]*$"))
+    return docs.select("doc_id", alleles.fingerprint("text").alias("fingerprint"))
+
+
+@query(
+    f"""{_KEYED} SELECT {_ROW}, name AS chr, pos, CASE WHEN rc >> 45 = 0 THEN CASE WHEN rc = 0 THEN '' ELSE upper(ref) END ELSE repeat('N', length(ref)) END AS ref,
+    CASE WHEN ac >> 45 = 0 THEN CASE WHEN ac = 0 THEN '' ELSE upper(alt) END ELSE repeat('N', length(alt)) END AS alt,
+    CAST(CASE WHEN rc = 0 THEN 0 ELSE length(ref) END AS BIGINT) AS ref_len, CAST(CASE WHEN ac = 0 THEN 0 ELSE length(alt) END AS BIGINT) AS alt_len,
+    rc >> 45 = 0 AS ref_is_exact, ac >> 45 = 0 AS alt_is_exact, CASE WHEN rc >> 45 = 1 THEN rc & 131071 END AS ref_fingerprint, CASE WHEN ac >> 45 = 1 THEN ac & 131071 END AS alt_fingerprint,
+    ['GRCh37', 'GRCh38'][asm + 1] AS assembly FROM e"""
+)
+def decode_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _keyed(spark, sf_dir).select(*ROW, ids.decode("key").alias("d")).select(*ROW, "d.*")
+    return d.withColumns({c: F.col(c).cast("long") for c in ("ref_len", "alt_len", "ref_fingerprint", "alt_fingerprint")})
+
+
+_TEXTS = "(CASE l_linenumber % 5 WHEN 0 THEN upper({d}) WHEN 1 THEN 'id:' || {k} WHEN 2 THEN left({k}, 9) WHEN 3 THEN {k} || '0' ELSE 'xyz' END)"
+
+
+@query(
+    f"""{_KEYED}, t AS (SELECT {_ROW}, lower(regexp_replace({_TEXTS.format(d=sql_dashed('key'), k='key')}, '[^0-9A-Fa-f]', '', 'g')) AS h FROM e)
+    SELECT {_ROW}, CASE WHEN length(h) BETWEEN 1 AND 32 THEN lpad(h, 32, '0') END AS parsed FROM t"""
+)
+def hex_lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed(spark, sf_dir).withColumn("dashed", ids.dashed("key"))
+    return k.withColumn("t", F.expr(_TEXTS.format(d="dashed", k="key"))).select(*ROW, ids.parse_key("t").alias("parsed"))
+
+
+_UUID = f"""u AS (SELECT {_ROW}, key, sha1(unhex('{ids.NAMESPACE.hex}' || key)) AS h FROM e),
+    u5 AS (SELECT {_ROW}, key, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid FROM u)"""
+
+
+@query(f"{_KEYED}, {_UUID} SELECT {_ROW}, uuid FROM u5")
+def uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).select(*ROW, ids.uuid5("key").alias("uuid"))
+
+
+@query(
+    f"""WITH {inputs.sql_variants()}, b AS (SELECT {_ROW}, {inputs.sql_linear('ci', 'pos', 'asm')} AS lo, {inputs.sql_linear('ci', 'pos + 1000', 'asm')} AS hi, CAST(asm AS BIGINT) << 30 AS a FROM v)
+    SELECT {_ROW}, CASE WHEN hi IS NOT NULL THEN {sql_hex('lo')} || {sql_hex('a')} || '0000000000000000' END AS low_key,
+    CASE WHEN hi IS NOT NULL THEN {sql_hex('hi')} || {sql_hex('a | 1073741823')} || 'ffffffffffffffff' END AS high_key FROM b"""
+)
+def region_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    low, high = ids.region_bounds_cols("ci", "pos", F.col("pos") + 1000, "asm")
+    return v.select(*ROW, low.alias("low_key"), high.alias("high_key"))
+
+
+@query(f"{_KEYED} SELECT {_ROW}, key FROM e ORDER BY key")
+def genomic_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).orderBy(F.unhex("key")).select(*ROW, "key")
+
+
+@query(f"""{_KEYED} SELECT {_ROW}, CASE WHEN rc >> 45 = 0 AND rc <> 0 THEN rc & 1099511627775 ELSE 0 END AS digits, CASE WHEN rc >> 45 = 0 AND rc <> 0 THEN upper(ref) ELSE '' END AS bases, regexp_full_match(alt, '[ACGTacgt]*') AS alt_is_dna FROM e""")
+def base_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    short = F.when(F.length("ref") <= 20, F.col("ref")).otherwise(F.lit(""))
+    digits = F.coalesce(alleles.encode_bases(short), F.lit(0).cast("long"))
+    return v.select(*ROW, digits.alias("digits"), alleles.decode_bases(digits, F.length(short)).alias("bases"), alleles.valid_dna("alt").alias("alt_is_dna"))
+
+
+# Assemblies and contigs.
+
+
+@query(f"WITH {inputs.sql_variants()} SELECT {_ROW}, {inputs.sql_linear('ci', 'pos', 'asm')} AS linear FROM v")
+def linearise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.variants(spark, sf_dir).select(*ROW, assembly.linear_position("ci", "pos", "asm").alias("linear"))
+
+
+@query(f"WITH {inputs.sql_variants()} SELECT {_ROW}, ci AS chr_index, pos FROM v")
+def delinearise_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir).select(*ROW, assembly.linear_position("ci", "pos", "asm").alias("linear"), assembly.assembly_name("asm").alias("assembly"))
+    return assembly.delinearise_join(v).select(*ROW, "chr_index", "pos")
+
+
+@query(f"WITH {inputs.sql_variants()} SELECT {_ROW}, ci AS chr_index FROM v")
+def delinearise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    return v.select(*ROW, assembly.linear_index(assembly.linear_position("ci", "pos", "asm"), "asm").alias("chr_index"))
+
+
+_CONTIG = f"(CASE l_linenumber % 7 WHEN 0 THEN {{name}} WHEN 1 THEN 'chr' || {{name}} WHEN 2 THEN lower({{refseq}}) WHEN 3 THEN {{refseq}} WHEN 4 THEN coalesce({{genbank}}, 'CMX') WHEN 5 THEN 'CHR' || {{name}} ELSE 'scaffold' END)"
+
+
+def _contig_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    by = lambda table: F.when(F.col("asm") == 0, inputs.pick(table["GRCh37"], F.col("ci"))).otherwise(inputs.pick(table["GRCh38"], F.col("ci")))
+    v = v.withColumn("refseq", by(REFSEQ)).withColumn("genbank", by(GENBANK))
+    return v.withColumn("contig", F.expr(_CONTIG.format(name="name", refseq="refseq", genbank="genbank")))
+
+
+_SQL_CONTIG = f"WITH {inputs.sql_variants()}, q AS (SELECT *, {_CONTIG.format(name='name', refseq=sql_pick(REFSEQ, 'ci', 'asm'), genbank=sql_pick(GENBANK, 'ci', 'asm'))} AS contig FROM v)"
+_SQL_SCHEME = "CASE WHEN upper(contig) LIKE 'NC~_%' ESCAPE '~' THEN 'RefSeq' WHEN regexp_matches(upper(contig), '^CM[0-9]') THEN 'GenBank' WHEN starts_with(upper(contig), 'CHR') THEN 'Ucsc' ELSE 'Bare' END"
+
+
+@query(f"{_SQL_CONTIG} SELECT {_ROW}, {_SQL_SCHEME} AS scheme FROM q")
+def classify_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contig_text(spark, sf_dir).select(*ROW, assembly.classify_contig("contig").alias("scheme"))
+
+
+@query(f"{_SQL_CONTIG} SELECT {_ROW}, CASE WHEN contig IN ('scaffold', 'CMX') THEN NULL ELSE ci END AS chr_index FROM q")
+def resolve_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _contig_text(spark, sf_dir)
+    return q.select(*ROW, assembly.resolve_contig("contig", assembly.classify_contig("contig"), "asm").alias("chr_index"))
+
+
+@query(f"WITH {inputs.sql_variants()} SELECT {_ROW}, name AS bare, 'chr' || name AS ucsc, {sql_pick(REFSEQ, 'ci', 'asm')} AS refseq FROM v")
+def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.variants(spark, sf_dir).select(*ROW, assembly.chrom_name("ci").alias("bare"), assembly.ucsc_name("ci").alias("ucsc"), assembly.refseq_accession("ci", "asm").alias("refseq"))
+
+
+_ALIAS = "(CASE l_linenumber % 7 WHEN 0 THEN 'GRCh38' WHEN 1 THEN 'hg19' WHEN 2 THEN 'HG38' WHEN 3 THEN '37' WHEN 4 THEN '38' WHEN 5 THEN 'grch37' ELSE 'T2T' END)"
+
+
+@query(f"SELECT {_ROW}, CASE l_linenumber % 7 WHEN 6 THEN NULL WHEN 0 THEN 'GRCh38' WHEN 2 THEN 'GRCh38' WHEN 4 THEN 'GRCh38' ELSE 'GRCh37' END AS assembly FROM lineitem")
+def assembly_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.read(spark, sf_dir, "lineitem").select(*ROW)
+    return rows.select(*ROW, assembly.assembly_name(assembly.parse_assembly(F.expr(_ALIAS))).alias("assembly"))
+
+
+@query(f"WITH {inputs.sql_variants()} SELECT {_ROW}, pos * (l_linenumber % 3) BETWEEN 1 AND {sql_pick(LENGTHS, 'ci', 'asm')} AS valid FROM v")
+def validate_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    return v.select(*ROW, assembly.valid_position("ci", F.col("pos") * (F.col("l_linenumber") % 3), "asm").alias("valid"))
+
+
+@query(
+    "SELECT * FROM (SELECT unnest("
+    + str([{"assembly": a, "chr_index": i, "name": NAMES[i], "ucsc": UCSC_NAMES[i], "length": LENGTHS[a][i], "linear_offset": OFFSETS[a][i], "refseq": REFSEQ[a][i], "genbank": GENBANK[a][i] or ""} for a in LENGTHS for i in range(25)])
+    + ", recursive := true))"
+)
+def contig_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.contigs(spark).withColumn("genbank", F.coalesce("genbank", F.lit(""))).withColumns({c: F.col(c).cast("int") for c in ("chr_index",)})
+
+
+# VCF.
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.variants(inputs.vcf_lines(spark, sf_dir), Scheme.UCSC, 1)
+
+
+_VCF = f"WITH {inputs.sql_vcf()}"
+_INFO = "'{\"AF\":' || CASE k WHEN 1 THEN '[0.5,0.25]' ELSE '[0.5]' END || CASE WHEN l_orderkey % 2 = 0 THEN ',\"DB\":true' ELSE '' END || ',\"DP\":' || qty || '}'"
+
+
+@query(f"{_VCF} SELECT {_ROW}, CAST(allele AS BIGINT) AS allele, key, linear AS lin, qual, k = 1 AS multiallelic FROM s")
+def vcf_parse_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir).select(*ROW, F.col("allele").cast("long").alias("allele"), "key", "lin", F.col("qual").cast("double").alias("qual"), "multiallelic")
+
+
+_GENOTYPES = f"""{_VCF}, g AS (
+    SELECT {_ROW}, allele, key, 'S1' AS sample, CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 END AS allele1, CASE l_linenumber % 3 WHEN 0 THEN 0 ELSE 1 END AS allele2,
+           l_linenumber % 3 = 1 AS phased, qty AS dp, 99 AS gq, '{{"AD":[' || l_linenumber || ',2]}}' AS format_extra FROM s
+    UNION ALL
+    SELECT {_ROW}, allele, key, 'S2', CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 0 END, false, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 7 END, NULL, NULL FROM s)"""
+
+
+@query(f"{_GENOTYPES} SELECT {_ROW}, CAST(allele AS BIGINT) AS allele, key, sample, allele1, allele2, phased, dp, gq FROM g WHERE NOT coalesce(allele1 = 0 AND allele2 = 0, false)")
+def vcf_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sites(spark, sf_dir).withColumn("row", F.struct(*ROW))
+    g = vcf.genotypes(found, inputs.SAMPLES, inputs.FORMAT_TYPES)
+    return g.select("row.*", F.col("allele").cast("long").alias("allele"), "key", "sample", "allele1", "allele2", "phased", "dp", "gq")
+
+
+@query(f"{_GENOTYPES} SELECT {_ROW}, CAST(allele AS BIGINT) AS allele, sample, format_extra FROM g WHERE NOT coalesce(allele1 = 0 AND allele2 = 0, false)")
+def format_extra_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sites(spark, sf_dir).withColumn("row", F.struct(*ROW))
+    g = vcf.genotypes(found, inputs.SAMPLES, inputs.FORMAT_TYPES)
+    return g.select("row.*", F.col("allele").cast("long").alias("allele"), "sample", "format_extra")
+
+
+@query(f"{_GENOTYPES} SELECT {_ROW}, CAST(allele AS BIGINT) AS allele, sample, (dp * 1000) % 65536 AS dp, gq % 256 AS gq FROM g WHERE sample = 'S1' AND allele2 = 1")
+def narrowing_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.vcf_lines(spark, sf_dir).withColumn("value", F.regexp_replace("value", "\t([^\t:]*):([0-9]+):99:", "\t$1:$2000:99:"))
+    found = vcf.variants(lines, Scheme.UCSC, 1).withColumn("row", F.struct(*ROW))
+    g = vcf.genotypes(found, inputs.SAMPLES, inputs.FORMAT_TYPES, wrap=True).where("sample = 'S1' and allele2 = 1")
+    return g.select("row.*", F.col("allele").cast("long").alias("allele"), "sample", "dp", "gq")
+
+
+@query(f"{_VCF} SELECT {_ROW}, CAST(allele AS BIGINT) AS allele, {_INFO} AS info FROM s")
+def vcf_info_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir).select(*ROW, F.col("allele").cast("long").alias("allele"), vcf.info_json(F.col("info"), inputs.INFO_TYPES).alias("info"))
+
+
+@query(f"{_VCF} SELECT filter, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY filter")
+def filter_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir).groupBy("filter").agg(F.count("*").alias("n"))
+
+
+_PATHS = "'/data/' || {name} || CASE doc_id % 5 WHEN 0 THEN '.vcf.gz' WHEN 1 THEN '.vcf' WHEN 2 THEN '.bcf' WHEN 3 THEN '.gz' ELSE '.txt' END"
+
+
+@query("SELECT doc_id, source || CASE WHEN doc_id % 5 = 4 THEN '.txt' ELSE '' END AS prefix FROM documents")
+def table_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.read(spark, sf_dir, "documents").withColumn("path", F.expr(_PATHS.format(name="source")))
+    return docs.select("doc_id", vcf.table_prefix("path").alias("prefix"))
+
+
+# Annotation.
+
+
+def _annotated(use_uuid: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return annotate.annotate_lines(inputs.vcf_lines(spark, sf_dir), Scheme.UCSC, 1, use_uuid)
+
+    return run
+
+
+def _sql_ids(uuid: bool) -> str:
+    """CTE i: each line's row and new ID."""
+    h = f"sha1(unhex('{ids.NAMESPACE.hex}' || key))"
+    one = f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32]" if uuid else sql_dashed("key")
+    odd = "one IN ('.', '*') OR starts_with(one, '<')"
+    return f"i AS (SELECT rid, string_agg(CASE WHEN {odd} THEN '.' ELSE {one} END, '_' ORDER BY allele) AS id FROM s GROUP BY rid)"
+
+
+_NEW_LINE = """l.chrom || chr(9) || l.pos_at || chr(9) || coalesce(i.id, 'rs1') || chr(9) || l.ref || chr(9) || l.alts || chr(9) || CASE WHEN l.l_orderkey % 7 = 0 THEN '.' ELSE CAST(l.l_orderkey % 60 AS VARCHAR) END
+    || chr(9) || l.filter || chr(9) || 'DP=' || l.qty || CASE WHEN l.k = 1 THEN ';AF=0.5,0.25' ELSE ';AF=0.5' END || CASE WHEN l.l_orderkey % 2 = 0 THEN ';DB' ELSE '' END || chr(9) || 'GT:DP:GQ:AD' || chr(9)
+    || CASE l.l_linenumber % 3 WHEN 0 THEN '0/0' WHEN 1 THEN '0|1' ELSE './1' END || ':' || l.qty || ':99:' || l.l_linenumber || ',2' || chr(9) || CASE WHEN l.l_orderkey % 5 = 0 THEN '1' ELSE '0/0:7' END"""
+_LINES = f"SELECT {', '.join('l.' + c for c in ROW)}, {_NEW_LINE} AS line FROM l LEFT JOIN i USING (rid)"
+
+
+@query(f"{_VCF}, {_sql_ids(False)} {_LINES}")
+def annotate_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotated(False)(spark, sf_dir).select(*ROW, F.col("value").alias("line"))
+
+
+@query(f"{_VCF}, {_sql_ids(True)} {_LINES}")
+def annotate_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotated(True)(spark, sf_dir).select(*ROW, F.col("value").alias("line"))
+
+
+def _only(column: str, value: str):
+    return lambda spark, sf_dir: _annotated(False)(spark, sf_dir).where(f"{column} {value}").select(*ROW, F.split("value", "\t")[2].alias("id"))
+
+
+@query(f"{_VCF}, {_sql_ids(False)} SELECT {_ROW}, id FROM l JOIN i USING (rid) WHERE k = 1")
+def annotate_multiallelic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _only("k", "= 1")(spark, sf_dir).where("id <> 'rs1'")
+
+
+@query(f"{_VCF}, {_sql_ids(False)} SELECT {_ROW}, id FROM l JOIN i USING (rid) WHERE k = 5")
+def annotate_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _only("k", "= 5")(spark, sf_dir).where("id <> 'rs1'")
+
+
+@query(f"{_VCF} SELECT {_ROW}, chrom || chr(9) || pos_at || chr(9) || 'rs1' AS head FROM l WHERE chrom = 'chrUn' OR pos_at = 0 UNION ALL SELECT {_ROW}, 'broken' || chr(9) || k FROM l WHERE l_orderkey % 11 = 0")
+def annotate_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.vcf_lines(spark, sf_dir)
+    same = annotate.annotate_lines(lines, Scheme.UCSC, 1).where(F.split("value", "\t")[2] == "rs1")
+    short = annotate.annotate_lines(lines.where("l_orderkey % 11 = 0").withColumn("value", F.concat(F.lit("broken\t"), F.col("k").cast("string"))), Scheme.UCSC, 1)
+    return same.select(*ROW, F.substring_index("value", "\t", 3).alias("head")).unionByName(short.select(*ROW, F.col("value").alias("head")))
+
+
+@query(f"{_VCF} SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (WHERE chrom = 'chrUn' OR pos_at = 0) AS BIGINT) AS unchanged FROM l")
+def record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _annotated(False)(spark, sf_dir)
+    return new.agg(F.count("*").alias("records"), F.count_if(F.split("value", "\t")[2] == "rs1").alias("unchanged"))
+
+
+# Collections.
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir).withColumn("source", F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")))
+
+
+@query(
+    f"""{_KEYED}, w1 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_ROW}) AS rn FROM e WHERE l_orderkey % 3 <> 0)
+    SELECT {_ROW}, key FROM w1 WHERE rn = 1 AND key NOT IN (SELECT key FROM e WHERE l_orderkey % 3 = 0)"""
+)
+def ingest_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed(spark, sf_dir).select(*ROW, "key")
+    return collection.insert_or_ignore(k.where("l_orderkey % 3 = 0"), k.where("l_orderkey % 3 <> 0"), ["key"], ROW).select(*ROW, "key")
+
+
+@query("SELECT s_suppkey AS table_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '.new' ELSE s_name END AS source_file FROM supplier UNION ALL SELECT -1 - s_suppkey, s_name || '.new' FROM supplier WHERE s_suppkey % 2 = 0")
+def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = inputs.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("table_id"), F.col("s_name").alias("source_file"))
+    new = old.where("table_id % 2 = 0").withColumn("source_file", F.concat("source_file", F.lit(".new")))
+    return collection.upsert(old, new.unionByName(new.withColumn("table_id", -1 - F.col("table_id"))), ["table_id"])
+
+
+@query(f"{_KEYED} SELECT DISTINCT 'f' || (l_suppkey % 3) || '__S' || (l_suppkey % 4) AS table_name FROM e ORDER BY 1")
+def list_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ordered(spark, sf_dir).select(F.concat("source", F.lit("__S"), (F.col("l_suppkey") % 4).cast("string")).alias("table_name")).distinct().orderBy("table_name")
+
+
+@query(f"{_KEYED} SELECT DISTINCT 'f' || (l_suppkey % 3) AS source FROM e ORDER BY 1")
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ordered(spark, sf_dir).select("source").distinct().orderBy("source")
+
+
+def _region(chrom: int, start: int, end: int, code: int) -> tuple[tuple[str, str, int, int], str]:
+    bounds = ids.region_bounds(chrom, start, end, code)
+    return bounds, f"key BETWEEN '{bounds[0]}' AND '{bounds[1]}'"
+
+
+def _searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ordered(spark, sf_dir).withColumn("lin", ids.linear_of("key"))
+
+
+_CHR1, _SQL_CHR1 = _region(0, 1, 200_000_000, 1)
+_CHR13, _SQL_CHR13 = _region(12, 60_000_000, 80_000_000, 1)
+
+
+@query(f"{_KEYED} SELECT {_ROW}, key FROM e WHERE {_SQL_CHR1} ORDER BY key")
+def search_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.search_sites(_searchable(spark, sf_dir), _CHR1).select(*ROW, "key")
+
+
+@query(f"{_KEYED} SELECT {_ROW}, key FROM e WHERE {_SQL_CHR13} ORDER BY key")
+def search_chr13_straddle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.search_sites(_searchable(spark, sf_dir), _CHR13).select(*ROW, "key")
+
+
+@query(f"{_KEYED} SELECT asm, CAST(count(*) AS BIGINT) AS n FROM e WHERE {_SQL_CHR1} GROUP BY asm")
+def search_mixed_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.in_region(_searchable(spark, sf_dir), *_CHR1).groupBy("asm").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{_KEYED}, site AS (SELECT DISTINCT 'f' || (l_suppkey % 3) AS source, key, k AS kind FROM e WHERE l_linenumber % 2 = 0 AND {_SQL_CHR1}),
+    call AS (SELECT {_ROW}, 'f' || (l_suppkey % 3) AS source, key FROM e WHERE l_suppkey % 4 = 1 AND {_SQL_CHR1})
+    SELECT {_ROW}, source, key, kind FROM call LEFT JOIN site USING (source, key) ORDER BY key"""
+)
+def search_sample_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _searchable(spark, sf_dir)
+    sites = s.where("l_linenumber % 2 = 0").select("source", "key", "lin", F.col("k").alias("kind")).distinct()
+    sites = sites.select("source", "key", "lin", *[F.lit(None).cast("string").alias(c) for c in ("qual", "filter", "info")], F.col("kind").alias("multiallelic"))
+    calls = s.where("l_suppkey % 4 = 1").select(*ROW, "source", "key", "lin")
+    return collection.search_genotypes(calls, sites, _CHR1).select(*ROW, "source", "key", F.col("multiallelic").alias("kind"))
+
+
+# Normalisation: variants on the documents' letters.
+
+
+def _indels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = inputs.contigs_of_documents(spark, sf_dir)
+    at = F.expr("30 + (doc_id * 7919 + j * 104729) % (length(seq) - 39)").cast("int")
+    v = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("pos", at)
+    m = (F.col("j") % 4 + 2).cast("int")
+    span = F.substring("seq", F.col("pos"), m)
+    base = F.substring("seq", F.col("pos"), F.lit(1))
+    ref = F.when(F.col("j") % 5 == 0, base).when(F.col("j") % 5 == 4, span).otherwise(span)
+    alt = F.when(F.col("j") % 5 == 0, F.concat(span, base)).when(F.col("j") % 5 == 4, F.concat(base, F.lit("T"), F.substring("seq", F.col("pos") + m - 1, F.lit(1)))).when(F.col("j") % 5 == 3, "<DEL>").otherwise(base)
+    rows = v.select("contig", "doc_id", "j", F.col("pos").cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"))
+    return rows, refgenome.from_sequences(c)
+
+
+_INDELS = f"""WITH {inputs.sql_contigs()},
+j AS (SELECT *, CAST(unnest(range(20)) AS INTEGER) AS j FROM c), p AS (SELECT *, CAST(30 + (doc_id * 7919 + j * 104729) % (length(seq) - 39) AS BIGINT) AS pos FROM j),
+n AS (SELECT doc_id, j, seq, pos, CASE WHEN j % 5 = 0 THEN substr(seq, pos, 1) ELSE substr(seq, pos, j % 4 + 2) END AS ref,
+      CASE j % 5 WHEN 0 THEN substr(seq, pos, j % 4 + 2) || substr(seq, pos, 1) WHEN 4 THEN substr(seq, pos, 1) || 'T' || substr(seq, pos + j % 4 + 1, 1) WHEN 3 THEN '<DEL>' ELSE substr(seq, pos, 1) END AS alt FROM p),
+r AS (SELECT *, CASE WHEN alt = '<DEL>' THEN 0 ELSE coalesce(list_min(list_filter(range(1, CAST(least(length(ref), length(alt)) AS BIGINT)), lambda i: ref[-i] <> alt[-i])) - 1, least(length(ref), length(alt)) - 1) END AS right_n FROM n),
+r1 AS (SELECT *, left(ref, length(ref) - right_n) AS ref1, CASE WHEN alt = '<DEL>' THEN alt ELSE left(alt, length(alt) - right_n) END AS alt1 FROM r),
+l0 AS (SELECT *, CASE WHEN alt = '<DEL>' THEN 0 ELSE coalesce(list_min(list_filter(range(1, CAST(least(length(ref1), length(alt1)) AS BIGINT)), lambda i: ref1[i] <> alt1[i])) - 1, least(length(ref1), length(alt1)) - 1) END AS left_n FROM r1),
+t AS (SELECT doc_id, j, seq, pos AS pos0, ref AS ref0, alt AS alt0, pos + left_n AS pos, substr(ref1, left_n + 1) AS ref, CASE WHEN alt = '<DEL>' THEN alt ELSE substr(alt1, left_n + 1) END AS alt FROM l0)"""
+
+
+@query(f"{_INDELS} SELECT doc_id, j, pos, ref, alt FROM t WHERE alt <> '<DEL>'")
+def normalize_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _indels(spark, sf_dir)
+    return rows.where(~normalize.skipped("ref", "alt")).withColumn("t", normalize.trim("pos", "ref", "alt")).select("doc_id", "j", "t.*")
+
+
+@query(
+    f"""{_INDELS}, u AS (SELECT *, left(seq, pos - 1) AS up, CASE WHEN length(ref) >= length(alt) THEN ref ELSE alt END AS s,
+        alt <> '<DEL>' AND least(length(ref), length(alt)) = 1 AND ref[-1] = alt[-1] AND pos > 1 AS go FROM t),
+    x AS (SELECT *, up || s AS x, CASE WHEN go THEN coalesce(list_min(list_filter(range(1, pos), lambda k: substr(up || s, pos - k, 1) <> substr(up || s, pos - k + length(s) - 1, 1))), pos - 1) ELSE 0 END AS k FROM u),
+    y AS (SELECT *, CASE WHEN go THEN substr(x, pos - k, length(s)) END AS m FROM x)
+    SELECT doc_id, j, pos - k AS norm_pos, CASE WHEN NOT go THEN ref WHEN length(ref) >= length(alt) THEN m ELSE m[1] END AS norm_ref,
+      CASE WHEN NOT go THEN alt WHEN length(ref) > length(alt) THEN m[1] ELSE m END AS norm_alt,
+      alt0 <> '<DEL>' AND (pos - k <> pos0 OR CASE WHEN NOT go THEN ref WHEN length(ref) >= length(alt) THEN m ELSE m[1] END <> ref0 OR CASE WHEN NOT go THEN alt WHEN length(ref) > length(alt) THEN m[1] ELSE m END <> alt0) AS was_modified FROM y"""
+)
+def normalize_leftalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = _indels(spark, sf_dir)
+    return normalize.normalize(rows, reference).select("doc_id", "j", "norm_pos", "norm_ref", "norm_alt", "was_modified")
+
+
+@query(f"{_INDELS} SELECT doc_id, j, pos0 AS norm_pos, alt0 AS norm_alt, false AS was_modified FROM t WHERE alt0 = '<DEL>'")
+def normalize_skip_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = _indels(spark, sf_dir)
+    return normalize.normalize(rows.where(F.col("alt") == "<DEL>"), reference).select("doc_id", "j", "norm_pos", "norm_alt", "was_modified")
+
+
+# HGVS.
+
+_EDIT = "CASE k WHEN 0 THEN pos || 'A>g' WHEN 1 THEN pos || '_' || (pos + 2) || 'delACGinsTT' WHEN 2 THEN pos || '_' || (pos + 3) || 'inv' WHEN 3 THEN pos || '_' || (pos + 1) || 'insAc' WHEN 4 THEN pos || 'dup' ELSE pos || 'del' || CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'T' ELSE 'XX' END END"
+_PREFIX = "CASE l_linenumber % 6 WHEN 5 THEN ':c.' WHEN 4 THEN ':m.' ELSE ':g.' END"
+
+
+def _notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    v = v.withColumn("accession", assembly.refseq_accession("ci", "asm"))
+    return v.withColumn("hgvs", F.expr(f"accession || {_PREFIX} || {_EDIT}"))
+
+
+_NOTATIONS = f"WITH {inputs.sql_variants()}, h AS (SELECT *, {sql_pick(REFSEQ, 'ci', 'asm')} AS accession FROM v), bad AS (SELECT *, l_linenumber % 6 = 5 AS unsupported, k = 5 AND l_orderkey % 3 = 2 AS unread FROM h)"
+
+
+@query(
+    f"""{_NOTATIONS} SELECT {_ROW}, CASE WHEN NOT (unsupported OR unread) THEN accession END AS accession, CASE WHEN NOT (unsupported OR unread) THEN CASE l_linenumber % 6 WHEN 4 THEN 'm' ELSE 'g' END END AS coord,
+    CASE WHEN NOT (unsupported OR unread) THEN pos END AS start_pos, CASE WHEN NOT (unsupported OR unread) THEN pos + CASE k WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 0 END END AS end_pos,
+    CASE WHEN NOT (unsupported OR unread) THEN ['sub', 'delins', 'inv', 'ins', 'dup', 'del'][k + 1] END AS edit,
+    CASE WHEN NOT (unsupported OR unread) THEN CASE k WHEN 0 THEN 'A' WHEN 1 THEN 'ACG' WHEN 5 THEN CASE WHEN l_orderkey % 3 = 1 THEN 'T' END END END AS del_seq,
+    CASE WHEN NOT (unsupported OR unread) THEN CASE k WHEN 0 THEN 'G' WHEN 1 THEN 'TT' WHEN 3 THEN 'AC' END END AS ins_seq,
+    CASE WHEN unsupported THEN 'unsupported coordinate system c.' WHEN unread THEN 'unrecognised edit' END AS error FROM bad"""
+)
+def hgvs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _notations(spark, sf_dir).withColumn("p", hgvs.parse("hgvs"))
+    return n.select(*ROW, "p.accession", "p.coord", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"), "p.edit", "p.del_seq", "p.ins_seq", "p.error")
+
+
+@query(f"{_KEYED} SELECT {_ROW}, {sql_pick(REFSEQ, 'ci', 'asm')} || ':g.' || pos || ref || '>' || alt AS hgvs, CASE WHEN ci = 24 THEN 1 ELSE asm END AS asm, name AS chr, key[1:8] = '' AS odd FROM e WHERE k <= 2".replace(", key[1:8] = '' AS odd", ""))
+def hgvs_sub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir).where("k <= 2").withColumn("hgvs", F.concat(assembly.refseq_accession("ci", "asm"), F.lit(":g."), F.col("pos").cast("string"), F.col("ref"), F.lit(">"), F.col("alt")))
+    out = hgvs_convert.hgvs_to_id(v.select(*ROW, "hgvs"))
+    return out.select(*ROW, "hgvs", "asm", assembly.chrom_name("chr_index").alias("chr"))
+
+
+@query(f"WITH {inputs.sql_variants()}, f AS (SELECT *, CASE WHEN ci = 24 THEN 1 ELSE asm END AS asm2 FROM v WHERE k <= 2), {sql_keyed('f', 'e', asm='asm2')} SELECT {_ROW}, key FROM e")
+def hgvs_sub_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir).where("k <= 2").withColumn("hgvs", F.concat(assembly.refseq_accession("ci", "asm"), F.lit(":g."), F.col("pos").cast("string"), F.col("ref"), F.lit(">"), F.col("alt")))
+    return hgvs_convert.hgvs_to_id(v.select(*ROW, "hgvs")).select(*ROW, "key")
+
+
+_HG = "CASE j % 7 WHEN 0 THEN pos || '_' || (pos + 2) || 'del' WHEN 1 THEN pos || '_' || (pos + 1) || 'insGAT' WHEN 2 THEN pos || '_' || (pos + 2) || 'delinsT' WHEN 3 THEN pos || '_' || (pos + 2) || 'dup' WHEN 4 THEN pos || '_' || (pos + 5) || 'inv' WHEN 5 THEN pos || '=' ELSE pos || 'delG' END"
+
+
+@query(
+    f"""WITH {inputs.sql_contigs()}, j AS (SELECT *, CAST(unnest(range(14)) AS INTEGER) AS j FROM c), p AS (SELECT *, CAST(2 + (doc_id * 7919 + j * 104729) % (length(seq) - 10) AS BIGINT) AS pos FROM j),
+    n AS (SELECT doc_id, j, CAST(0 AS INTEGER) AS ci, CAST(1 AS INTEGER) AS asm, CASE j % 7 WHEN 0 THEN pos - 1 WHEN 3 THEN pos + 2 WHEN 6 THEN pos - 1 ELSE pos END AS pos,
+      CASE j % 7 WHEN 0 THEN substr(seq, pos - 1, 4) WHEN 1 THEN substr(seq, pos, 1) WHEN 2 THEN substr(seq, pos, 3) WHEN 3 THEN substr(seq, pos + 2, 1) WHEN 4 THEN substr(seq, pos, 6) WHEN 5 THEN substr(seq, pos, 1) ELSE substr(seq, pos - 1, 1) || 'G' END AS ref,
+      CASE j % 7 WHEN 0 THEN substr(seq, pos - 1, 1) WHEN 1 THEN substr(seq, pos, 1) || 'GAT' WHEN 2 THEN 'T' WHEN 3 THEN substr(seq, pos + 2, 1) || substr(seq, pos, 3) WHEN 4 THEN translate(reverse(substr(seq, pos, 6)), 'ACGT', 'TGCA') WHEN 5 THEN substr(seq, pos, 1) ELSE substr(seq, pos - 1, 1) END AS alt FROM p),
+    {sql_keyed('n', 'e')} SELECT doc_id, j, pos, ref, alt, key FROM e"""
+)
+def hgvs_indel_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.contigs_of_documents(spark, sf_dir)
+    rows = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(13)))).withColumn("pos", F.expr("2 + (doc_id * 7919 + j * 104729) % (length(seq) - 10)"))
+    rows = rows.withColumn("hgvs", F.expr(f"'{REFSEQ['GRCh38'][0]}:g.' || {_HG}")).select("doc_id", "contig", "j", "hgvs")
+    out = hgvs_convert.hgvs_to_id(rows, reference=refgenome.from_sequences(c), contig="contig")
+    return out.select("doc_id", "j", "pos", "ref", "alt", "key")
+
+
+_ID_HGVS = f"""{_KEYED}, d AS (SELECT *, {sql_pick(REFSEQ, 'ci', 'asm')} || CASE WHEN ci = 24 THEN ':m.' ELSE ':g.' END AS head, rc >> 45 = 0 AS exact,
+      CASE WHEN rc >> 45 = 1 THEN repeat('N', length(ref)) ELSE upper(ref) END AS r,
+      CASE WHEN alt = '.' THEN '' WHEN ac >> 45 = 1 THEN repeat('N', length(alt)) ELSE upper(alt) END AS a FROM e),
+    s AS (SELECT *, CASE WHEN length(r) > 1 THEN pos || '_' || (pos + length(r) - 1) ELSE CAST(pos AS VARCHAR) END AS span, CASE WHEN exact THEN r ELSE '' END AS spelled FROM d)"""
+
+
+@query(
+    f"""{_ID_HGVS} SELECT {_ROW}, head || CASE WHEN r = a AND length(r) = 1 THEN pos || '=' WHEN length(r) = 1 AND length(a) = 1 THEN pos || r || '>' || a
+      WHEN length(r) = length(a) THEN span || 'del' || r || 'ins' || a
+      WHEN length(r) = 1 AND length(a) > 1 AND a[1] = r THEN pos || '_' || (pos + 1) || 'ins' || substr(a, 2)
+      WHEN length(a) = 1 AND length(r) > 1 AND r[1] = a THEN (pos + 1) || CASE WHEN length(r) > 2 THEN '_' || (pos + length(r) - 1) ELSE '' END || 'del' || substr(spelled, 2)
+      WHEN a = '' THEN span || 'del' || spelled ELSE span || 'del' || spelled || 'ins' || a END AS hgvs, CAST((rc >> 45) + (ac >> 45) AS INTEGER) AS n_warnings FROM s"""
+)
+def id_to_hgvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hgvs_convert.id_to_hgvs(_keyed(spark, sf_dir).select(*ROW, "key"))
+    return out.select(*ROW, "hgvs", F.size("warnings").alias("n_warnings"))
+
+
+@query(
+    f"""WITH {inputs.sql_variants()}, i AS (SELECT *, w AS ref1, translate(reverse(w), 'ACGT', 'TGCA') AS alt1 FROM v)
+    SELECT {_ROW}, {sql_pick(REFSEQ, 'ci', 'asm')} || CASE WHEN ci = 24 THEN ':m.' ELSE ':g.' END || pos || '_' || (pos + length(w) - 1) || 'inv' AS hgvs FROM i WHERE pos > 0 AND ref1 IS NOT NULL AND alt1 IS NOT NULL"""
+)
+def id_to_hgvs_inv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir)
+    v = v.withColumn("key", ids.encode_key("ci", "pos", "w", alleles.reverse_complement("w"), "asm"))
+    return hgvs_convert.id_to_hgvs(v.select(*ROW, "key"), detect=True).select(*ROW, "hgvs")
+
+
+@query(
+    f"""WITH {inputs.sql_contigs()}, p AS (SELECT *, CAST(2 + (doc_id * 7919) % (length(seq) - 10) AS BIGINT) AS pos FROM c), q AS (SELECT *, substr(seq, pos + 1, 3) AS nxt FROM p)
+    SELECT doc_id, '{REFSEQ['GRCh38'][0]}:g.' || CASE WHEN doc_id % 2 = 0 THEN (pos + 1) || '_' || (pos + 3) || 'dup' || nxt WHEN nxt = 'ACG' THEN (pos + 1) || '_' || (pos + 3) || 'dupACG' ELSE pos || '_' || (pos + 1) || 'insACG' END AS hgvs FROM q"""
+)
+def id_to_hgvs_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.contigs_of_documents(spark, sf_dir)
+    rows = c.withColumn("pos", F.expr("cast(2 + (doc_id * 7919) % (length(seq) - 10) as int)"))
+    anchor = F.substring("seq", F.col("pos"), F.lit(1))
+    copy = F.when(F.col("doc_id") % 2 == 0, F.substring("seq", F.col("pos") + 1, F.lit(3))).otherwise("ACG")
+    keyed = rows.withColumn("key", ids.encode_key(F.lit(0), "pos", anchor, F.concat(anchor, copy), F.lit(1))).select("doc_id", "contig", "key")
+    return hgvs_convert.id_to_hgvs(keyed, reference=refgenome.from_sequences(c), detect=True, contig="contig").select("doc_id", "hgvs")
+
+
+@query(f"SELECT doc_id, translate(regexp_replace(reverse(upper({inputs.sql_dna('text')} || 'nX')), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA') AS complement FROM documents WHERE text IS NOT NULL")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.read(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", alleles.reverse_complement(F.concat(inputs.dna(F.col("text")), F.lit("nX"))).alias("complement"))
+
+
+# Audits and set algebra.
+
+
+@query(f"{_KEYED}, d AS (SELECT asm, ci, length(ref) AS rl, length(alt) AS al, ref, alt, count(*) AS n FROM e GROUP BY ALL) SELECT asm, ci, CAST(rl AS BIGINT) AS ref_len, CAST(al AS BIGINT) AS alt_len, CAST(count(*) AS BIGINT) AS n_variants, CAST(sum(n) AS BIGINT) AS n_rows FROM d GROUP BY asm, ci, rl, al HAVING count(*) > 1")
+def collision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = inputs.variants(spark, sf_dir).withColumn("ref_len", F.length("ref").cast("long")).withColumn("alt_len", F.length("alt").cast("long"))
+    return audit.collisions(v, ["asm", "ci", "ref_len", "alt_len"], ["ref", "alt"])
+
+
+@query(f"{_KEYED}, d AS (SELECT key, upper(ref) AS r, upper(alt) AS a, pos, name, count(*) AS n FROM e GROUP BY ALL) SELECT key, CAST(count(*) AS BIGINT) AS n_variants, CAST(sum(n) AS BIGINT) AS n_rows FROM d GROUP BY key HAVING count(*) > 1")
+def collision_audit_full_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _keyed(spark, sf_dir).select("key", F.upper("ref").alias("r"), F.upper("alt").alias("a"), "pos", "name")
+    return audit.collisions(k, ["key"], ["r", "a", "pos", "name"])
+
+

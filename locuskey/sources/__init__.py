@@ -1 +1 @@
-
+"""Sources and sinks: VCF text, reference genomes, BGZF."""

@@ -1 +1,28 @@
+"""Streaming: annotation of arriving lines, and repeatable ingest of arriving variants."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from locuskey.functions.assembly import Scheme
+from locuskey.operators.annotate import annotate_lines
+from locuskey.operators.collection import insert_or_ignore
+
+
+def annotate_stream(spark: SparkSession, folder: str, scheme: Scheme, code: int, use_uuid: bool = False) -> DataFrame:
+    """A stream of annotated data lines from text files that arrive in ``folder``."""
+    lines = spark.readStream.text(folder).where("value <> '' and not startswith(value, '#')")
+    return annotate_lines(lines, scheme, code, use_uuid)
+
+
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]):
+    """A stream writer that appends rows whose key isn't there yet; a batch that runs again appends nothing."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        have = spark.read.schema(batch.schema).parquet(path) if there else spark.createDataFrame([], batch.schema)
+        insert_or_ignore(have, batch, keys, order).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
