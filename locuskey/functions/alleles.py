@@ -53,15 +53,24 @@ def fingerprint(seq) -> Column:
     return F.aggregate(bases, F.lit(0).cast("long"), step)
 
 
-def encode_allele(seq) -> Column:
-    """The code of an allele; 0 for the missing allele (null, empty or ``.``)."""
+def _code(seq, flag: int) -> Column:
     s = F.coalesce(_col(seq), F.lit(""))
     n = F.length(s).cast("long")
-    exact = F.shiftleft(n, 40).bitwiseOR(encode_bases(s))
-    by_length = F.shiftleft(n, FINGERPRINT_BITS).bitwiseOR(fingerprint(s)).bitwiseOR(F.lit(LENGTH_FLAG))
+    exact = F.shiftleft(n, 40).bitwiseOR(F.conv(F.rpad(F.translate(F.upper(s), "ACGT", "0123"), EXACT_BASES, "0"), 4, 10).cast("long"))
+    by_length = F.shiftleft(n, FINGERPRINT_BITS).bitwiseOR(fingerprint(s)).bitwiseOR(F.lit(flag))
     return F.when(s.isin("", "."), F.lit(0).cast("long")).when(s.rlike(f"^[ACGTacgt]{{1,{EXACT_BASES}}}$"), exact).otherwise(by_length)
 
 
+def encode_allele(seq) -> Column:
+    """The code of an allele; 0 for the missing allele (null, empty or ``.``)."""
+    return _code(seq, LENGTH_FLAG)
+
+
+def encode_slot(seq) -> Column:
+    """The code as it lies in an identifier: the mode a bit higher, above a spare bit."""
+    return _code(seq, LENGTH_FLAG << 1)
+
+
 def is_exact(code) -> Column:
     return F.shiftright(_col(code), 45) == 0
 

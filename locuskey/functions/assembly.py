@@ -70,13 +70,22 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def _literal(x) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}L" if x >= 1 << 31 else str(x)
+
+
 def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(v) for kv in pairs.items() for v in kv])
+    """A constant map, built in one call."""
+    return F.expr("map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in pairs.items()) + ")")
+
+
+def _array(values: list) -> Column:
+    return F.expr("array(" + ", ".join(map(_literal, values)) + ")")
 
 
 def _at(values: list, index: Column) -> Column:
     """values[index]; null outside."""
-    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
+    return F.get(_array(values), index.cast("int"))
 
 
 def parse_assembly(name) -> Column:
@@ -101,23 +110,27 @@ def ucsc_name(index) -> Column:
     return _at(UCSC_NAMES, _col(index))
 
 
-def _by_assembly(code: Column, make) -> Column:
-    return F.when(code == 0, make("GRCh37")).when(code == 1, make("GRCh38"))
+def _by_assembly(code: Column, table: dict[str, list], index: Column) -> Column:
+    """table[assembly][index]: each argument is evaluated once."""
+    rows = ", ".join("array(" + ", ".join(map(_literal, table[a])) + ")" for a in ASSEMBLIES)
+    return F.get(F.get(F.expr(f"array({rows})"), code.cast("int")), index.cast("int"))
+
+
+def _index_of(accession: Column, code: Column, table: dict[str, list]) -> Column:
+    maps = ", ".join("map(" + ", ".join(f"'{x}', {i}" for i, x in enumerate(table[a]) if x) + ")" for a in ASSEMBLIES)
+    return F.element_at(F.get(F.expr(f"array({maps})"), code.cast("int")), accession).cast("int")
 
 
 def refseq_index(accession, code) -> Column:
-    a = _col(accession)
-    return _by_assembly(_col(code), lambda n: F.element_at(_map({x: i for i, x in enumerate(REFSEQ[n])}), a)).cast("int")
+    return _index_of(_col(accession), _col(code), REFSEQ)
 
 
 def genbank_index(accession, code) -> Column:
-    a = _col(accession)
-    return _by_assembly(_col(code), lambda n: F.element_at(_map({x: i for i, x in enumerate(GENBANK[n]) if x}), a)).cast("int")
+    return _index_of(_col(accession), _col(code), GENBANK)
 
 
 def refseq_accession(index, code) -> Column:
-    i = _col(index)
-    return _by_assembly(_col(code), lambda n: _at(REFSEQ[n], i))
+    return _by_assembly(_col(code), REFSEQ, _col(index))
 
 
 def classify_contig(name) -> Column:
@@ -133,12 +146,13 @@ def classify_contig(name) -> Column:
 
 def resolve_contig(name, scheme, code) -> Column:
     """Index of a contig under a naming scheme: as it stands, else case-folded (names lower, accessions upper)."""
-    n, s, c = _col(name), scheme if isinstance(scheme, Column) else F.lit(scheme.value if isinstance(scheme, Scheme) else scheme), _col(code)
-    return (
-        F.when(s == Scheme.REFSEQ.value, F.coalesce(refseq_index(n, c), refseq_index(F.upper(n), c)))
-        .when(s == Scheme.GENBANK.value, F.coalesce(genbank_index(n, c), genbank_index(F.upper(n), c)))
-        .otherwise(F.coalesce(chrom_index(n), chrom_index(F.lower(n))))
-    )
+    n, c = _col(name), _col(code)
+    by_name = F.coalesce(chrom_index(n), chrom_index(F.lower(n)))
+    by_refseq = F.coalesce(refseq_index(n, c), refseq_index(F.upper(n), c))
+    by_genbank = F.coalesce(genbank_index(n, c), genbank_index(F.upper(n), c))
+    if not isinstance(scheme, Column):
+        return {Scheme.REFSEQ: by_refseq, Scheme.GENBANK: by_genbank}.get(Scheme(scheme), by_name)
+    return F.when(scheme == Scheme.REFSEQ.value, by_refseq).when(scheme == Scheme.GENBANK.value, by_genbank).otherwise(by_name)
 
 
 def classify_name(name: str) -> Scheme:
@@ -158,8 +172,7 @@ def detect_scheme(names: list[str]) -> Scheme:
 
 
 def contig_length(index, code) -> Column:
-    i = _col(index)
-    return _by_assembly(_col(code), lambda n: _at(LENGTHS[n], i).cast("long"))
+    return _by_assembly(_col(code), LENGTHS, _col(index)).cast("long")
 
 
 def valid_position(index, pos, code) -> Column:
@@ -169,28 +182,23 @@ def valid_position(index, pos, code) -> Column:
 
 def linear_position(index, pos, code) -> Column:
     """Position in the concatenated genome; null where the position is invalid."""
-    i, p, c = _col(index), _col(pos), _col(code)
-    offset = _by_assembly(c, lambda n: _at(OFFSETS[n], i).cast("long"))
-    return F.when(valid_position(i, p, c), offset + p.cast("long"))
+    return F.when(valid_position(index, pos, code), linear_offset(index, code) + _col(pos).cast("long"))
 
 
-def linear_index(linear, code) -> Column:
-    """Contig index of a linear position: the last contig that begins before it; null outside the genome."""
-    x = _col(linear)
+_GENOME = {a: OFFSETS[a][24] + LENGTHS[a][24] for a in ASSEMBLIES}
 
-    def one(n: str) -> Column:
-        steps = [(x > F.lit(o)).cast("int") for o in OFFSETS[n]]
-        total = steps[0]
-        for s in steps[1:]:
-            total = total + s
-        return F.when((x > 0) & (x <= OFFSETS[n][24] + LENGTHS[n][24]), total - 1)
 
-    return _by_assembly(_col(code), one)
+def linear_index(linear, code) -> Column:
+    """Contig index of a linear position: the last contig that begins before it; null outside the genome."""
+    x, c = _col(linear), _col(code)
+    rows = ", ".join("array(" + ", ".join(f"{v}L" for v in OFFSETS[a]) + ")" for a in ASSEMBLIES)
+    before = F.size(F.filter(F.get(F.expr(f"array({rows})"), c.cast("int")), lambda o: o < x))
+    end = F.get(F.expr(f"array({', '.join(f'{_GENOME[a]}L' for a in ASSEMBLIES)})"), c.cast("int"))
+    return F.when(x.between(F.lit(1), end), before - 1)
 
 
 def linear_offset(index, code) -> Column:
-    i = _col(index)
-    return _by_assembly(_col(code), lambda n: _at(OFFSETS[n], i).cast("long"))
+    return _by_assembly(_col(code), OFFSETS, _col(index)).cast("long")
 
 
 def delinearise_join(rows: DataFrame, linear: str = "linear", assembly: str = "assembly") -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuskey.functions.alleles import LENGTH_FLAG, PAYLOAD, allele_bases, allele_fingerprint, allele_length, encode_allele, is_exact
+from locuskey.functions.alleles import LENGTH_FLAG, allele_bases, allele_fingerprint, allele_length, encode_slot, is_exact
 from locuskey.functions.assembly import ASSEMBLIES, LENGTHS, OFFSETS, _col, assembly_name, chrom_name, linear_index, linear_offset, linear_position
 
 #: Fixed value: the namespace of the identifiers' version-5 UUIDs, the UUID of the name "UVID" under the OID namespace.
@@ -23,20 +23,17 @@ def _word(x: Column) -> Column:
     return F.lpad(F.hex(x), 16, "0")
 
 
+def compose_key(linear, code, ref_slot, alt_slot) -> Column:
+    """Undashed hex of an identifier's parts; null if a part is null. The parts are best columns of their own, each read once here."""
+    r = _col(ref_slot)
+    high = F.shiftleft(_col(linear), 32).bitwiseOR(F.shiftleft(_col(code).cast("long"), 30)).bitwiseOR(F.shiftright(r, 17))
+    low = F.shiftleft(r, 47).bitwiseOR(_col(alt_slot))
+    return F.lower(F.concat(_word(high), _word(low)))
+
+
 def encode_key(index, pos, ref, alt, code) -> Column:
     """Undashed hex of a variant's identifier; null where the contig or the position is invalid."""
-    linear = linear_position(index, pos, code)
-    r, a = encode_allele(ref), encode_allele(alt)
-    mode = lambda c: F.shiftright(c, 45)
-    low = lambda c: c.bitwiseAND(F.lit(PAYLOAD))
-    high_word = (
-        F.shiftleft(linear, 32)
-        .bitwiseOR(F.shiftleft(_col(code).cast("long"), 30))
-        .bitwiseOR(F.shiftleft(mode(r), 29))
-        .bitwiseOR(F.shiftright(low(r), 17))
-    )
-    low_word = F.shiftleft(low(r).bitwiseAND(F.lit(0x1FFFF)), 47).bitwiseOR(F.shiftleft(mode(a), 46)).bitwiseOR(low(a))
-    return F.when(linear.isNotNull(), F.lower(F.concat(_word(high_word), _word(low_word))))
+    return compose_key(linear_position(index, pos, code), code, encode_slot(ref), encode_slot(alt))
 
 
 def encode(index, pos, ref, alt, code) -> Column:
@@ -69,20 +66,29 @@ def linear_of(key) -> Column:
     return _words(_col(key))[0]
 
 
-def decode(key) -> Column:
-    """Struct of a variant's fields from 32 hex digits; null if the assembly or the position is invalid.
+def with_decoded(rows: DataFrame, key: str = "key", into: str = "decoded") -> DataFrame:
+    """``rows`` with a struct of a variant's fields from 32 hex digits; null if the assembly or the position is invalid.
 
-    Alleles known only by length come back as as many N.
+    Alleles known only by length come back as as many N. The steps are projections of their own, so that
+    nothing is worked out twice.
     """
-    w = _words(_col(key))
-    code = F.shiftright(w[1], 30).bitwiseAND(F.lit(3).cast("long"))
-    allele = lambda mode, payload: F.when(mode == 1, payload.bitwiseOR(F.lit(LENGTH_FLAG))).otherwise(payload)
-    r = allele(F.shiftright(w[1], 29).bitwiseAND(F.lit(1).cast("long")), F.shiftleft(w[1].bitwiseAND(F.lit(0x1FFFFFFF)), 17).bitwiseOR(F.shiftright(w[2], 15)))
-    a = allele(F.shiftright(w[2], 14).bitwiseAND(F.lit(1).cast("long")), F.shiftleft(w[2].bitwiseAND(F.lit(0x3FFF)), 32).bitwiseOR(w[3]))
-    index = linear_index(w[0], code)
+    k = F.col(key)
+    w = rows.withColumns({f"_w{i}": x for i, x in enumerate(_words(k))})
+    one, flag = F.lit(1).cast("long"), F.lit(LENGTH_FLAG)
+    allele = lambda mode, payload: F.when(mode == 1, payload.bitwiseOR(flag)).otherwise(payload)
+    w1, w2, w3 = (F.col(f"_w{i}") for i in (1, 2, 3))
+    parts = w.withColumns(
+        {
+            "_asm": F.shiftright(w1, 30).bitwiseAND(F.lit(3).cast("long")).cast("int"),
+            "_rc": allele(F.shiftright(w1, 29).bitwiseAND(one), F.shiftleft(w1.bitwiseAND(F.lit(0x1FFFFFFF)), 17).bitwiseOR(F.shiftright(w2, 15))),
+            "_ac": allele(F.shiftright(w2, 14).bitwiseAND(one), F.shiftleft(w2.bitwiseAND(F.lit(0x3FFF)), 32).bitwiseOR(w3)),
+        }
+    )
+    parts = parts.withColumn("_ci", linear_index("_w0", "_asm"))
+    r, a = F.col("_rc"), F.col("_ac")
     fields = F.struct(
-        chrom_name(index).alias("chr"),
-        (w[0] - linear_offset(index, code)).alias("pos"),
+        chrom_name("_ci").alias("chr"),
+        (F.col("_w0") - linear_offset("_ci", "_asm")).alias("pos"),
         allele_bases(r).alias("ref"),
         allele_bases(a).alias("alt"),
         allele_length(r).alias("ref_len"),
@@ -91,9 +97,9 @@ def decode(key) -> Column:
         is_exact(a).alias("alt_is_exact"),
         allele_fingerprint(r).alias("ref_fingerprint"),
         allele_fingerprint(a).alias("alt_fingerprint"),
-        assembly_name(code).alias("assembly"),
+        assembly_name("_asm").alias("assembly"),
     )
-    return F.when(index.isNotNull(), fields)
+    return parts.withColumn(into, F.when(F.col("_ci").isNotNull(), fields)).drop(*[f"_w{i}" for i in range(4)], "_asm", "_rc", "_ac", "_ci")
 
 
 def uuid5(key) -> Column:

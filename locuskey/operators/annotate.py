@@ -7,8 +7,9 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskey.functions.assembly import Scheme, parse_assembly_name, resolve_contig, ucsc_name
-from locuskey.functions.ids import dashed, encode_key, uuid5
+from locuskey.functions.alleles import encode_slot
+from locuskey.functions.assembly import Scheme, linear_position, parse_assembly_name, resolve_contig, ucsc_name
+from locuskey.functions.ids import compose_key, dashed, encode_key, uuid5
 from locuskey.operators.normalize import normalize
 from locuskey.sources.bgzf import open_sink, write_lines
 from locuskey.sources.refgenome import open_for_assembly
@@ -25,33 +26,37 @@ def _position(text: Column) -> Column:
     return F.when(number <= 4294967295, number)
 
 
-def allele_ids(index: Column, pos: Column, ref: Column, alts: Column, code: Column, use_uuid: bool = False) -> Column:
-    """IDs of a record's ALT alleles, joined with ``_``; ``.`` for an allele without one."""
+def _allele_id(alt: Column, linear: Column, code: Column, ref_slot: Column, use_uuid: bool) -> Column:
+    key = compose_key(linear, code, ref_slot, encode_slot(alt))
+    return F.when(alt.rlike(SYMBOLIC), F.lit(".")).otherwise(F.coalesce(uuid5(key) if use_uuid else dashed_words(key), F.lit(".")))
 
-    def one(alt: Column) -> Column:
-        key = encode_key(index, pos, ref, alt, code)
-        return F.when(alt.rlike(SYMBOLIC), F.lit(".")).otherwise(F.coalesce(uuid5(key) if use_uuid else dashed(key), F.lit(".")))
 
-    return F.array_join(F.transform(alts, one), "_")
+def dashed_words(key: Column) -> Column:
+    return F.regexp_replace(key, "^(.{8})(.{8})(.{8})", "$1-$2-$3-")
 
 
 def annotate_lines(lines: DataFrame, scheme: Scheme | str, code: int, use_uuid: bool = False) -> DataFrame:
     """Data lines with new IDs; other columns of ``lines`` stay.
 
     A line with fewer than five fields, on an unknown contig or without a position stays as it is. POS is
-    written as a plain number, ALT alleles without white space round them. One narrow projection: no shuffle.
+    written as a plain number, ALT alleles without white space round them; their IDs are joined with ``_``,
+    ``.`` for one that has none. Narrow projections only: no shuffle. What several expressions need is a
+    projection of its own, and only lines with several ALT alleles go through a higher-order function.
     """
-    f = _fields()
-    get = lambda i: F.get(f, F.lit(i))
     asm = F.lit(code)
-    index, pos = resolve_contig(get(0), scheme, asm), _position(get(1))
-    bare = get(4) == "."
-    alts = F.transform(F.split(get(4), ","), lambda a: F.trim(a))
-    new_id = F.when(bare, F.lit(".")).otherwise(allele_ids(index, pos, get(3), alts, asm, use_uuid))
-    alt = F.when(bare, F.lit(".")).otherwise(F.array_join(alts, ","))
-    line = F.concat_ws("\t", get(0), pos.cast("string"), new_id, get(3), alt, get(5))
-    sound = (F.size(f) >= 5) & index.isNotNull() & (pos > 0)
-    return lines.withColumn("value", F.when(F.coalesce(sound, F.lit(False)), line).otherwise(F.col("value")))
+    f = lines.withColumn("_f", _fields())
+    get = lambda i: F.get("_f", F.lit(i))
+    f = f.withColumns({"_index": resolve_contig(get(0), scheme, asm), "_pos": _position(get(1)), "_ref": get(3), "_alt": F.trim(get(4))})
+    f = f.withColumns({"_lin": linear_position("_index", "_pos", asm), "_slot": encode_slot("_ref")})
+    one = lambda alt: _allele_id(alt, F.col("_lin"), asm, F.col("_slot"), use_uuid)
+    several = F.instr("_alt", ",") > 0
+    alts = F.transform(F.split("_alt", ","), lambda a: F.trim(a))
+    new_id = F.when(several, F.array_join(F.transform(alts, one), "_")).otherwise(one(F.col("_alt")))
+    alt = F.when(several, F.array_join(alts, ",")).otherwise(F.col("_alt"))
+    line = F.concat_ws("\t", get(0), F.col("_pos").cast("string"), new_id, F.col("_ref"), alt, get(5))
+    sound = (F.size("_f") >= 5) & F.col("_index").isNotNull() & (F.col("_pos") > 0)
+    new = f.withColumn("value", F.when(F.coalesce(sound, F.lit(False)), line).otherwise(F.col("value")))
+    return new.select(*lines.columns)
 
 
 def cannot_encode(lines: DataFrame, scheme: Scheme | str, code: int) -> DataFrame:

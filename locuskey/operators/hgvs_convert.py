@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locuskey.functions import hgvs
 from locuskey.functions.assembly import chrom_index, parse_assembly, refseq_accession, refseq_index, ucsc_name
-from locuskey.functions.ids import decode, encode_key
+from locuskey.functions.ids import encode_key, with_decoded
 from locuskey.sources.refgenome import with_bases
 
 
@@ -42,7 +42,7 @@ def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None
 
 def id_to_hgvs(rows: DataFrame, key: str = "key", reference: DataFrame | None = None, detect: bool = False, contig: str | None = None) -> DataFrame:
     """``rows`` with hgvs, warnings and error; ``detect`` looks for duplications (with a reference) and inversions."""
-    d = rows.withColumn("_d", decode(key))
+    d = with_decoded(rows, key, "_d")
     index = chrom_index("_d.chr")
     accession = refseq_accession(index, parse_assembly("_d.assembly"))
     coord = F.when(F.col("_d.chr") == "M", "m").otherwise("g")

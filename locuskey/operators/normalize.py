@@ -24,22 +24,35 @@ def skipped(ref, alt) -> Column:
     return F.coalesce(_col(ref), F.lit("")).rlike(odd) | F.coalesce(_col(alt), F.lit("")).rlike(odd)
 
 
-def _common(a: Column, b: Column, from_end: bool) -> Column:
-    """Number of equal bases at the start or end that can go while each allele keeps one."""
-    most = F.least(F.length(a), F.length(b)) - 1
-    x, y = (F.reverse(a), F.reverse(b)) if from_end else (a, b)
-    odd = F.filter(F.sequence(F.lit(1), most), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-    return F.when(most < 1, F.lit(0)).otherwise(F.coalesce(F.try_element_at(odd, F.lit(1)) - 1, most)).cast("int")
+def _once(f, **parts: Column) -> Column:
+    """f of a struct of ``parts``, which are worked out once however often a lambda in f reads them."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), f), F.lit(0))
+
+
+def _common(t: Column, from_end: bool) -> Column:
+    """Number of equal bases at the start or end of t's ref and alt that can go while each keeps one."""
+    turn = F.reverse if from_end else (lambda x: x)
+
+    def count(v: Column) -> Column:
+        odd = F.filter(F.sequence(F.lit(1), F.greatest(v["most"], F.lit(1))), lambda i: F.substring(v["x"], i, F.lit(1)) != F.substring(v["y"], i, F.lit(1)))
+        return F.when(v["most"] < 1, F.lit(0)).otherwise(F.coalesce(F.try_element_at(odd, F.lit(1)) - 1, v["most"]))
+
+    return _once(count, x=turn(t["ref"]), y=turn(t["alt"]), most=F.greatest(F.least(F.length(t["ref"]), F.length(t["alt"])) - 1, F.lit(0)))
 
 
 def trim(pos, ref, alt) -> Column:
     """Struct (pos, ref, alt) without common bases at the right end and then at the left one."""
-    r, a = _col(ref), _col(alt)
-    right = _common(r, a, True)
-    r1, a1 = F.substring(r, F.lit(1), F.length(r) - right), F.substring(a, F.lit(1), F.length(a) - right)
-    left = _common(r1, a1, False)
-    cut = lambda x: F.substring(x, left + 1, F.length(x) - left)
-    return F.struct((_col(pos) + left).cast("long").alias("pos"), cut(r1).alias("ref"), cut(a1).alias("alt"))
+
+    def cut_right(t: Column) -> Column:
+        shorter = lambda n: lambda x: F.substring(x, F.lit(1), F.length(x) - n)
+        return _once(lambda v: F.struct(v["pos"].alias("pos"), shorter(v["n"])(v["ref"]).alias("ref"), shorter(v["n"])(v["alt"]).alias("alt")), n=_common(t, True), pos=t["pos"], ref=t["ref"], alt=t["alt"])
+
+    def cut_left(t: Column) -> Column:
+        rest = lambda x, n: F.substring(x, n + 1, F.length(x) - n)
+        return _once(lambda v: F.struct((v["pos"] + v["n"]).alias("pos"), rest(v["ref"], v["n"]).alias("ref"), rest(v["alt"], v["n"]).alias("alt")), n=_common(t, False), pos=t["pos"], ref=t["ref"], alt=t["alt"])
+
+    start = F.array(F.struct(_col(pos).cast("long").alias("pos"), _col(ref).alias("ref"), _col(alt).alias("alt")))
+    return F.get(F.transform(F.transform(start, cut_right), cut_left), F.lit(0))
 
 
 def _shiftable(pos: Column, ref: Column, alt: Column) -> Column:
@@ -48,10 +61,12 @@ def _shiftable(pos: Column, ref: Column, alt: Column) -> Column:
 
 def _shift(before: Column, long: Column) -> Column:
     """Least k at which the shift ends inside the window; null if it uses the window up."""
-    n, m = F.length(before), F.length(long)
-    x = F.concat(before, long)
-    ends = F.filter(F.sequence(F.lit(1), n), lambda k: F.substring(x, n - k + 1, F.lit(1)) != F.substring(x, n - k + m, F.lit(1)))
-    return F.try_element_at(ends, F.lit(1))
+
+    def least(t: Column) -> Column:
+        base = lambda at: F.substring(t["x"], at, F.lit(1))
+        return F.try_element_at(F.filter(F.sequence(F.lit(1), t["n"]), lambda k: base(t["n"] - k + 1) != base(t["n"] - k + t["m"])), F.lit(1))
+
+    return _once(least, x=F.concat(before, long), n=F.length(before), m=F.length(long))
 
 
 def normalize(rows: DataFrame, reference: DataFrame, contig: str = "contig", pos: str = "pos", ref: str = "ref", alt: str = "alt", strict: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -67,6 +82,7 @@ def normalize(rows: DataFrame, reference: DataFrame, contig: str = "contig", pos
     base = rows.withColumn("_skip", skip).withColumn("_t", F.when(~F.col("_skip"), t))
     base = base.withColumn("_p", F.coalesce("_t.pos", F.col(pos).cast("long"))).withColumn("_r", F.coalesce("_t.ref", F.col(ref))).withColumn("_a", F.coalesce("_t.alt", F.col(alt))).drop("_t")
     base = base.withColumn("_go", ~F.col("_skip") & _shiftable(F.col("_p"), F.col("_r"), F.col("_a"))).withColumn("_error", F.lit(None).cast("string"))
+    base = base.persist()
     done, window = base.where(~F.col("_go")), WINDOWS[0]
     moving = base.where("_go")
     while True:

@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = inputs.variants(spark, sf_dir)
-    return v.withColumn("key", ids.encode_key("ci", "pos", "ref", "alt", "asm"))
+    v = v.withColumns({"lin": assembly.linear_position("ci", "pos", "asm"), "ref_slot": alleles.encode_slot("ref"), "alt_slot": alleles.encode_slot("alt")})
+    return v.withColumn("key", ids.compose_key("lin", "asm", "ref_slot", "alt_slot")).drop("lin", "ref_slot", "alt_slot")
 
 
 _KEYED = f"WITH {inputs.sql_variants()}, {sql_keyed('v', 'e')}"
@@ -78,7 +79,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ['GRCh37', 'GRCh38'][asm + 1] AS assembly FROM e"""
 )
 def decode_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _keyed(spark, sf_dir).select(*ROW, ids.decode("key").alias("d")).select(*ROW, "d.*")
+    d = ids.with_decoded(_keyed(spark, sf_dir).select(*ROW, "key"), into="d").select(*ROW, "d.*")
     return d.withColumns({c: F.col(c).cast("long") for c in ("ref_len", "alt_len", "ref_fingerprint", "alt_fingerprint")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskey.functions.assembly import LENGTHS, NAMES, OFFSETS
+from locuskey.functions.assembly import LENGTHS, NAMES, OFFSETS, _at
 
 ROW = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _LETTERS, _DNA = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
@@ -25,7 +25,7 @@ def sql_dna(e: str) -> str:
 
 
 def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
+    return _at(values, index)
 
 
 def sql_list(values: list) -> str:
