@@ -119,12 +119,13 @@ def _round(rows: DataFrame, reference: DataFrame, contig: str, window: int, chun
     more = ok & ~same & F.col("_k0").isNull() & (F.col("_p") - n > 1)
     return (
         seen.withColumn("_m", F.when(ok, moved))
+        .withColumn("_more", more)
         .withColumn("_n1", F.when(ok & (F.length("_r") >= F.length("_a")), F.col("_m")).when(ok, one).otherwise(F.col("_r")))
         .withColumn("_n2", F.when(ok & (F.length("_r") >= F.length("_a")), F.when(F.length("_a") == F.length("_r"), F.col("_m")).otherwise(one)).when(ok, F.col("_m")).otherwise(F.col("_a")))
         .withColumn("_p", F.when(ok & same, F.lit(1).cast("long")).when(ok, F.col("_p") - k).otherwise(F.col("_p")))
         .withColumn("_r", F.col("_n1"))
         .withColumn("_a", F.col("_n2"))
         .withColumn("_error", F.when(~ok, F.concat(F.lit("no reference bases before "), F.col(contig), F.lit(":"), F.col("_p").cast("string"))).otherwise(F.col("_error")))
-        .withColumn("_go", more)
-        .drop("_u", "_long", "_k0", "_m", "_n1", "_n2")
+        .withColumn("_go", F.col("_more"))
+        .drop("_u", "_long", "_k0", "_m", "_more", "_n1", "_n2")
     )
