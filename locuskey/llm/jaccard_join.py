@@ -2,7 +2,7 @@
 
 Jaccard distance is a metric. In a text corpus nearly all distances are 1, so the first pivots are
 single shingles: a document belongs to the regions of its rarest shingles, as many as a partner at
-distance r or less cannot all miss. Inside a region a document is the next pivot: all members are
+distance r or less cannot all miss. Inside a region a document is the next pivot: members are
 measured against it, those within r are its cell and in one component with it. Then only pairs of
 different components matter, and of the largest one only members whose distance to the pivot is
 within r of another's (triangle inequality). What is left is the next region, with a document outside
@@ -29,7 +29,7 @@ BLOCK_BYTES = 4 << 20
 #: Members outside a region's largest component that one task compares with the others, at most.
 LEAF = 128
 #: Levels of pivots; regions that are still larger then are joined in tiles of LEAF by LEAF.
-DEPTH = 6
+DEPTH = 4
 
 
 def _class_key(hashes: np.ndarray) -> bytes:
@@ -229,44 +229,53 @@ def _join_regions(members: DataFrame, sets: DataFrame, tables: Tables, least: in
     group are done, and of a region's largest group only those stay that can be within the radius of another's.
     """
     radius = 1 - least / 100
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
 
-    def linked(more: DataFrame) -> DataFrame:
-        """Old and new components as links; few rows for each class."""
-        return more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-
-    for level in range(depth + 1):
-        state = tables.write(members.join(_once(members, level == 0), "region"), "regions")
-        in_one_task = F.lit(level > 0) & (F.lit(level == depth) | (F.col("n_minor") <= leaf))
-        large = state.where(~in_one_task)
-        if level:
-            leaves = state.where(in_one_task)
-            links = _join_leaves(leaves, sets, tables, least, leaf) if not leaves.isEmpty() else None
-        if large.isEmpty():
-            break
-        pairs = large.where("class <> pivot").select("pivot", "class").distinct()
+    def measure(pairs: DataFrame) -> DataFrame:
+        """(pivot, class) with their distance and whether they link: a written table."""
         measured = (
             pairs.join(sets.select("class", F.col("hashes").alias("_a")), "class")
             .join(sets.select(F.col("class").alias("pivot"), F.col("hashes").alias("_b")), "pivot")
             .select("pivot", "class", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both"), (F.size("_a") + F.size("_b")).cast("long").alias("sum"))
             .select("pivot", "class", F.expr(f"100 * both >= {least} * (sum - both)").alias("near"), (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("d"))
         )
-        measured = tables.write(measured, "distances")
-        near = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        roots = components(linked(near if links is None else near.unionByName(links)), tables)
-        links = None
-        grown = large.drop("group", "major").join(measured, ["pivot", "class"]).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        grown = tables.write(grown.select("region", "class", "d", F.coalesce("root", "class").alias("group")), "grown")
-        counts = grown.groupBy("region", "group").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        return tables.write(measured, "distances")
+
+    def near(measured: DataFrame) -> DataFrame:
+        return measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+
+    def grown(rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with the component that each class is known to be in."""
+        known = roots.select(F.col("node").alias("class"), "root")
+        return rows.join(known, "class", "left").select("region", "class", *columns, F.coalesce("root", "class").alias("group"))
+
+    # Each class is first measured against one pivot, the least of all its regions: that joins most of what belongs together.
+    state = tables.write(members.join(_once(members, True), "region").select("region", "class", "pivot"), "regions")
+    roots = components(near(measure(state.where("class <> pivot").groupBy("class").agg(F.min("pivot").alias("pivot")))), tables)
+    members = tables.write(grown(state), "members")
+    for level in range(depth + 1):
+        state = tables.write(members.join(_once(members, False), "region"), "regions")
+        in_one_task = F.lit(level > 0) & (F.lit(level == depth) | (F.col("n_minor") <= leaf))
+        leaves, large = state.where(in_one_task), state.where(~in_one_task)
+        found = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        if level and not leaves.isEmpty():
+            found.append(_join_leaves(leaves, sets, tables, least, leaf))
+        last = large.isEmpty()
+        if not last:
+            measured = measure(large.where("class <> pivot").select("pivot", "class").distinct())
+            found.append(near(measured))
+        if len(found) > 1:
+            links = found[0]
+            for x in found[1:]:
+                links = links.unionByName(x)
+            roots = components(links, tables)
+        if last:
+            break
+        rest = tables.write(grown(large.drop("group").join(measured, ["pivot", "class"]), "d"), "grown")
+        counts = rest.groupBy("region", "group").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
         major = counts.groupBy("region").agg(F.max(F.struct("n", "group")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("region", F.col("m.group").alias("major"))
         others = counts.join(major, "region").where(F.col("group") != F.col("major")).groupBy("region", "major").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         in_window = (F.col("group") != F.col("major")) | ((F.col("d") + radius + 1e-9 >= F.col("low")) & (F.col("d") - radius - 1e-9 <= F.col("high")))
-        members = grown.join(others, "region").where(in_window).select("region", "class", "group")
-    if links is not None:
-        roots = components(linked(links), tables)
-    if roots is None:
-        roots = components(sets.select(F.col("class").alias("a"), F.col("class").alias("b")), tables)
+        members = rest.join(others, "region").where(in_window).select("region", "class", "group")
     return roots
 
 
