@@ -169,7 +169,7 @@ def _leaf(least: int):
         probe, base = (np.array(table.column(c).to_pylist(), bool) for c in ("_probe", "_base"))
         tiles = np.array([hash(x) for x in zip(*(table.column(c).to_pylist() for c in ("region", "_i", "_j")), strict=True)])
         hashes = table.column("hashes").combine_chunks()
-        ends, flat_all = np.asarray(hashes.offsets), np.asarray(hashes.values)
+        ends, flat_all = np.asarray(hashes.offsets), np.asarray(hashes.values).view(np.uint64)  # in the order they are sorted by
         sets = [flat_all[ends[i] : ends[i + 1]] for i in range(len(keys))]
         order = np.argsort(tiles, kind="stable")
         a, b = [], []
@@ -252,6 +252,7 @@ def _join_regions(members: DataFrame, sets: DataFrame, tables: Tables, least: in
     state = tables.write(members.join(_once(members, True), "region").select("region", "class", "pivot"), "regions")
     roots = components(near(measure(state.where("class <> pivot").groupBy("class").agg(F.min("pivot").alias("pivot")))), tables)
     members = tables.write(grown(state), "members")
+    depth = max(depth, 1)
     for level in range(depth + 1):
         state = tables.write(members.join(_once(members, False), "region"), "regions")
         in_one_task = F.lit(level > 0) & (F.lit(level == depth) | (F.col("n_minor") <= leaf))
