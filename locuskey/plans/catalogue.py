@@ -199,7 +199,7 @@ def validate_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", recursive := true))"
 )
 def contig_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.contigs(spark).withColumn("genbank", F.coalesce("genbank", F.lit(""))).withColumns({c: F.col(c).cast("int") for c in ("chr_index",)})
+    return assembly.contigs(spark).withColumn("genbank", F.coalesce("genbank", F.lit(""))).withColumns({c: F.col(c).cast("int") for c in ("chr_index", "length")})
 
 
 # VCF.

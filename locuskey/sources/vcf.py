@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuskey.functions.assembly import AssemblyNotDetectedError, Scheme, detect_assembly, detect_scheme, resolve_contig
-from locuskey.functions.ids import encode_key, linear_of
+from locuskey.functions.alleles import encode_slot
+from locuskey.functions.assembly import AssemblyNotDetectedError, Scheme, detect_assembly, detect_scheme, linear_position, resolve_contig
+from locuskey.functions.ids import compose_key
 
 GZIP_MAGIC = b"\x1f\x8b"
 #: A missing, overlapping, symbolic or breakend allele: nothing to spell.
@@ -224,8 +225,8 @@ def variants(lines: DataFrame, scheme: Scheme, code: int) -> DataFrame:
     r = records(lines).withColumn("_index", resolve_contig(F.col("chrom"), scheme, asm)).where("_index is not null and pos > 0")
     one = r.withColumn("multiallelic", F.size("alts") > 1).select("*", F.posexplode("alts").alias("allele", "alt")).drop("alts")
     spelled = F.when(F.col("alt").isin(".", "*"), F.lit(".")).otherwise(F.col("alt"))
-    keyed = one.withColumn("key", encode_key(F.col("_index"), F.col("pos"), F.col("ref"), spelled, asm)).where("key is not null")
-    return keyed.withColumn("lin", linear_of("key")).withColumn("asm", asm.cast("tinyint")).drop("_index")
+    parts = one.withColumns({"lin": linear_position("_index", "pos", asm), "_ref": encode_slot("ref"), "_alt": encode_slot(spelled)}).where("lin is not null")
+    return parts.withColumn("key", compose_key("lin", asm, "_ref", "_alt")).withColumn("asm", asm.cast("tinyint")).drop("_index", "_ref", "_alt")
 
 
 def genotypes(found: DataFrame, samples: list[str], types: dict[str, tuple[str, str]] | None = None, wrap: bool = False) -> DataFrame:
