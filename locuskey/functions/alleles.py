@@ -42,8 +42,9 @@ def decode_bases(code, length, most: int = EXACT_BASES) -> Column:
 
 
 def fingerprint(seq) -> Column:
-    """Remainder of the bases (two bits each, others 0) modulo x^17 + x^3 + 1: one step per base."""
-    bases = F.filter(F.split(F.upper(_col(seq)), ""), lambda c: c != "")
+    """Remainder of the bases (two bits each, others 0) modulo x^17 + x^3 + 1: one step per UTF-8 byte; case counts for no base."""
+    letters = F.translate(F.decode(_col(seq).cast("string").cast("binary"), "ISO-8859-1"), "acgt", "ACGT")
+    bases = F.filter(F.split(letters, ""), lambda c: c != "")
     mask = F.lit((1 << FINGERPRINT_BITS) - 1)
 
     def step(h: Column, c: Column) -> Column:

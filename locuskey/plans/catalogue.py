@@ -67,8 +67,7 @@ def allele_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {inputs.sql_fingerprint('left(text, 200)')} AS fingerprint FROM documents WHERE text IS NOT NULL AND regexp_full_match(left(text, 200), '(?s)[ -~\\s]*')".replace("left(text, 200)", "text"))
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.read(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"(?s)^[ -~\s]*$"))
-    return docs.select("doc_id", alleles.fingerprint("text").alias("fingerprint"))
+    return inputs.read(spark, sf_dir, "documents").select("doc_id", alleles.fingerprint("text").alias("fingerprint"))
 
 
 @query(

@@ -13,8 +13,8 @@ _BASES = "ACGT"
 
 def fingerprint(seq: str) -> int:
     h = 0
-    for c in seq.upper():
-        h = (((h << 2) | max(_BASES.find(c), 0)) & 0x1FFFF) ^ ((h >> 15) * 9)
+    for c in seq.encode().decode("latin-1"):
+        h = (((h << 2) | max(_BASES.find(c.upper()), 0)) & 0x1FFFF) ^ ((h >> 15) * 9)
     return h
 
 

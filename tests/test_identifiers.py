@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from locuskey.functions import alleles, assembly, ids
+from locuskey.plans.catalogue import QUERIES
 from locuskey.scalar import VariantId, fingerprint
 
 GOLDEN = [
@@ -40,6 +41,24 @@ def test_fingerprints(spark):
     assert all(fingerprint(s) == f for s, f in FINGERPRINTS.items())
 
 
+def test_fingerprint_query_over_all_documents(spark, tmp_path):
+    def slow(raw):
+        h = 0
+        for b in raw:
+            code = {65: 0, 97: 0, 67: 1, 99: 1, 71: 2, 103: 2, 84: 3, 116: 3}.get(b, 0)
+            for bit in (code >> 1, code & 1):
+                h = h << 1 | bit
+                if h >> 17:
+                    h ^= 1 << 17 | 9
+        return h
+
+    texts = ["", "acgtTGCA" * 9, "Tête à tête, ça gît\n", "straße T", "İ ı ſ t", "日本T語g", "T😀c", "aﬁTG", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in QUERIES["fingerprint"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: None if t is None else slow(t.encode()) for i, t in enumerate(texts)}
+    assert all(fingerprint(t) == got[i] for i, t in enumerate(texts) if t is not None)
+
+
 def test_columns_agree_with_scalar(spark):
     r = random.Random(3)
     rows = []
