@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from locuskey.functions import hgvs
 from locuskey.functions.assembly import chrom_index, parse_assembly, refseq_accession, refseq_index, ucsc_name
 from locuskey.functions.ids import encode_key, with_decoded
-from locuskey.sources.refgenome import with_bases
+from locuskey.sources.refgenome import CHUNK, with_bases, with_long_bases
 
 
-def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None = None, expected: str | None = None, contig: str | None = None) -> DataFrame:
+def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None = None, expected: str | None = None, contig: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``rows`` with chr_index, asm, pos, ref, alt, key and error.
 
     The assembly is the one whose accession it is, GRCh38 where both have it. ``expected`` is an assembly
-    code that it must be. Bases come from ``reference``, looked up under column ``contig`` or the UCSC name.
+    code that it must be. Bases come from ``reference``, looked up under column ``contig`` or the UCSC name;
+    ``chunk`` is the length of its chunks, and a span may lie over any number of them.
     """
     v = rows.withColumn("_v", hgvs.parse(text))
     both = F.coalesce(F.when(refseq_index("_v.accession", F.lit(1)).isNotNull(), F.lit(1)), F.when(refseq_index("_v.accession", F.lit(0)).isNotNull(), F.lit(0)))
     v = v.withColumn("asm", both).withColumn("chr_index", refseq_index("_v.accession", F.col("asm"))).withColumn("_c", F.col(contig) if contig else ucsc_name("chr_index"))
     if reference is not None:
-        v = with_bases(v, reference, "_c", *hgvs.needed_span("_v"), "_b")
+        v = with_long_bases(v, reference, "_c", *hgvs.needed_span("_v"), "_b", chunk)
     else:
         v = v.withColumn("_b", F.lit(None).cast("string"))
     v = v.withColumn("_x", hgvs.to_variant("_v", "_b"))

@@ -191,7 +191,7 @@ def from_fasta(spark: SparkSession, path: str, chunk: int = CHUNK, lookback: int
 def with_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column, last: Column, into: str = "bases", chunk: int = CHUNK) -> DataFrame:
     """``rows`` with the reference's bases from ``first`` to ``last`` (from 1, both included); null where they are not all there.
 
-    A span must not be longer than a chunk's lookback; it is looked up in the chunk of its last base.
+    A span must not be longer than a chunk's lookback (``with_long_bases`` takes others); it is looked up in the chunk of its last base.
     """
     spot = rows.withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long")).withColumn("_chunk", F.floor((F.col("_last") - 1) / chunk))
     ref = reference.select(F.col("contig").alias("_ref_contig"), F.col("chunk").alias("_ref_chunk"), F.col("start").alias("_ref_start"), F.col("seq").alias("_ref_seq"))
@@ -200,3 +200,27 @@ def with_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column
     there = (F.col("_first") >= F.col("_ref_start")) & (F.col("_first") >= 1) & (F.col("_first") <= F.col("_last"))
     text = F.when(there, F.substring(F.col("_ref_seq"), (F.col("_first") - F.col("_ref_start") + 1).cast("int"), n))
     return joined.withColumn(into, F.when(F.length(text) == n, text)).drop("_first", "_last", "_chunk", "_ref_contig", "_ref_chunk", "_ref_start", "_ref_seq")
+
+
+def with_long_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column, last: Column, into: str = "bases", chunk: int = CHUNK) -> DataFrame:
+    """``with_bases`` for spans of any length.
+
+    A span that begins before its last base's chunk row does is put together from all its chunks, once for all
+    rows that ask for it. Only spans whose last base is there are cut into chunks, so a contig's length bounds their number.
+    """
+    spot = rows.withColumn("_f", first.cast("long")).withColumn("_l", last.cast("long"))
+    at = lambda p: F.floor((F.col(p) - 1) / chunk)
+    ref = reference.select(F.col("contig").alias("_k"), F.col("chunk").alias("_ref_chunk"), F.col("start").alias("_ref_start"), F.col("seq").alias("_ref_seq"))
+    crossing = spot.where((F.col("_f") >= 1) & (at("_f") < at("_l"))).select(F.col(contig).alias("_k"), "_f", "_l").distinct()
+    ends = ref.select("_k", F.col("_ref_chunk").alias("_at"), "_ref_start", (F.col("_ref_start") + F.length("_ref_seq") - 1).alias("_ref_end"))
+    long = crossing.withColumn("_at", at("_l")).join(ends, ["_k", "_at"]).where((F.col("_f") < F.col("_ref_start")) & (F.col("_l") <= F.col("_ref_end")))
+    parts = long.select("_k", "_f", "_l", F.explode(F.sequence(at("_f"), at("_l"))).alias("_ref_chunk")).join(ref, ["_k", "_ref_chunk"])
+    a = F.greatest(F.col("_f"), F.col("_ref_chunk") * chunk + 1)
+    b = F.least(F.col("_l"), (F.col("_ref_chunk") + 1) * chunk)
+    text = F.substring(F.col("_ref_seq"), (a - F.col("_ref_start") + 1).cast("int"), (b - a + 1).cast("int"))
+    whole = parts.groupBy("_k", "_f", "_l").agg(F.array_sort(F.collect_list(F.struct("_ref_chunk", text.alias("text")))).alias("_parts"))
+    whole = whole.select(F.col("_k").alias("_long_k"), F.col("_f").alias("_long_f"), F.col("_l").alias("_long_l"), F.array_join(F.col("_parts.text"), "").alias("_long"))
+    found = with_bases(spot, reference, contig, F.col("_f"), F.col("_l"), into, chunk)
+    joined = found.join(whole, (F.col(contig) == F.col("_long_k")) & (F.col("_f") == F.col("_long_f")) & (F.col("_l") == F.col("_long_l")), "left")
+    complete = F.when(F.length("_long") == F.col("_l") - F.col("_f") + 1, F.col("_long"))
+    return joined.withColumn(into, F.coalesce(F.col(into), complete)).drop("_f", "_l", "_long_k", "_long_f", "_long_l", "_long")

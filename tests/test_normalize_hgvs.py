@@ -102,3 +102,33 @@ def test_hgvs_to_id(spark):
     assert {r.hgvs: r.error for r in hgvs_to_id(odd, expected=1).collect()} == {"NC_999999.1:g.1A>G": "unknown accession", "NC_000001.10:g.12345A>G": "assembly mismatch"}
     keys = spark.createDataFrame([(VariantId.encode("chr1", 100, "TACG", "T").to_hex(),), (VariantId.encode("chr1", 103, "G", "GACG").to_hex(),)], "h string").withColumn("key", F.regexp_replace("h", "-", ""))
     assert [r.hgvs for r in id_to_hgvs(keys).collect()] == ["NC_000001.11:g.101_103delACG", "NC_000001.11:g.103_104insACG"]
+
+
+def test_hgvs_to_id_over_several_chunks(spark):
+    r = random.Random(5)
+    seq = "".join(r.choice("ACGT") for _ in range(1010))
+    reference = refgenome.from_dict(spark, {"chr1": seq}, chunk=100, lookback=10)
+    back = {"A": "T", "C": "G", "G": "C", "T": "A"}
+    want = {}
+    for _ in range(40):
+        a = r.randint(2, 990)
+        b = r.randint(a + 1, 1010)
+        x = seq[a - 1 : b]
+        name = f"NC_000001.11:g.{a}_{b}"
+        want |= {
+            f"{name}del": (a - 1, seq[a - 2] + x, seq[a - 2]),
+            f"{name}del{x}": (a - 1, seq[a - 2] + x, seq[a - 2]),
+            f"{name}delinsTT": (a, x, "TT"),
+            f"{name}dup": (b, seq[b - 1], seq[b - 1] + x),
+            f"{name}dup{x}": (b, seq[b - 1], seq[b - 1] + x),
+            f"{name}inv": (a, x, "".join(back[c] for c in reversed(x))),
+        }
+    outside = {f"NC_000001.11:g.{a}_{b}inv" for a, b in ((500, 1011), (500, 9_000_000_000_000_000_000), (5000, 9000), (900, 300))}
+    df = spark.createDataFrame([(t,) for t in [*want, *want, *outside]], "hgvs string")
+    rows = hgvs_to_id(df, reference=reference, chunk=100).collect()
+    assert len(rows) == df.count()
+    for x in rows:
+        if x.hgvs in outside:
+            assert (x.error, x.key) == ("reference required", None)
+        else:
+            assert x.error is None and (x.pos, x.ref, x.alt) == want[x.hgvs] and x.key == VariantId.encode("chr1", *want[x.hgvs]).to_hex().replace("-", "")
