@@ -58,8 +58,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    """Pieces of the documents with their ids, and their places in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

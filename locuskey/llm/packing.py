@@ -77,7 +77,7 @@ class WordIds:
 _encoders: dict[str, WordIds] = {}
 
 
-def _pieces(path: str, end_id: int, length: int, with_ids: bool):
+def _pieces(path: str, end_id: int, length: int):
     def run(batches):
         encoder = _encoders.get(path)
         if encoder is None:
@@ -88,9 +88,10 @@ def _pieces(path: str, end_id: int, length: int, with_ids: bool):
                 words = Words(data, offsets[a : b + 1])
                 ids, begins = encoder.ids(words)
                 edges = begins[words.first]
-                rows, starts, lengths, sums, totals, parts = [], [], [], [], [], []
+                rows, starts, lengths, sums, totals, parts = [], [], [], [], [], [np.zeros(0, "<u4")]
                 for r in range(b - a):
                     own = np.append(ids[edges[r] : edges[r + 1]], np.int32(end_id)).astype("<u4")
+                    parts.append(own)
                     for s in range(0, len(own), length):
                         piece = own[s : s + length]
                         rows.append(a + r)
@@ -98,14 +99,10 @@ def _pieces(path: str, end_id: int, length: int, with_ids: bool):
                         lengths.append(len(piece))
                         sums.append(zlib.crc32(piece.tobytes()))
                         totals.append(len(own))
-                        if with_ids:
-                            parts.append(piece.astype(np.int32))
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
-                names = ["_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns.append(pa.array(parts, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                ends = np.cumsum([0, *lengths]).astype(np.int32)
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sums, totals))]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "start", "_sum", "doc_tokens", "ids"])
 
     return run
 
@@ -151,20 +148,33 @@ class FirstFit:
 
 def _pack_group(length: int):
     def run(key, table):
-        sizes = np.asarray(table.column("length").combine_chunks())
+        table = table.combine_chunks()
+        pieces = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in table.column("ids").chunks]
+        sizes = np.concatenate([np.diff(offsets) for _, offsets in pieces]).astype(np.int64)
+        sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for ids, offsets in pieces for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         order = np.lexsort((np.asarray(table.column("start").combine_chunks()), np.asarray(table.column("_tie").combine_chunks()), -sizes))
         bins = FirstFit(length)
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for i in order:
             sequence[i], offset[i] = bins.place(int(sizes[i]))
-        out = table.drop_columns(["_group", "_tie"])
-        return out.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence)).append_column("offset", pa.array(offset))
+        return pa.table(
+            {
+                "_id": table.column("_id"),
+                "start": table.column("start"),
+                "length": pa.array(sizes),
+                "ids_crc32": pa.array(sums, pa.int64()),
+                "doc_tokens": table.column("doc_tokens"),
+                "ids": table.column("ids"),
+                "sequence_id": pa.array((key[0].as_py() << 32) + sequence),
+                "offset": pa.array(offset),
+            }
+        )
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, with_ids: bool = True, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces of documents and their places: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where ``with_ids``.
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Pieces of documents and their places: id, start, length, ids_crc32 (of the packed ids), doc_tokens, ids, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizers file, the same on all executors. A document is its ids
     without special tokens and then ``end_id``; a null or empty text is ``end_id`` alone. Each id lies
@@ -177,10 +187,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     tables = Tables(spark)
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
-    fields = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = tables.write(own.mapInArrow(_pieces(tokenizer, end_id, length, with_ids), fields), "pieces")
+    pieces = tables.write(own.mapInArrow(_pieces(tokenizer, end_id, length), f"_id {kind}, start long, _sum long, doc_tokens long, ids array<int>"), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    tie = F.xxhash64("_id", "ids_crc32")
-    dealt = pieces.withColumn("_tie", tie).withColumn("_group", F.pmod(F.xxhash64("_tie", "start", F.lit(11)), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInArrow(_pack_group(length), f"{fields}, sequence_id long, offset long")
+    dealt = pieces.withColumn("_tie", F.xxhash64("_id", "_sum")).withColumn("_group", F.pmod(F.xxhash64("_tie", "start", F.lit(11)), F.lit(groups))).drop("_sum")
+    fields = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, sequence_id long, offset long"
+    packed = dealt.groupBy("_group").applyInArrow(_pack_group(length), fields)
     return packed.withColumnRenamed("_id", id_col)

@@ -42,7 +42,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2, with_ids=False)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2).drop("ids")
 
 
 #: The shards of op5_sharding.
@@ -60,7 +60,7 @@ def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

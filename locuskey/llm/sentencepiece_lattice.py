@@ -272,7 +272,7 @@ def _gather(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - count), count) + np.arange(total)
 
 
-def _finish(path: str, ranges: int, with_ids: bool, id_type: T.DataType):
+def _finish(path: str, ranges: int, id_type: T.DataType):
     def run(docs, answers):
         block = _Block(docs, path, ranges)
         count = np.zeros(len(block.segments), np.int64)
@@ -304,12 +304,10 @@ def _finish(path: str, ranges: int, with_ids: bool, id_type: T.DataType):
                 n_pieces.append(b - a)
                 sums.append(zlib.crc32(piece.tobytes()))
                 same.append(decoder.decode(piece) == raw[block.offsets[row] : block.offsets[row + 1]])
-                if with_ids:
-                    ids.append(piece.astype(np.int32))
+                ids.append(piece.astype(np.int32))
                 row += 1
         out = {"_id": pa.array(block.ids, docs.schema.field("_ids").type.value_type), "n_pieces": pa.array(n_pieces, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
-        if with_ids:
-            out["ids"] = pa.array(ids, pa.list_(pa.int32()))
+        out["ids"] = pa.array(ids, pa.list_(pa.int32()))
         return pa.table(out)
 
     return run
@@ -426,8 +424,8 @@ def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return fold(edges(segments, vocabulary), vocabulary)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), round_trip (whether the ids decode to the text), and ids where ``with_ids``.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), round_trip (whether the ids decode to the text), ids.
 
     ``model`` is the path of a SentencePiece model, the same on all executors. A null or empty text has no
     ids. Characters without a piece become byte pieces. Repeated rows are encoded as often as they come.
@@ -446,10 +444,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
     encoded = encode_segments(distinct.select("segment").repartition(n, "segment"), vocabulary)
     ranged = encoded.select(_range_of("segment", n).alias("_range"), "segment", "ids")
     answers = asked.groupBy("_range").cogroup(ranged.groupBy("_range")).applyInArrow(_answer(model), "_block long, _range long, _encoded binary")
-    fields = [T.StructField("_id", kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    if with_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    out = blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_finish(model, n, with_ids, kind), T.StructType(fields))
+    fields = [T.StructField("_id", kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    out = blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_finish(model, n, kind), T.StructType(fields))
     return out.withColumnRenamed("_id", id_col)
 
 

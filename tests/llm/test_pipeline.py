@@ -1,5 +1,11 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from locuskey.llm.queries import op4_packing, op7_sentencepiece
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,3 +28,17 @@ def test_extra_columns_and_nulls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns, name
+
+
+def test_last_stage_and_queries_carry_the_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    whole = {r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [2] for r in docs.collect()}
+    rows = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert sum(len(r.ids) for r in rows) == sum(map(len, whole.values()))
+    for r in rows:
+        assert list(r.ids) == whole[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for query in (op4_packing, op7_sentencepiece):
+        out = query(spark, DATA)
+        assert "ids#" in out._jdf.queryExecution().optimizedPlan().toString() and "ids" not in out.columns
