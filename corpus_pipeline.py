@@ -53,8 +53,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; n_chars follows the text."""
-    cut = remove_repeated_windows(_nested(docs))
-    return _as_before(cut, docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
+    cut = remove_repeated_windows(_nested(docs), keep_spaces=True)
+    n_chars = F.when(F.col("n_removed") == 0, F.col("_columns").getField("n_chars")).otherwise(F.length("kept_text").cast("long"))
+    return _as_before(cut, docs, text=F.col("kept_text"), n_chars=n_chars)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

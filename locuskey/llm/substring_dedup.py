@@ -78,10 +78,11 @@ def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == x
 
 
-def _remove(width: int):
+def _remove(width: int, keep_spaces: bool):
     def run(docs, answers):
         wanted = np.unique(np.concatenate([*(np.frombuffer(x, np.uint64) for x in answers.column("_repeated").to_pylist()), np.zeros(0, np.uint64)]))
         data, offsets = text_buffers(docs.column("_text"))
+        nulls = docs.column("_text").is_null().to_pylist()
         n_words, n_removed, spans, texts, digests = [], [], [], [], []
         for a, b in chunks(data, offsets):
             words = Words(data, offsets[a : b + 1])
@@ -108,7 +109,13 @@ def _remove(width: int):
                 n_words.append(end - first)
                 n_removed.append(gone)
                 spans.append([{"start": s, "end": e} for s, e in own])
-                texts.append(kept.decode("utf-8", "replace"))
+                if keep_spaces:
+                    left = [0, *(int(words.ends[first + e - 1]) - int(words.offsets[r]) for _, e in own)]
+                    right = [*(int(words.starts[first + s]) - int(words.offsets[r]) for s, _ in own), len(whole)]
+                    cut = b"".join(whole[s:e] for s, e in zip(left, right, strict=True))
+                    texts.append(None if nulls[len(texts)] else cut.decode("utf-8", "replace"))
+                else:
+                    texts.append(kept.decode("utf-8", "replace"))
                 digests.append(hashlib.sha256(kept).hexdigest())
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return pa.table(
@@ -125,14 +132,15 @@ def _remove(width: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = 35, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = 35, text: str = "text", block_bytes: int = BLOCK_BYTES, keep_spaces: bool = False) -> DataFrame:
     """All columns of ``docs``, and n_words, n_removed, removed_spans (word positions, end exclusive), kept_text, kept_sha256.
 
     Words are cut at ASCII white space and compared unchanged; a window whose word sequence starts
     anywhere else as well, in the same document too, loses all its words. Null and empty texts have
     no words and keep the empty text; rows are documents of their own, so repeated rows (whatever
     their ids) repeat each other's windows; texts shorter than ``width`` words stay whole. Of
-    columns that are named like a result, the result is returned.
+    columns that are named like a result, the result is returned. With ``keep_spaces`` kept_text is the
+    text itself (null for a null) without the bytes of the removed spans; kept_sha256 is the same either way.
     """
     spark = docs.sparkSession
     send_package(spark)
@@ -146,6 +154,6 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, text: str = "text"
     kept = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), *RESULT.fields])
     sent = rows.groupBy("_block").applyInArrow(_window_hashes(width, n), "_range long, _block long, _hashes binary, _again binary")
     answers = sent.groupBy("_range").applyInArrow(_repeated, "_block long, _repeated binary")
-    out = rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_remove(width), kept)
+    out = rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_remove(width, keep_spaces), kept)
     new = {f.name for f in RESULT.fields}
     return out.select(*[F.col("_row").getField(c).alias(c) for c in carried if c not in new], *[F.col(c) for c in RESULT.names])

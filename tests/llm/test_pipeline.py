@@ -42,3 +42,12 @@ def test_last_stage_and_queries_carry_the_ids(spark):
     for query in (op4_packing, op7_sentencepiece):
         out = query(spark, DATA)
         assert "ids#" in out._jdf.queryExecution().optimizedPlan().toString() and "ids" not in out.columns
+
+
+def test_substring_stage_keeps_white_space(spark):
+    twice = " ".join(f"w{i}" for i in range(40))
+    texts = {1: " a\tb\r\n\nc  é ", 2: None, 3: f"Line 1\n\n{twice}\n  end\t", 4: twice, 5: ""}
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, docs, DATA).collect()}
+    want = "Line 1\n\n\n  end\t"
+    assert got == {1: (texts[1], len(texts[1])), 2: (None, None), 3: (want, len(want)), 4: ("", 0), 5: ("", 0)}
