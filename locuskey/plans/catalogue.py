@@ -317,7 +317,7 @@ def annotate_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotate_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = inputs.vcf_lines(spark, sf_dir)
     same = annotate.annotate_lines(lines, Scheme.UCSC, 1).where(F.split("value", "\t")[2] == "rs1")
-    short = annotate.annotate_lines(lines.where("l_orderkey % 11 = 0").withColumn("value", F.concat(F.lit("broken\t"), F.col("k").cast("string"))), Scheme.UCSC, 1)
+    short = annotate.annotate_lines(lines.withColumn("value", F.concat(F.lit("broken\t"), F.col("k").cast("string"))), Scheme.UCSC, 1)
     return same.select(*ROW, F.substring_index("value", "\t", 3).alias("head")).unionByName(short.select(*ROW, F.col("value").alias("head")))
 
 

@@ -112,3 +112,10 @@ def test_stream(spark, source, tmp_path):
     q = ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["key"], ["value"]).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_malformed_line_of_every_row(spark):
+    from locuskey.plans import catalogue, inputs
+
+    data = "/root/testdata/sf0.001"
+    assert catalogue.annotate_malformed(spark, data).where("head like 'broken%'").count() == inputs.vcf_lines(spark, data).count()
