@@ -11,7 +11,8 @@ from locuskey.llm import bm25, langid, quality, sentencepiece_lattice
 from locuskey.llm.embedding_dedup import near_vectors
 from locuskey.llm.jaccard_join import similar_documents
 from locuskey.llm.packing import pack
-from locuskey.llm.sharding import place
+from locuskey.llm.scratch import new_path
+from locuskey.llm.sharding import place, write_shards
 from locuskey.llm.substring_dedup import remove_repeated_windows
 from locuskey.llm.warc import read_archives, resolve_revisits, write_archives
 
@@ -50,7 +51,10 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    placed = place(_read(spark, sf_dir, "documents"), SHARDS)
+    path = new_path(spark, "shards")
+    write_shards(placed, path)
+    return spark.read.schema(placed.schema).parquet(path).select("doc_id", "slot", "shard")
 
 
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +12,8 @@ from tokenizers import Tokenizer
 from locuskey.llm import sentencepiece_lattice as lattice
 from locuskey.llm import warc
 from locuskey.llm.packing import FirstFit, pack
-from locuskey.llm.sharding import SLOTS, lookup_table, place
+from locuskey.llm.queries import op5_sharding
+from locuskey.llm.sharding import SLOTS, lookup_table, place, write_shards
 
 TEXTS = ["", None, " ", "a  b", "Hello, World's <|endoftext|> 12 é É ﬁ", "日本語 text\x0bwith\x1codd spaces", "x" * 5000, "word " * 9000, "\n\n;\r\n", "a▁b", "😀 ok", "<s> hi"]
 
@@ -124,3 +126,19 @@ def test_lattice_has_no_second_shuffle(spark):
     df = spark.createDataFrame([("ab",)], "segment string").repartition(4, F.col("segment"))
     plan = lattice.encode_segments(df, v)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i % 90 if i % 10 else None, f"text {i}\n") for i in range(400)], "doc_id long, text string")
+    names = [f"s{i}" for i in range(7)]
+    placed = place(df, names)
+    write_shards(placed, str(tmp_path / "out"), file_rows=20)
+    back = spark.read.schema(placed.schema).parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, placed.collect()))
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} <= {f"shard={n}" for n in names}
+    data = "/root/testdata/sf0.001"
+    out = op5_sharding(spark, data)
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0]))
+    whole = spark.read.parquet(f"{data}/documents.parquet")
+    assert spark.read.parquet(folder).select(whole.columns).exceptAll(whole).count() == 0
+    assert out.columns == ["doc_id", "slot", "shard"] and out.count() == whole.count()
