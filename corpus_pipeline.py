@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained model and a tokenizer are no SQL; the tests hold the pipeline against its stages by brute force.
+#: A trained model and a tokenizer are no SQL; no test holds run() or the stages' decisions against plain code yet.
 ORACLE_SQL = None
 
 
