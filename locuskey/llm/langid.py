@@ -9,6 +9,7 @@ different word of a chunk.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locuskey.llm.scratch import send_package
-from locuskey.llm.splits import fold, share_below
+from locuskey.llm.splits import fold, share_below, with_text
 from locuskey.llm.textkernel import Words, chunks, text_buffers
 
 #: Rows of a language that the fit uses at most, about.
 PER_LANGUAGE = 1500
+#: Languages that are learned at most: those with the most rows.
+LANGUAGES = 256
 BUCKETS = 1 << 16
-_CHUNK = 8 << 20
 _SCALE = 30.0
-_POINTS = 0x30000
+_POINTS = sys.maxunicode + 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _tables: list[np.ndarray] = []
 
@@ -48,9 +50,9 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = b" " + b" ".join(texts) + b" "
     points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t.decode("utf-8", "replace")) for t in texts], np.int64)
-    owner = np.zeros(len(points), np.int64)
-    owner[1:-1] = np.concatenate([np.repeat(np.arange(len(texts)), sizes + 1)])[: len(points) - 2] if len(texts) else 0
-    c = _lower_letters()[np.minimum(points, _POINTS - 1)].astype(np.uint64)
+    owner = np.zeros(len(points), np.int32)
+    owner[1:-1] = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)[: len(points) - 2] if len(texts) else 0
+    c = _lower_letters()[points].astype(np.uint64)
     letter = c > 0
     one = np.flatnonzero(letter)
     owners, buckets = [owner[one]], [_bucket(c[one] * _MIX[0])]
@@ -66,7 +68,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 @dataclass
@@ -87,7 +89,7 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[s
     tags: list[str] = []
     scores: list[float] = []
     k = len(model.languages)
-    for a, b in chunks(data, offsets, _CHUNK):
+    for a, b in chunks(data, offsets):
         words = Words(data, offsets[a : b + 1])
         n = b - a
         if not len(words.hashes) or not k:
@@ -154,7 +156,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
             b, c, y = rows[i]
             model.learn(*vector(b, c), y)
     w = model.weights()
-    out = Model(languages, w[:-1] * idf[:, None], w[-1], 1.0)
+    out = Model(languages, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], 1.0)
     if held:
         logits = np.array([v @ w[b] for b, v in (vector(rows[i][0], rows[i][1]) for i in held)])
         y = np.array([rows[i][2] for i in held])
@@ -190,20 +192,21 @@ def _emit(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(index, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["_lang", "index", "count"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> Model:
     """A model from about ``per_language`` rows of each language, out of rows whose crc32(id) modulo ``folds`` isn't ``held_out``.
 
-    Rows with a null id, text or language, or without letters, teach nothing. No rows give a model without languages.
+    Rows with a null id, text or language, or without letters, teach nothing, and repeated rows count once. Of more
+    than ``most`` languages those with the most rows are learned (ties: the first by name). No rows give a model
+    without languages.
     """
     send_package(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang"))
     own = own.where("_id is not null and _lang is not null").where(fold(F.col("_id"), folds) != held_out)
-    counts = dict(own.groupBy("_lang").count().collect())  # one number for each language there is
+    counts = dict(own.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(most).collect())
     if not counts:
         return train([], [])
     shares = F.coalesce(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_language / n))])[F.col("_lang")], F.lit(0.0))
-    # A constant map is searched in order; there are few languages.
-    table = own.where("_text is not null").where(share_below(F.col("_id"), shares, salt=31)).select("_lang", "_text").mapInArrow(_emit, "_lang string, index array<int>, count array<int>").toArrow()
+    table = own.where("_text is not null").where(share_below([F.col("_id"), F.col("_text")], shares, salt=31)).distinct().select("_lang", "_text").mapInArrow(_emit, "_lang string, index array<int>, count array<int>").toArrow()
     languages = sorted(counts)
     position = {x: i for i, x in enumerate(languages)}
     rows = []
@@ -217,10 +220,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return train(rows, languages)
 
 
-def _label(model: Model):
+def _label(model: Model, within: str | None):
     def run(batches):
         for batch in batches:
-            tags, scores = predict(model, *text_buffers(batch.column("_text")))
+            texts = batch.column("_row").field(within) if within else batch.column("_text")
+            tags, scores = predict(model, *text_buffers(texts))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
     return run
@@ -229,12 +233,12 @@ def _label(model: Model):
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", folds: int = 4, held_out: int = 2, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs`` (the text only with ``keep_text``) and held_out, lang_pred, score (the probability of lang_pred).
 
-    A null text, and a text without a letter, is ``und`` with score 0. Columns that are named like a result are replaced.
+    A null text, and a text without a letter, is ``und`` with score 0; an empty table gives an empty one, and
+    repeated rows are labelled as often as they come. Columns that are named like a result are replaced.
     """
     send_package(docs.sparkSession)
     new = {"held_out", "lang_pred", "score"}
-    carried = [c for c in docs.columns if c not in new and (keep_text or c != text)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried], F.lit(None).cast("int").alias("_pad")).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows, carried = with_text(docs, new, text, keep_text)
     kind = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(_label(model), kind)
+    out = rows.mapInArrow(_label(model, text if keep_text else None), kind)
     return out.select(*[F.col("_row").getField(c).alias(c) for c in carried], (fold(F.col("_row").getField(id_col), folds) == held_out).alias("held_out"), "lang_pred", "score")

@@ -16,20 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuskey.llm.scratch import Tables, send_package
-from locuskey.llm.textkernel import Words, chunks, text_buffers
+from locuskey.llm.textkernel import Words, chunks, distinct_runs, text_buffers
 
 #: Pieces in a group, about.
 GROUP_PIECES = 4096
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1 << 21
-_CHUNK = 4 << 20
+REMEMBERED = 1 << 19
+_PROBE = ["Aa", "b1", "c.", "Ünï", "東京", "x_y"]
 
 
 class WordIds:
     """Token ids of white-space separated words, each different word encoded once.
 
-    Right for tokenizers whose result over a text is the results over its words joined, such as those
-    that drop white space.
+    Only for tokenizers whose result over a text is the results over its words joined, such as those
+    that drop white space; others are refused. Words count as the same if their bytes are.
     """
 
     def __init__(self, path: str):
@@ -37,11 +37,16 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        apart = [i for x in self._encode(_PROBE) for i in x]
+        if any(x != apart for x in self._encode([gap.join(_PROBE) for gap in (" ", "\t", "\n  ")])):
+            raise ValueError(f"{path}: white space changes the ids of words")
         self._clear()
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self):
-        self.hashes = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -49,28 +54,22 @@ class WordIds:
         """All ids, and where each word's begin (one entry more)."""
         if not len(words.hashes):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        different, sample, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        sample, which = distinct_runs(words.bytes, words.starts, words.ends, words.hashes)
+        if len(self.known) > REMEMBERED:
             self._clear()
-        at = np.searchsorted(self.hashes, different)
-        known = np.zeros(len(different), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == different
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = words.bytes.tobytes()
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[sample[new]].tolist(), words.ends[sample[new]].tolist(), strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.array([len(x) for x in found], np.int64)
-            begin = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(count.sum()))])
-            self.begin, self.count = np.insert(self.begin, at[new], begin), np.insert(self.count, at[new], count)
-            self.hashes = np.insert(self.hashes, at[new], different[new])
-            at = np.searchsorted(self.hashes, different)
-        count = self.count[at][which]
+        raw = words.bytes.tobytes()
+        texts = [raw[s:e] for s, e in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), strict=True)]
+        new = list(dict.fromkeys(t for t in texts if t not in self.known))
+        if new:
+            found = self._encode([t.decode("utf-8", "replace") for t in new])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.count = np.concatenate([self.count, [len(x) for x in found]]).astype(np.int64)
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32)])
+        at = np.fromiter((self.known[t] for t in texts), np.int64, len(texts))[which]
+        count = self.count[at]
         ends = np.cumsum(count)
-        total = int(ends[-1])
-        take = np.repeat(self.begin[at][which] - (ends - count), count) + np.arange(total)
+        begin = (np.cumsum(self.count) - self.count)[at]
+        take = np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]))
         return self.flat[take], np.concatenate([[0], ends])
 
 
@@ -84,7 +83,7 @@ def _pieces(path: str, end_id: int, length: int):
             encoder = _encoders[path] = WordIds(path)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in chunks(data, offsets, _CHUNK):
+            for a, b in chunks(data, offsets):
                 words = Words(data, offsets[a : b + 1])
                 ids, begins = encoder.ids(words)
                 edges = begins[words.first]

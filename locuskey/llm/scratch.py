@@ -77,6 +77,11 @@ def blocks_for(df: DataFrame, block_bytes: int) -> int:
     return int(max(least, -(-size // block_bytes)))
 
 
+def tasks_for(groups: int) -> int:
+    """Shuffle partitions for so many groups: one each, up to a number that a driver can keep account of; a task then has several groups in turn."""
+    return min(groups, 1 << 15)
+
+
 _sent: set[str] = set()
 
 

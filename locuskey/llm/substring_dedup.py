@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locuskey.llm.scratch import blocks_for, send_package
+from locuskey.llm.scratch import blocks_for, send_package, tasks_for
 from locuskey.llm.textkernel import Words, chunks, joined, text_buffers
 
 #: Parquet bytes of documents in a block.
@@ -150,7 +150,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, text: str = "text"
         F.pmod(F.xxhash64(F.col(f"`{text}`"), F.struct(*[F.col(f"`{c}`").cast("string") for c in carried[:1]])), F.lit(n)).alias("_block"),
         F.col(f"`{text}`").cast("string").alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in carried] or [F.lit(None).alias("_none")]).alias("_row"),
-    ).repartition(n, "_block")
+    ).repartition(tasks_for(n), "_block")
     kept = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), *RESULT.fields])
     sent = rows.groupBy("_block").applyInArrow(_window_hashes(width, n), "_range long, _block long, _hashes binary, _again binary")
     answers = sent.groupBy("_range").applyInArrow(_repeated, "_block long, _repeated binary")

@@ -2,8 +2,9 @@
 
 A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``; such bytes never occur inside a
 multi-byte UTF-8 character, so byte positions are safe cut points. All hashes are 64-bit and the
-same on every machine and in every run: a word is a polynomial over random byte constants, and
-what is built from words (shingles, windows) is a polynomial over finalised word hashes.
+same on every machine and in every run: a word is a sum of random numbers drawn for each pair of byte
+and place in the word, so that no arithmetic of one base makes different words equal, and what is
+built from words (shingles, windows) is a polynomial over finalised word hashes.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are worked on at once, a text more at most.
+CHUNK_BYTES = 1 << 20
 
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-_SEGMENT = 1 << 20
+#: Places in a word that have random numbers of their own; further on they are multiplied by one for each round.
+_PLACES = 64
 
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, *range(0x09, 0x0E)]] = True
 _constants = np.random.RandomState(20240229)
-_plain = _constants.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_plain = _constants.randint(-(2**63), 2**63 - 1, (_PLACES, 256), dtype=np.int64).view(np.uint64)
 _lower = _plain.copy()
-_lower[65:91] = _plain[97:123]
+_lower[:, 65:91] = _plain[:, 97:123]
+_plain, _lower = _plain.ravel(), _lower.ravel()
 
 
 def finalise(x: np.ndarray) -> np.ndarray:
@@ -52,7 +56,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_word_powers = _Powers(_WORD_BASE)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,46 @@ def spaces_but(others: bytes) -> np.ndarray:
     return mask
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of some non-empty runs of bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    table = _lower if lower else _plain
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
+    inside = np.repeat((starts - begin).astype(np.int32), size) + np.arange(len(place), dtype=np.int32)
+    value = table[((place & (_PLACES - 1)) << 8) | data[inside]]
+    if int(size.max()) > _PLACES:
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] *= finalise((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
+    return finalise(np.add.reduceat(value, begin) + size.astype(np.uint64))
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a sample of each different run, for each run the index of its sample): by hash, and the bytes are compared."""
+    _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    other = sample[which]
+    same = size == size[other]
+    rows = np.flatnonzero(same & (other != np.arange(len(other))))
+    count = size[rows]
+    last = np.cumsum(count)
+    spot = np.arange(int(last[-1]) if len(last) else 0, dtype=np.int32) - np.repeat((last - count).astype(np.int32), count)
+    own = np.repeat(starts[rows].astype(np.int32), count) + spot
+    its = np.repeat(starts[other[rows]].astype(np.int32), count) + spot
+    differ = data[own] != data[its]
+    if differ.any():
+        same[np.repeat(rows, count)[differ]] = False
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        # Runs of one hash that differ stand for themselves.
+        which = which.copy()
+        which[odd] = len(sample) + np.arange(len(odd))
+        sample = np.concatenate([sample, odd])
+    return sample, which
+
+
 class Words:
     """Words of some rows: byte positions, hashes, and each row's first word (``first`` has a row more).
 
@@ -111,21 +155,7 @@ class Words:
             bounds = np.unique(np.concatenate([self.offsets, self.ends]))
             self.starts, self.ends = bounds[:-1], bounds[1:]
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = self._hash(_lower if lower else _plain)
-
-    def _hash(self, table: np.ndarray) -> np.ndarray:
-        out, i, n = np.empty(len(self.starts), np.uint64), 0, len(self.starts)
-        while i < n:
-            s0 = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, s0 + _SEGMENT, "right")))
-            part = self.bytes[s0 : self.ends[j - 1]]
-            up, down = _byte_powers.get(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(table[part] * up[:-1], out=total[1:])
-            s, e = self.starts[i:j] - s0, self.ends[i:j] - s0
-            out[i:j] = finalise((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
+        self.hashes = hash_runs(self.bytes, self.starts, self.ends, lower)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all runs of ``width`` words inside one row, and the runs' first words."""
@@ -157,6 +187,29 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+_END = b"\xff"  # never in UTF-8
+
+
+def squeeze(parts: list[bytes]) -> bytes:
+    """Some UTF-8 texts, compressed together."""
+    return zstandard.ZstdCompressor(level=1).compress(_END.join(parts))
+
+
+def expand(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(_END)
+
+
+def squeeze_ordered(values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as compressed steps, byte planes apart."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def expand_ordered(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel())
+
+
 def joined(data: bytes) -> bytes:
     """The words of ``data``, one space between them."""
     return b" ".join(data.split())

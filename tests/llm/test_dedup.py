@@ -49,6 +49,10 @@ def family(seed, groups=12, size=25):
             for _ in range(r.randint(0, 4)):
                 own[r.randrange(len(own))] = word()
             texts.append(" ".join(own))
+    turn = [bin(i).count("1") % 2 for i in range(2048)]
+    alike = ["".join(pair[x] for x in turn) for pair in ("ab", "ba")]
+    long_ = " ".join(word() for _ in range(9000))
+    texts += [" ".join([*"vwxyz", x]) for x in alike] + [long_, long_ + " more", long_[: len(long_) // 2]]
     return [*texts, texts[0], texts[0].upper(), "", None, "one two", "One  two", " \t\n", "é è"]
 
 
@@ -73,11 +77,13 @@ def test_one_of_each(spark):
     assert one_of_each(df.limit(0)).count() == 0 and similar_documents(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 20])
+def test_components(spark, few):
+    """A chain of ordered names is as good as any graph, with rounds or in one task."""
     r = random.Random(4)
-    links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 490)]
     want = roots(500, links)
-    got = components(spark.createDataFrame(links, "a long, b long"), Tables(spark)).collect()
+    got = components(spark.createDataFrame(links, "a long, b long"), Tables(spark), few).collect()
     by = defaultdict(set)
     for x in got:
         by[x.root].add(x.node)

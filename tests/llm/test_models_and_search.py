@@ -36,6 +36,34 @@ def test_nnpu_risk_turns_back():
     assert (model.score(good) > 0.5).mean() > 0.97 and (model.score(bad[150:]) < 0.5).mean() > 0.97
 
 
+def test_prior_from_biased_labels(spark):
+    """Labels nearly all positive: the prior is still that of the texts."""
+    r = np.random.RandomState(1)
+    good, bad = r.standard_normal((1600, quality.N_FEATURES)) + 0.5, r.standard_normal((1600, quality.N_FEATURES)) - 0.5
+    for share in (0.2, 0.5, 0.8):
+        n = int(share * 1000)
+        assert abs(quality.estimate_prior(good[:600], np.concatenate([good[600 : 600 + n], bad[: 1000 - n]])) - share) < 0.1
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    biased = labels.where("quality = 1 or doc_id % 10 = 0")
+    rows = quality.score(docs, quality.fit(docs, biased)).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert np.mean([x.predicted == x.quality for x in rows]) > 0.95
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 200")
+    twice = docs.unionByName(docs).withColumn("a.b", docs.doc_id).withColumn("lang_pred", docs.doc_id)
+    for out in (quality.score(twice, quality.fit(twice, spark.read.parquet(f"{DATA}/labels.parquet"))), langid.label(twice, langid.fit(twice))):
+        rows = out.groupBy("doc_id").agg({"*": "count"}).collect()
+        assert "a.b" in out.columns and all(r["count(1)"] % 2 == 0 for r in rows)
+        assert out.select("doc_id", "score").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_letters_of_every_plane():
+    model = langid.Model(["x", "y"], np.ones((langid.BUCKETS, 2)), np.zeros(2), 1.0)
+    texts = ["\U00030000\U000313ff", "\U0001f600", "\u6771"]
+    assert [t == "und" for t in langid.predict(model, *langid.text_buffers(pa.array(texts)))[0]] == [False, True, False]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     rows = langid.label(docs, langid.fit(docs)).select("doc_id", "lang", "held_out", "lang_pred", "score").collect()

@@ -14,8 +14,12 @@ from locuskey.llm import warc
 from locuskey.llm.packing import FirstFit, pack
 from locuskey.llm.queries import op5_sharding
 from locuskey.llm.sharding import SLOTS, lookup_table, place, write_shards
+from locuskey.llm.textkernel import squeeze
 
-TEXTS = ["", None, " ", "a  b", "Hello, World's <|endoftext|> 12 é É ﬁ", "日本語 text\x0bwith\x1codd spaces", "x" * 5000, "word " * 9000, "\n\n;\r\n", "a▁b", "😀 ok", "<s> hi"]
+_turn = [bin(i).count("1") % 2 for i in range(2048)]
+#: Two words that a polynomial hash modulo a power of two makes equal, whatever its base.
+_THUE = ["".join("ab"[x] for x in _turn), "".join("ba"[x] for x in _turn)]
+TEXTS = ["", None, " ", "a  b", "Hello, World's <|endoftext|> 12 é É ﬁ", "日本語 text\x0bwith\x1codd spaces", "x" * 5000, "word " * 9000, "\n\n;\r\n", "a▁b", "😀 ok", "<s> hi", *_THUE]
 
 
 def test_pack(spark):
@@ -109,21 +113,54 @@ def test_sentencepiece(spark):
     assert lattice.encode(df.limit(0), path).count() == 0
 
 
+def _merged(v, s):
+    """BPE as it is defined: the best-scored neighbours are joined, the first of equals, until none are a piece."""
+    parts = list(s)
+    while True:
+        found = [(-v.pieces[a + b][1], j) for j, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in v.pieces]
+        if not found:
+            return [i for x in parts for i in ([v.pieces[x][0]] if x in v.pieces else v.fallback(x))]
+        j = min(found)[1]
+        parts[j : j + 2] = [parts[j] + parts[j + 1]]
+
+
+def _best_path(v, s):
+    worst = min(x for _, x in v.pieces.values()) - 10.0
+    best = [(0.0, [])] + [(-np.inf, [])] * len(s)
+    for k in range(1, len(s) + 1):
+        for i in range(k):
+            found = v.pieces.get(s[i:k])
+            if found or k - i == 1:
+                score = best[i][0] + (found[1] if found else worst)
+                if score > best[k][0]:
+                    best[k] = (score, best[i][1] + ([found[0]] if found else v.fallback(s[i:k])))
+    return best[-1][1]
+
+
 def test_folds_against_plain_code(spark):
     r = random.Random(4)
-    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(40)} | {"a", "b"})
-    segments = sorted({"".join(r.choice("abcé") for _ in range(r.randint(1, 14))) for _ in range(120)})
-    for bpe in (True, False):
-        scores = r.sample(range(1, 1000), len(words))
+    segments = sorted({"".join(r.choice("abcé") for _ in range(r.randint(1, 14))) for _ in range(120)} | {"".join(r.choice("abc") for _ in range(n)) for n in (61, 62, 63, 90)})
+    for bpe, ties in ((True, False), (True, True), (False, False)):
+        words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(60)} | {"a", "b"})
+        scores = [r.randint(1, 9) if ties else x for x in r.sample(range(1, 1000), len(words))]
         v = lattice.Vocabulary({w: (300 + i, -float(s)) for i, (w, s) in enumerate(zip(words, scores, strict=True))}, tuple(range(256)), bpe)
-        df = spark.createDataFrame([(s,) for s in segments], "segment string")
+        df = spark.createDataFrame([(len(s), s) for s in segments], "_range long, segment string")
         got = {x.segment: list(x.ids) for x in lattice.encode_segments(df, v).collect()}
-        assert got == {s: v.encode_alone(s) for s in segments}
+        assert got == {s: (_merged if bpe else _best_path)(v, s) for s in segments}
+
+
+def test_lost_segments_are_errors():
+    import pyarrow as pa
+
+    asked = pa.table({"_range": [0], "_block": [0], "_segments": [squeeze([b"ab", b"c"])]})
+    encoded = pa.table({"_range": [0], "segment": ["ab"], "ids": pa.array([[1]], pa.list_(pa.int32()))})
+    with pytest.raises(KeyError):
+        lattice._answer()(None, asked, encoded)
 
 
 def test_lattice_has_no_second_shuffle(spark):
     v = lattice.Vocabulary({"a": (0, -1.0), "ab": (1, -2.0)}, (), True)
-    df = spark.createDataFrame([("ab",)], "segment string").repartition(4, F.col("segment"))
+    df = spark.createDataFrame([(0, "ab")], "_range long, segment string").repartition(4, "_range")
     plan = lattice.encode_segments(df, v)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
