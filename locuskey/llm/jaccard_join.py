@@ -174,7 +174,7 @@ def _prefixes(width: int, ranges: int, least: int):
 
 
 def _leaf(least: int):
-    """Links of some tiles between members of different groups, the greater of its groups' members on one side."""
+    """Links of some tiles between members of different groups: in each tile only those that join what no link before them joins."""
 
     def run(key, table):
         table = table.combine_chunks()
@@ -196,11 +196,15 @@ def _leaf(least: int):
             owner = np.repeat(np.arange(len(rows)), sizes)
             by_hash = np.argsort(flat, kind="stable")
             flat, owner = flat[by_hash], owner[by_hash]
+            names, label = np.unique(groups[tile], return_inverse=True)
+            joined = dict(zip(tile.tolist(), label.tolist(), strict=True))
+            known = np.array([joined[i] for i in rows.tolist()])
+            into = np.arange(len(names))
             for i in tile[probe[tile]]:
                 n = int(ends[i + 1] - ends[i])
                 # What the sizes and the shingles that are in one set only leave possible.
                 most = np.minimum(size[rows] - alone[rows], n - alone[i])
-                other = (groups[rows] != groups[i]) & (100 * most >= least * (sizes + n - most))
+                other = (into[known] != into[joined[i]]) & (100 * most >= least * (sizes + n - most))
                 if not other.any():
                     continue
                 s = flat_all[ends[i] : ends[i + 1]]
@@ -209,9 +213,11 @@ def _leaf(least: int):
                 total = int(count.sum())
                 at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
                 both = np.bincount(owner[at], minlength=len(rows))
-                for j in rows[other & (100 * both >= least * (sizes + n - both))]:
-                    a.append(keys[i])
-                    b.append(keys[j])
+                linked = np.flatnonzero(other & (100 * both >= least * (sizes + n - both)))
+                different, sample = np.unique(into[known[linked]], return_index=True)
+                a += [keys[i]] * len(sample)
+                b += keys[rows[linked[sample]]].tolist()
+                into[np.isin(into, different)] = into[joined[i]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
