@@ -48,6 +48,9 @@ class Tables:
         self.paths[id(out)] = (path, out)
         return out
 
+    def path_of(self, table: DataFrame) -> str:
+        return self.paths[id(table)][0]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, _ = self.paths.pop(id(t))

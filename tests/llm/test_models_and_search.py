@@ -118,4 +118,8 @@ def test_search_is_exact(spark):
             want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:7])}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
-    assert bm25.search(df.limit(0), df, k=3).count() == 0
+    assert bm25.search(df.limit(0), df, k=3).count() == 0 and bm25.search(df, df.limit(0), k=3).count() == 0
+    one = spark.createDataFrame([(7, "a b", 1), (8, "c " * 40_000, 1), (9, None, 1), (9, None, 1)], "doc_id long, text string, score int")
+    asked = spark.createDataFrame([(7, "a"), (7, "c"), (7, "c"), (None, "b"), (None, "c")], "doc_id long, text string")
+    assert sorted((x.query_id or 0, x.doc_id, x.rank) for x in bm25.search(one, asked, k=1).collect()) == [(0, 7, 1), (0, 8, 1), (7, 7, 1), (7, 8, 1)]
+    assert bm25.search(one.union(one), asked.limit(1), k=9).count() == 2
