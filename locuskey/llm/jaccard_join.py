@@ -69,7 +69,7 @@ def _first_of_class(width: int, blocks: int):
         seen = set()
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            raw, ends = data.tobytes(), offsets.tolist()
+            raw, ends = memoryview(data), offsets.tolist()
             lots: dict[int, tuple[list, list]] = {}
             for i, s in enumerate(_sets(batch.column(0), width)):
                 key = _class_key(s)

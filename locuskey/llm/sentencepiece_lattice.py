@@ -29,7 +29,7 @@ from locuskey.llm.scratch import blocks_for, send_package, tasks_for
 from locuskey.llm.textkernel import Words, chunks, distinct_runs, expand, hash_runs, spaces_but, squeeze, text_buffers
 
 #: Parquet bytes of documents in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Segments up to here keep their boundaries in the bits of one number, longer ones in a byte each.
 _BITS = 61
 SPACE = "▁"
@@ -118,23 +118,13 @@ class Splitter:
         return np.concatenate([[0], np.cumsum(width)])[bounds], np.searchsorted(bounds, unit_at)
 
 
-_splitters: dict[str, tuple[Vocabulary, Splitter]] = {}
-
-
-def _model(path: str) -> tuple[Vocabulary, Splitter]:
-    if path not in _splitters:
-        v = Vocabulary.load(path)
-        _splitters[path] = (v, Splitter(v))
-    return _splitters[path]
-
-
 def _pack_documents(batches):
     """Documents of a batch, compressed together for each block; a null text is empty."""
     for batch in batches:
         block = np.asarray(batch.column("_block"))
         order = np.argsort(block, kind="stable")
         data, offsets = text_buffers(batch.column("_text"))
-        raw, ends = data.tobytes(), offsets.tolist()
+        raw, ends = memoryview(data), offsets.tolist()
         rows, names, blobs = [], [], []
         for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             if not len(part):
@@ -148,8 +138,8 @@ def _pack_documents(batches):
 class _Block:
     """A block's documents, its distinct units and their segments."""
 
-    def __init__(self, table: pa.Table, path: str, ranges: int):
-        _, self.splitter = _model(path)
+    def __init__(self, table: pa.Table, splitter: Splitter, ranges: int):
+        self.splitter = splitter
         self.ids = [i for ids in table.column("_ids").to_pylist() for i in ids]
         texts = [t for blob in table.column("_texts").to_pylist() for t in expand(blob)]
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -187,9 +177,9 @@ class _Block:
         self.lots = {int(lots[p[0]]): p for p in np.split(by_lot, np.flatnonzero(np.diff(lots[by_lot])) + 1) if len(p)}
 
 
-def _send_segments(path: str, ranges: int):
+def _send_segments(splitter: Splitter, ranges: int):
     def run(key, table):
-        block = _Block(table, path, ranges)
+        block = _Block(table, splitter, ranges)
         lots = list(block.lots.items())
         return pa.table({"_range": pa.array([r for r, _ in lots], pa.int64()), "_block": pa.array([key[0].as_py()] * len(lots), pa.int64()), "_segments": pa.array([squeeze([block.segments[i] for i in p.tolist()]) for _, p in lots], pa.binary())})
 
@@ -225,9 +215,9 @@ def _gather(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - count), count) + np.arange(total)
 
 
-def _finish(path: str, ranges: int, id_type: T.DataType):
+def _finish(splitter: Splitter, decoder: _Decoder, ranges: int):
     def run(docs, answers):
-        block = _Block(docs, path, ranges)
+        block = _Block(docs, splitter, ranges)
         count = np.zeros(len(block.segments), np.int64)
         begin = np.zeros(len(block.segments), np.int64)
         flats, at = [], 0
@@ -245,7 +235,6 @@ def _finish(path: str, ranges: int, id_type: T.DataType):
         seg_ends = np.concatenate([[0], np.cumsum(count[seg])])
         unit_begin = seg_ends[block.unit_at[:-1]]
         unit_count = seg_ends[block.unit_at[1:]] - unit_begin
-        decoder = _Decoder.of(path)
         n_pieces, sums, same, ids = [], [], [], []
         row = 0
         raw = block.data.tobytes()
@@ -267,9 +256,7 @@ def _finish(path: str, ranges: int, id_type: T.DataType):
 
 
 class _Decoder:
-    """Ids to bytes through one flat array of all pieces."""
-
-    _kept: dict[str, _Decoder] = {}
+    """Ids to bytes through one flat array of all pieces. Like the splitter it is made once and goes to the tasks, which need no model."""
 
     def __init__(self, path: str):
         parts = _piece_bytes(path)
@@ -277,12 +264,6 @@ class _Decoder:
         self.begin = np.cumsum(self.count) - self.count
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
 
-    @classmethod
-    def of(cls, path: str) -> _Decoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The text; the space that the model's prefix put first is taken off."""
         out = self.flat[_gather(self.begin[ids], self.count[ids])].tobytes() if len(ids) else b""
@@ -450,17 +431,18 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     send_package(spark)
     vocabulary = Vocabulary.load(model)
+    splitter = Splitter(vocabulary)
     n = blocks_for(docs.select(F.col(f"`{text}`")), block_bytes)
     own = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.spark_partition_id(), F.col(f"`{text}`")), F.lit(n)).alias("_block"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = own.schema["_id"].dataType
     packed = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_ids", T.ArrayType(kind)), T.StructField("_texts", T.BinaryType())])
     blocks = own.mapInArrow(_pack_documents, packed).repartition(tasks_for(n), "_block")
-    asked = blocks.groupBy("_block").applyInArrow(_send_segments(model, n), "_range long, _block long, _segments binary").repartition(tasks_for(n), "_range")
+    asked = blocks.groupBy("_block").applyInArrow(_send_segments(splitter, n), "_range long, _block long, _segments binary").repartition(tasks_for(n), "_range")
     distinct = asked.groupBy("_range").applyInArrow(_distinct_segments, "_range long, segment string")
     encoded = encode_segments(distinct.repartition(tasks_for(n), "_range"), vocabulary)
     answers = asked.groupBy("_range").cogroup(encoded.groupBy("_range")).applyInArrow(_answer(), "_block long, _range long, _encoded binary")
     fields = [T.StructField("_id", kind), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    out = blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_finish(model, n, kind), T.StructType(fields))
+    out = blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_finish(splitter, _Decoder(model), n), T.StructType(fields))
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -115,14 +115,15 @@ def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     other = sample[which]
     same = size == size[other]
     rows = np.flatnonzero(same & (other != np.arange(len(other))))
-    count = size[rows]
-    last = np.cumsum(count)
-    spot = np.arange(int(last[-1]) if len(last) else 0, dtype=np.int32) - np.repeat((last - count).astype(np.int32), count)
-    own = np.repeat(starts[rows].astype(np.int32), count) + spot
-    its = np.repeat(starts[other[rows]].astype(np.int32), count) + spot
-    differ = data[own] != data[its]
-    if differ.any():
-        same[np.repeat(rows, count)[differ]] = False
+    last = np.cumsum(size[rows])
+    for a, b in chunks(np.zeros(0, np.uint8), np.concatenate([[0], last])):
+        part, count = rows[a:b], size[rows[a:b]]
+        spot = np.arange(int(count.sum()), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+        own = np.repeat(starts[part].astype(np.int32), count) + spot
+        its = np.repeat(starts[other[part]].astype(np.int32), count) + spot
+        differ = data[own] != data[its]
+        if differ.any():
+            same[np.repeat(part, count)[differ]] = False
     odd = np.flatnonzero(~same)
     if len(odd):
         # Runs of one hash that differ stand for themselves.
