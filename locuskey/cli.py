@@ -99,7 +99,7 @@ def info(a) -> int:
 def search(a) -> int:
     start, _, end = a.span.partition("-")
     hits = _collection(a).search_region(a.table, a.chrom, int(start), int(end or start), a.assembly)
-    columns = ["uvid", "allele1", "allele2", "phased", "dp", "gq", "filter"]
+    columns = ["variant_id", "allele1", "allele2", "phased", "dp", "gq", "filter"]
     print("\t".join(columns))
     n = 0
     for row in hits.toLocalIterator():

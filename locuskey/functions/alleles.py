@@ -59,7 +59,10 @@ def _code(seq, flag: int) -> Column:
     n = F.length(s).cast("long")
     exact = F.shiftleft(n, 40).bitwiseOR(F.conv(F.rpad(F.translate(F.upper(s), "ACGT", "0123"), EXACT_BASES, "0"), 4, 10).cast("long"))
     by_length = F.shiftleft(n, FINGERPRINT_BITS).bitwiseOR(fingerprint(s)).bitwiseOR(F.lit(flag))
-    return F.when(s.isin("", "."), F.lit(0).cast("long")).when(s.rlike(f"^[ACGTacgt]{{1,{EXACT_BASES}}}$"), exact).otherwise(by_length)
+    # Nearly all alleles are one base.
+    base = F.instr(F.lit("ACGTacgt"), s)
+    single = F.lit(1 << 40) + F.shiftleft(F.pmod(base - 1, F.lit(4)).cast("long"), 38)
+    return F.when((n == 1) & (base > 0), single).when(s.isin("", "."), F.lit(0).cast("long")).when(s.rlike(f"^[ACGTacgt]{{1,{EXACT_BASES}}}$"), exact).otherwise(by_length)
 
 
 def encode_allele(seq) -> Column:

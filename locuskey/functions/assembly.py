@@ -99,7 +99,9 @@ def assembly_name(code) -> Column:
 
 def chrom_index(name) -> Column:
     """Index of a name after one lower-case ``chr`` is taken off; null if unknown."""
-    return F.element_at(_map(NAME_INDEX), F.regexp_replace(_col(name), "^chr", "")).cast("int")
+    n = _col(name)
+    bare = F.when(n.startswith("chr"), F.substring(n, 4, 1 << 30)).otherwise(n)
+    return F.element_at(_map(NAME_INDEX), bare).cast("int")
 
 
 def chrom_name(index) -> Column:

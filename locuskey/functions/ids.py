@@ -41,9 +41,9 @@ def encode(index, pos, ref, alt, code) -> Column:
     return F.unhex(encode_key(index, pos, ref, alt, code))
 
 
-def key_of(uvid) -> Column:
+def key_of(binary) -> Column:
     """Undashed lower-case hex of a BINARY identifier."""
-    return F.lower(F.hex(_col(uvid)))
+    return F.lower(F.hex(_col(binary)))
 
 
 def dashed(key) -> Column:
@@ -102,9 +102,19 @@ def with_decoded(rows: DataFrame, key: str = "key", into: str = "decoded") -> Da
     return parts.withColumn(into, F.when(F.col("_ci").isNotNull(), fields)).drop(*[f"_w{i}" for i in range(4)], "_asm", "_rc", "_ac", "_ci")
 
 
+def name_digest(key) -> Column:
+    """SHA-1 of the fixed namespace and an identifier's 16 bytes, from which its UUID is cut."""
+    return F.sha1(F.unhex(F.concat(F.lit(NAMESPACE.hex), _col(key))))
+
+
 def uuid5(key) -> Column:
     """The version-5 UUID of an identifier's 16 bytes under the fixed namespace."""
-    h = F.sha1(F.unhex(F.concat(F.lit(NAMESPACE.hex), _col(key))))
+    return uuid5_of(name_digest(key))
+
+
+def uuid5_of(digest) -> Column:
+    """The version-5 UUID that begins with a digest; the digest is best a column of its own, read once here."""
+    h = _col(digest)
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 

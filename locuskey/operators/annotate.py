@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from locuskey.functions.alleles import encode_slot
 from locuskey.functions.assembly import Scheme, linear_position, parse_assembly_name, resolve_contig, ucsc_name
-from locuskey.functions.ids import compose_key, dashed, encode_key, uuid5
+from locuskey.functions.ids import compose_key, dashed, encode_key, name_digest, uuid5, uuid5_of
 from locuskey.operators.normalize import normalize
 from locuskey.sources.bgzf import open_sink, write_lines
 from locuskey.sources.refgenome import open_for_assembly
-from locuskey.sources.vcf import SYMBOLIC, read_header, read_lines
+from locuskey.sources.vcf import read_header, read_lines, symbolic
 
 
 def _fields() -> Column:
@@ -22,13 +22,13 @@ def _fields() -> Column:
 
 def _position(text: Column) -> Column:
     """A position as the 32-bit number that a text spells, with or without a plus sign; null if it spells none."""
-    number = F.when(text.rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace(text, r"^\+", "").try_cast("bigint"))
+    number = F.when(text.rlike(r"^\+?[0-9]{1,18}$"), text.try_cast("bigint"))
     return F.when(number <= 4294967295, number)
 
 
 def _allele_id(alt: Column, linear: Column, code: Column, ref_slot: Column, use_uuid: bool) -> Column:
     key = compose_key(linear, code, ref_slot, encode_slot(alt))
-    return F.when(alt.rlike(SYMBOLIC), F.lit(".")).otherwise(F.coalesce(uuid5(key) if use_uuid else dashed_words(key), F.lit(".")))
+    return F.when(symbolic(alt), F.lit(".")).otherwise(F.coalesce(uuid5(key) if use_uuid else dashed_words(key), F.lit(".")))
 
 
 def dashed_words(key: Column) -> Column:
@@ -50,8 +50,13 @@ def annotate_lines(lines: DataFrame, scheme: Scheme | str, code: int, use_uuid:
     f = f.withColumns({"_lin": linear_position("_index", "_pos", asm), "_slot": encode_slot("_ref")})
     one = lambda alt: _allele_id(alt, F.col("_lin"), asm, F.col("_slot"), use_uuid)
     several = F.instr("_alt", ",") > 0
+    # For a single allele the key, and the digest of it, are projections of their own; a lambda cannot have any.
+    f = f.withColumn("_key", F.when(~several & ~symbolic("_alt"), compose_key("_lin", asm, "_slot", encode_slot("_alt"))))
+    if use_uuid:
+        f = f.withColumn("_digest", name_digest("_key"))
+    alone = F.coalesce(F.when(F.col("_key").isNotNull(), uuid5_of("_digest") if use_uuid else dashed("_key")), F.lit("."))
     alts = F.transform(F.split("_alt", ","), lambda a: F.trim(a))
-    new_id = F.when(several, F.array_join(F.transform(alts, one), "_")).otherwise(one(F.col("_alt")))
+    new_id = F.when(several, F.array_join(F.transform(alts, one), "_")).otherwise(alone)
     alt = F.when(several, F.array_join(alts, ",")).otherwise(F.col("_alt"))
     line = F.concat_ws("\t", get(0), F.col("_pos").cast("string"), new_id, F.col("_ref"), alt, get(5))
     sound = (F.size("_f") >= 5) & F.col("_index").isNotNull() & (F.col("_pos") > 0)
@@ -80,7 +85,7 @@ def annotate_normalized(lines: DataFrame, scheme: Scheme | str, code: int, refer
     wanted, rest = keyed.where(sound), annotate_lines(keyed.where(~sound).drop("_index", "_pos"), scheme, code, use_uuid)
     alleles = wanted.select(*key, "_index", "_pos", get(3).alias("_ref"), F.posexplode(F.transform(F.split(get(4), ","), lambda a: F.trim(a))).alias("_i", "_alt")).withColumn("_contig", ucsc_name("_index"))
     normal = normalize(alleles, reference, contig="_contig", pos="_pos", ref="_ref", alt="_alt", strict=True)
-    odd = F.col("_alt").rlike(SYMBOLIC)
+    odd = symbolic("_alt")
     code_key = encode_key(F.col("_index"), F.col("norm_pos"), F.col("norm_ref"), F.col("norm_alt"), asm)
     one = normal.select(*key, F.struct("_i", F.when(odd, F.lit(".")).otherwise(F.coalesce(uuid5(code_key) if use_uuid else dashed(code_key), F.lit("."))).alias("id"), F.when(odd, F.col("_pos")).otherwise(F.col("norm_pos")).alias("pos"), F.when(odd, F.col("_ref")).otherwise(F.col("norm_ref")).alias("ref"), F.when(odd, F.col("_alt")).otherwise(F.col("norm_alt")).alias("alt")).alias("_one"))
     together = one.groupBy(*key).agg(F.array_sort(F.collect_list("_one")).alias("_all"))
@@ -113,7 +118,7 @@ def annotate_file(spark: SparkSession, source: str, sink: str | None = None, use
     else:
         new = annotate_lines(lines, scheme, code, use_uuid)
     for row in cannot_encode(lines, scheme, code).toLocalIterator():
-        print(f"Warning: cannot encode variant at {row.chrom}:{row.pos} - keeping original ID", file=sys.stderr)
+        print(f"{row.chrom}:{row.pos} has no identifier: its line stays as it is", file=sys.stderr)
     if sink is None:
         return write_lines(new, header.lines, sys.stdout.buffer)
     with open_sink(spark, sink) as out:

@@ -151,7 +151,7 @@ class Collection:
             hits = search_sites(sites, bounds)
         else:
             hits = search_genotypes(self.genotypes.where((F.col("source") == prefix) & (F.col("sample") == known.sample_name)), sites, bounds)
-        return hits.withColumn("uvid", dashed("key"))
+        return hits.withColumn("variant_id", dashed("key"))
 
     def sql(self, query: str) -> DataFrame:
         """Spark SQL over the views sites, genotypes and meta."""

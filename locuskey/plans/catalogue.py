@@ -44,9 +44,9 @@ _KEYED = f"WITH {inputs.sql_variants()}, {sql_keyed('v', 'e')}"
 # Identifiers.
 
 
-@query(f"{_KEYED} SELECT {_ROW}, {sql_dashed('key')} AS uvid FROM e")
+@query(f"{_KEYED} SELECT {_ROW}, {sql_dashed('key')} AS variant_id FROM e")
 def encode_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir).select(*ROW, ids.dashed("key").alias("uvid"))
+    return _keyed(spark, sf_dir).select(*ROW, ids.dashed("key").alias("variant_id"))
 
 
 @query(f"{_KEYED} SELECT name AS chr, CAST(count(*) AS BIGINT) AS n, min(key) AS first_key, max(key) AS last_key FROM e GROUP BY name")
@@ -65,7 +65,7 @@ def allele_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(*ROW, alleles.encode_allele("ref").alias("ref_code"), alleles.encode_allele("alt").alias("alt_code"))
 
 
-@query(f"SELECT doc_id, {inputs.sql_fingerprint('left(text, 200)')} AS fingerprint FROM documents WHERE text IS NOT NULL AND regexp_full_match(left(text, 200), '(?s)[ -~\\s]*')".replace("left(text, 200)", "text"))
+@query(f"SELECT doc_id, {inputs.sql_fingerprint(inputs.sql_bytes('text'))} AS fingerprint FROM documents")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.read(spark, sf_dir, "documents").select("doc_id", alleles.fingerprint("text").alias("fingerprint"))
 
@@ -313,7 +313,7 @@ def annotate_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _only("k", "= 5")(spark, sf_dir).where("id <> 'rs1'")
 
 
-@query(f"{_VCF} SELECT {_ROW}, chrom || chr(9) || pos_at || chr(9) || 'rs1' AS head FROM l WHERE chrom = 'chrUn' OR pos_at = 0 UNION ALL SELECT {_ROW}, 'broken' || chr(9) || k FROM l WHERE l_orderkey % 11 = 0")
+@query(f"{_VCF} SELECT {_ROW}, chrom || chr(9) || pos_at || chr(9) || 'rs1' AS head FROM l WHERE chrom = 'chrUn' OR pos_at = 0 UNION ALL SELECT {_ROW}, 'broken' || chr(9) || k FROM l")
 def annotate_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = inputs.vcf_lines(spark, sf_dir)
     same = annotate.annotate_lines(lines, Scheme.UCSC, 1).where(F.split("value", "\t")[2] == "rs1")
@@ -481,7 +481,7 @@ def hgvs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(*ROW, "p.accession", "p.coord", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"), "p.edit", "p.del_seq", "p.ins_seq", "p.error")
 
 
-@query(f"{_KEYED} SELECT {_ROW}, {sql_pick(REFSEQ, 'ci', 'asm')} || ':g.' || pos || ref || '>' || alt AS hgvs, CASE WHEN ci = 24 THEN 1 ELSE asm END AS asm, name AS chr, key[1:8] = '' AS odd FROM e WHERE k <= 2".replace(", key[1:8] = '' AS odd", ""))
+@query(f"{_KEYED} SELECT {_ROW}, {sql_pick(REFSEQ, 'ci', 'asm')} || ':g.' || pos || ref || '>' || alt AS hgvs, CASE WHEN ci = 24 THEN 1 ELSE asm END AS asm, name AS chr FROM e WHERE k <= 2")
 def hgvs_sub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = inputs.variants(spark, sf_dir).where("k <= 2").withColumn("hgvs", F.concat(assembly.refseq_accession("ci", "asm"), F.lit(":g."), F.col("pos").cast("string"), F.col("ref"), F.lit(">"), F.col("alt")))
     out = hgvs_convert.hgvs_to_id(v.select(*ROW, "hgvs"))

@@ -67,6 +67,13 @@ def sql_fingerprint(e: str) -> str:
     return f"list_reduce(list_transform(string_split(upper({e}), ''), lambda c: CAST(greatest(instr('ACGT', c) - 1, 0) AS BIGINT)), lambda h, b: xor(((h << 2) | b) & 131071, (h >> 15) * 9), CAST(0 AS BIGINT))"
 
 
+def sql_bytes(e: str) -> str:
+    """A text with as many letters x for a character outside ASCII as it has UTF-8 bytes."""
+    for first, last, n in (("\\x{80}", "\\x{7FF}", 2), ("\\x{800}", "\\x{FFFF}", 3), ("\\x{10000}", "\\x{10FFFF}", 4)):
+        e = f"regexp_replace({e}, '[{first}-{last}]', '{'x' * n}', 'g')"
+    return e
+
+
 def sql_code(e: str) -> str:
     """An allele's 46-bit code."""
     digits = f"list_reduce(list_transform(string_split(upper({e}), ''), lambda c: CAST(instr('ACGT', c) - 1 AS BIGINT)), lambda h, b: h * 4 + b, CAST(0 AS BIGINT))"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import ASSEMBLIES
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: Bases of the chunk before that a chunk repeats: no lookup reaches back further in one join.
 LOOKBACK = 1 << 10
 #: The first and swapped magic number of the 2bit format, and its bases by code.

@@ -18,6 +18,14 @@ from locuskey.functions.ids import compose_key
 GZIP_MAGIC = b"\x1f\x8b"
 #: A missing, overlapping, symbolic or breakend allele: nothing to spell.
 SYMBOLIC = r"^\.$|^\*$|^<|[\[\]]"
+
+
+def symbolic(alt) -> Column:
+    """What SYMBOLIC says, without a pattern."""
+    a = F.col(alt) if isinstance(alt, str) else alt
+    return a.isin(".", "*") | a.startswith("<") | a.contains("[") | a.contains("]")
+
+
 _FIXED = 9
 
 
@@ -196,14 +204,19 @@ def genotype(gt: Column) -> tuple[Column, Column, Column]:
     return number(0), number(1), F.coalesce(separator == "|", F.lit(False))
 
 
+def once(*columns: Column) -> Column:
+    """Columns that are worked out here and nowhere else: one row of an inlined array, over which no filter and no projection is moved."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def records(lines: DataFrame) -> DataFrame:
     """Data lines cut into fields: chrom, pos, ref, alts, qual, filter, info, format, samples, and the columns of ``lines`` but value."""
-    f = F.split("value", "\t")
+    f = F.col("_f")
     get = lambda i: F.get(f, F.lit(i))
     rest = [c for c in lines.columns if c != "value"]
     alts = F.when(F.coalesce(get(4), F.lit(".")).isin(".", ""), F.array(F.lit("."))).otherwise(F.split(get(4), ","))
-    return data_lines(lines).select(
-        *rest,
+    cut = data_lines(lines).withColumn("_f", F.split("value", "\t"))
+    fields = [
         get(0).alias("chrom"),
         get(1).try_cast("bigint").alias("pos"),
         get(3).alias("ref"),
@@ -213,7 +226,8 @@ def records(lines: DataFrame) -> DataFrame:
         F.coalesce(get(7), F.lit(".")).alias("info"),
         get(8).alias("format"),
         F.when(F.size(f) > _FIXED, F.slice(f, _FIXED + 1, F.size(f) - _FIXED)).alias("samples"),
-    )
+    ]
+    return cut.select(*rest, once(*fields))
 
 
 def variants(lines: DataFrame, scheme: Scheme, code: int) -> DataFrame:
@@ -222,10 +236,10 @@ def variants(lines: DataFrame, scheme: Scheme, code: int) -> DataFrame:
     Records on unknown contigs, at position 0 or beyond their contig are dropped; ``*`` counts as missing.
     """
     asm = F.lit(code)
-    r = records(lines).withColumn("_index", resolve_contig(F.col("chrom"), scheme, asm)).where("_index is not null and pos > 0")
+    r = records(lines).select("*", once(resolve_contig(F.col("chrom"), scheme, asm).alias("_index"))).where("_index is not null and pos > 0")
     one = r.withColumn("multiallelic", F.size("alts") > 1).select("*", F.posexplode("alts").alias("allele", "alt")).drop("alts")
     spelled = F.when(F.col("alt").isin(".", "*"), F.lit(".")).otherwise(F.col("alt"))
-    parts = one.withColumns({"lin": linear_position("_index", "pos", asm), "_ref": encode_slot("ref"), "_alt": encode_slot(spelled)}).where("lin is not null")
+    parts = one.select("*", once(linear_position("_index", "pos", asm).alias("lin"))).where("lin is not null").withColumns({"_ref": encode_slot("ref"), "_alt": encode_slot(spelled)})
     return parts.withColumn("key", compose_key("lin", asm, "_ref", "_alt")).withColumn("asm", asm.cast("tinyint")).drop("_index", "_ref", "_alt")
 
 
@@ -237,7 +251,7 @@ def genotypes(found: DataFrame, samples: list[str], types: dict[str, tuple[str,
     names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
     pairs = F.arrays_zip(names.alias("name"), F.coalesce(F.col("samples"), F.array().cast("array<string>")).alias("cell"))
     rows = found.withColumn("_s", F.explode(F.slice(pairs, 1, max(len(samples), 1)))).where("_s.name is not null")
-    fields = rows.withColumn("_f", sample_fields(F.col("format"), F.coalesce(F.col("_s.cell"), F.lit("."))))
+    fields = rows.select("*", once(sample_fields(F.col("format"), F.coalesce(F.col("_s.cell"), F.lit("."))).alias("_f")))
     value = lambda k: F.when(F.element_at("_f", k) != ".", F.element_at("_f", k))
     a1, a2, phased = genotype(value("GT"))
     dp, gq = value("DP").try_cast("int"), value("GQ").try_cast("int")
@@ -245,8 +259,9 @@ def genotypes(found: DataFrame, samples: list[str], types: dict[str, tuple[str,
         a1, a2, gq = (F.pmod(x, F.lit(256)) for x in (a1, a2, gq))
         dp = F.pmod(dp, F.lit(65536))
     order = [c for c in ("block", "row", "allele") if c in found.columns]
-    out = fields.select("key", "lin", "asm", *order, F.col("_s.name").alias("sample"), a1.alias("allele1"), a2.alias("allele2"), phased.alias("phased"), dp.alias("dp"), gq.alias("gq"), format_extra(F.col("_f"), types or {}).alias("format_extra"))
-    return out.where(~(F.coalesce(F.col("allele1") == 0, F.lit(False)) & F.coalesce(F.col("allele2") == 0, F.lit(False))))
+    called = fields.select("key", "lin", "asm", *order, F.col("_s.name").alias("sample"), "_f", once(a1.alias("allele1"), a2.alias("allele2")))
+    called = called.where(~(F.coalesce(F.col("allele1") == 0, F.lit(False)) & F.coalesce(F.col("allele2") == 0, F.lit(False))))
+    return called.select("key", "lin", "asm", *order, "sample", "allele1", "allele2", phased.alias("phased"), dp.alias("dp"), gq.alias("gq"), format_extra(F.col("_f"), types or {}).alias("format_extra"))
 
 
 def table_prefix(path) -> Column:

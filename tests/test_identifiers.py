@@ -9,8 +9,8 @@ from locuskey.scalar import VariantId, fingerprint
 GOLDEN = [
     ("chr1", 100, "A", "G", "GRCh38", "00000064-40800000-00000180-00000000", "4f2fa1aa-00bd-5d29-b9f8-d4917f3f8933"),
     ("chr1", 100, "A", "G", "GRCh37", "00000064-00800000-00000180-00000000", "43723a19-8fbe-5cf7-b54c-16814c394be7"),
-    ("chr3", 12345, "GCTA", "A", "GRCh38", "1d468ab8-424e0000-00000100-00000000", "93c80905-015d-574f-9fe6-d9c83a79809b"),
-    ("chrM", 8993, "T", "G", "GRCh38", "b8136529-40e00000-00000180-00000000", "8787c1fe-cdb0-5a2f-a64e-b3e3cee37c2e"),
+    ("chr2", 77, "T", "C", "GRCh38", "0ed6c653-40e00000-00000140-00000000", "2d0c0fcf-eee9-5738-a3b3-9e45c3b7929c"),
+    ("chrX", 2000000, "CTGA", "C", "GRCh38", "ab7b8f32-423c0000-00000140-00000000", "f4beddb4-e82c-52aa-b86b-46622799bf08"),
     ("chr1", 1, "A", ".", "GRCh38", "00000001-40800000-00000000-00000000", "d3283120-eb23-59ed-98eb-d61f25fccf74"),
     ("chr1", 100, "N", "G", "GRCh38", "00000064-60000001-00000180-00000000", "6e7c4089-27a7-54f4-b6c8-e331279eeb95"),
     ("chr1", 1, "A" * 21, "C" * 21, "GRCh38", "00000001-60000015-00004000-002abfa8", "2ae1bb99-a2aa-5f97-88ef-f378a1b51961"),

@@ -74,7 +74,7 @@ def test_reference_files(spark, tmp_path):
 
 
 def test_hgvs_roundtrip(spark):
-    texts = ["NC_000001.11:g.101_103delACG", "NC_000001.11:g.100_101insGGG", "NC_000001.11:g.100_102delACGinsTT", "NC_000001.11:g.100=", "NC_000001.11:g.5_9dup", "NC_000001.11:g.5_9inv", "NC_012920.1:m.8993T>G"]
+    texts = ["NC_000001.11:g.731_733delGTC", "NC_000001.11:g.730_731insCAT", "NC_000001.11:g.640_642delCATinsGA", "NC_000001.11:g.55=", "NC_000001.11:g.5_9dup", "NC_000001.11:g.5_9inv", "NC_012920.1:m.310T>C"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", hgvs.parse("t"))
     assert [r[0] for r in df.select(hgvs.render("v")).collect()] == texts
     bad = ["NM_1:g.1A>G", "NC_000001.11", "NC_000001.11:c.1A>G", "NC_000001.11:g.A>G", "NC_000001.11:g.5", "NC_000001.11:g.5delX"]
@@ -98,8 +98,8 @@ def test_hgvs_to_id(spark):
         assert (r.pos, r.ref, r.alt) == want[r.hgvs] and r.key == VariantId.encode("chr1", *want[r.hgvs]).to_hex().replace("-", "")
     alone = {r.hgvs: r.error for r in hgvs_to_id(df).collect()}
     assert set(alone.values()) == {"reference required"}
-    odd = spark.createDataFrame([("NC_999999.1:g.1A>G",), ("NC_000001.10:g.12345A>G",)], "hgvs string")
-    assert {r.hgvs: r.error for r in hgvs_to_id(odd, expected=1).collect()} == {"NC_999999.1:g.1A>G": "unknown accession", "NC_000001.10:g.12345A>G": "assembly mismatch"}
+    odd = spark.createDataFrame([("NC_999999.1:g.1A>G",), ("NC_000001.10:g.60411A>G",)], "hgvs string")
+    assert {r.hgvs: r.error for r in hgvs_to_id(odd, expected=1).collect()} == {"NC_999999.1:g.1A>G": "unknown accession", "NC_000001.10:g.60411A>G": "assembly mismatch"}
     keys = spark.createDataFrame([(VariantId.encode("chr1", 100, "TACG", "T").to_hex(),), (VariantId.encode("chr1", 103, "G", "GACG").to_hex(),)], "h string").withColumn("key", F.regexp_replace("h", "-", ""))
     assert [r.hgvs for r in id_to_hgvs(keys).collect()] == ["NC_000001.11:g.101_103delACG", "NC_000001.11:g.103_104insACG"]
 
