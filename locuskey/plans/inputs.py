@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import LENGTHS, NAMES, OFFSETS, _at
+from locuskey.sources.vcf import once
 
 ROW = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _LETTERS, _DNA = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
@@ -114,7 +115,8 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k",
         F.lit(0).cast("long").alias("block"),
         F.hash(*ROW).cast("long").alias("row"),
-        F.concat_ws(
+        # Like lines that are read: not made again for each filter on them.
+        once(F.concat_ws(
             "\t",
             chrom,
             F.when(ok % 50 == 0, "0").otherwise(F.col("pos").cast("string")),
@@ -127,7 +129,7 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("GT:DP:GQ:AD"),
             F.concat(gt, F.lit(":"), F.col("qty").cast("string"), F.lit(":99:"), ln.cast("string"), F.lit(",2")),
             F.when(ok % 5 == 0, "1").otherwise("0/0:7"),
-        ).alias("value"),
+        ).alias("value")),
     )
 
 
