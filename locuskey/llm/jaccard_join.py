@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from locuskey.llm.components import components
 from locuskey.llm.scratch import Tables, blocks_for, send_package, tasks_for
-from locuskey.llm.textkernel import Words, chunks, expand, expand_ordered, finalise, shingle_sets, squeeze, squeeze_ordered, text_buffers
+from locuskey.llm.textkernel import Words, chunks, expand, expand_ordered, finalise, give_back, shingle_sets, squeeze, squeeze_ordered, text_buffers
 
 #: Parquet bytes of documents in a block.
 BLOCK_BYTES = 4 << 20
@@ -82,6 +82,8 @@ def _first_of_class(width: int, blocks: int):
                 [pa.array(list(lots), pa.int64()), pa.array([b"".join(k) for k, _ in lots.values()], pa.binary()), pa.array([squeeze(t) for _, t in lots.values()], pa.binary())],
                 names=["_block", "_classes", "_texts"],
             )
+            del raw, data, batch, lots
+            give_back()
 
     return run
 
@@ -146,6 +148,7 @@ def _frequencies(table):
 def _prefixes(width: int, ranges: int, least: int):
     def run(docs, answers):
         block = _Block(docs, width, ranges)
+        give_back()
         df = np.ones(len(block.all), np.uint32)
         for r, shared, own in zip(*(answers.column(c).to_pylist() for c in ("_range", "_shared", "_df")), strict=True):
             a, b = block.parts[r]

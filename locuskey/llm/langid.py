@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from locuskey.llm.scratch import send_package
 from locuskey.llm.splits import fold, share_below, with_text
-from locuskey.llm.textkernel import Words, chunks, text_buffers
+from locuskey.llm.textkernel import Words, chunks, give_back, text_buffers
 
 #: Rows of a language that the fit uses at most, about.
 PER_LANGUAGE = 1500
@@ -226,6 +226,7 @@ def _label(model: Model, within: str | None):
             texts = batch.column("_row").field(within) if within else batch.column("_text")
             tags, scores = predict(model, *text_buffers(texts))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
+            give_back()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuskey.llm.scratch import Tables, send_package
-from locuskey.llm.textkernel import Words, chunks, distinct_runs, text_buffers
+from locuskey.llm.textkernel import Words, chunks, distinct_runs, give_back, text_buffers
 
 #: Pieces in a group, about.
 GROUP_PIECES = 4096
@@ -102,6 +102,7 @@ def _pieces(path: str, end_id: int, length: int):
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sums, totals))]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "start", "_sum", "doc_tokens", "ids"])
+            give_back()
 
     return run
 

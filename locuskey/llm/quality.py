@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from locuskey.llm.scratch import send_package
 from locuskey.llm.splits import bounded, fold, with_text
-from locuskey.llm.textkernel import Words, chunks, text_buffers
+from locuskey.llm.textkernel import Words, chunks, give_back, text_buffers
 
 #: Rows that the fit uses at most, about: positives, and unlabelled ones.
 POSITIVES = 12_000
@@ -233,6 +233,7 @@ def _score(model: Model, within: str | None):
         for batch in batches:
             score = model.score(_all_features(batch.column("_row").field(within) if within else batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score)], names=["_row", "score"])
+            give_back()
 
     return run
 

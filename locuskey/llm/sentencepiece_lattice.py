@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locuskey.llm.scratch import blocks_for, send_package, tasks_for
-from locuskey.llm.textkernel import Words, chunks, distinct_runs, expand, hash_runs, spaces_but, squeeze, text_buffers
+from locuskey.llm.textkernel import Words, chunks, distinct_runs, expand, give_back, hash_runs, spaces_but, squeeze, text_buffers
 
 #: Parquet bytes of documents in a block.
 BLOCK_BYTES = 2 << 20
@@ -133,6 +133,8 @@ def _pack_documents(batches):
             names.append(batch.column("_id").take(pa.array(part)).to_pylist())
             blobs.append(squeeze([raw[ends[i] : ends[i + 1]] for i in part.tolist()]))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.list_(batch.column("_id").type)), pa.array(blobs, pa.binary())], names=["_block", "_ids", "_texts"])
+        del raw, data, batch, blobs
+        give_back()
 
 
 class _Block:
@@ -180,6 +182,7 @@ class _Block:
 def _send_segments(splitter: Splitter, ranges: int):
     def run(key, table):
         block = _Block(table, splitter, ranges)
+        give_back()
         lots = list(block.lots.items())
         return pa.table({"_range": pa.array([r for r, _ in lots], pa.int64()), "_block": pa.array([key[0].as_py()] * len(lots), pa.int64()), "_segments": pa.array([squeeze([block.segments[i] for i in p.tolist()]) for _, p in lots], pa.binary())})
 
@@ -218,6 +221,7 @@ def _gather(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _finish(splitter: Splitter, decoder: _Decoder, ranges: int):
     def run(docs, answers):
         block = _Block(docs, splitter, ranges)
+        give_back()
         count = np.zeros(len(block.segments), np.int64)
         begin = np.zeros(len(block.segments), np.int64)
         flats, at = [], 0

@@ -9,6 +9,7 @@ built from words (shingles, windows) is a polynomial over finalised word hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         first = last
 
 
+def give_back() -> None:
+    """Hands memory that a task's arrays no longer use back to the machine; workers live on and share it with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def spaces_but(others: bytes) -> np.ndarray:
     """Which bytes end words, if ``others`` of the usual ones do not."""
     mask = _is_space.copy()
