@@ -29,7 +29,7 @@ from locuskey.llm.scratch import blocks_for, send_package, tasks_for
 from locuskey.llm.textkernel import Words, chunks, distinct_runs, expand, give_back, hash_runs, spaces_but, squeeze, text_buffers
 
 #: Parquet bytes of documents in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Segments up to here keep their boundaries in the bits of one number, longer ones in a byte each.
 _BITS = 61
 SPACE = "▁"
