@@ -22,6 +22,8 @@ from locuskey.llm.textkernel import Words, chunks, distinct_runs, give_back, tex
 GROUP_PIECES = 4096
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 1 << 19
+#: Bytes of text that are cut into words at once: more of them repeat in more.
+_CHUNK = 3 << 20
 _PROBE = ["Aa", "b1", "c.", "Ünï", "東京", "x_y"]
 
 
@@ -47,8 +49,17 @@ class WordIds:
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.used = 0
+
+    def _add(self, found: list[list[int]]):
+        """Ids of new words behind the others; the arrays grow by doubling."""
+        n, ends = len(self.known), np.cumsum([len(x) for x in found]) + self.used
+        grow = lambda x, size: x if size <= len(x) else np.concatenate([x, np.zeros(size, x.dtype)])
+        self.begin, self.flat = grow(self.begin, n + 1), grow(self.flat, int(ends[-1]))
+        self.begin[n - len(found) + 1 : n + 1] = ends
+        self.flat[self.used : int(ends[-1])] = np.fromiter((i for x in found for i in x), np.int32, int(ends[-1]) - self.used)
+        self.used = int(ends[-1])
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each word's begin (one entry more)."""
@@ -61,14 +72,12 @@ class WordIds:
         texts = [raw[s:e] for s, e in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), strict=True)]
         new = list(dict.fromkeys(t for t in texts if t not in self.known))
         if new:
-            found = self._encode([t.decode("utf-8", "replace") for t in new])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.count = np.concatenate([self.count, [len(x) for x in found]]).astype(np.int64)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32)])
+            self._add(self._encode([t.decode("utf-8", "replace") for t in new]))
         at = np.fromiter((self.known[t] for t in texts), np.int64, len(texts))[which]
-        count = self.count[at]
+        begin = self.begin[at]
+        count = self.begin[at + 1] - begin
         ends = np.cumsum(count)
-        begin = (np.cumsum(self.count) - self.count)[at]
         take = np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]))
         return self.flat[take], np.concatenate([[0], ends])
 
@@ -83,7 +92,7 @@ def _pieces(path: str, end_id: int, length: int):
             encoder = _encoders[path] = WordIds(path)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in chunks(data, offsets):
+            for a, b in chunks(data, offsets, _CHUNK):
                 words = Words(data, offsets[a : b + 1])
                 ids, begins = encoder.ids(words)
                 edges = begins[words.first]
