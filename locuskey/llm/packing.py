@@ -21,7 +21,7 @@ from locuskey.llm.textkernel import Words, chunks, distinct_runs, give_back, tex
 #: Pieces in a group, about.
 GROUP_PIECES = 4096
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 18
 #: Bytes of text that are cut into words at once: more of them repeat in more.
 _CHUNK = 3 << 20
 _PROBE = ["Aa", "b1", "c.", "Ünï", "東京", "x_y"]
