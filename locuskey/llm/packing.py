@@ -7,8 +7,11 @@ with room, found in a tournament tree of the sequences' free room.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,11 @@ GROUP_PIECES = 4096
 REMEMBERED = 3 << 18
 #: Bytes of text that are cut into words at once: more of them repeat in more.
 _CHUNK = 3 << 20
+# The pattern that cuts text into what the model sees, and the normalizers beside it, for which the short ways of WordIds hold.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Marks that may be cut off a word's end: ASCII, but for the apostrophe and what special tokens are written with.
+_MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 _PROBE = ["Aa", "b1", "c.", "Ünï", "東京", "x_y"]
 
 
@@ -32,6 +40,10 @@ class WordIds:
 
     Only for tokenizers whose result over a text is the results over its words joined, such as those
     that drop white space; others are refused. Words count as the same if their bytes are.
+
+    Where the tokenizer lower-cases and cuts letters from marks by the one pattern known here, two short ways give
+    the same ids: marks at a word's end are a word of their own, and words of ASCII letters alone go
+    in lower case straight to the model.
     """
 
     def __init__(self, path: str):
@@ -42,11 +54,44 @@ class WordIds:
         apart = [i for x in self._encode(_PROBE) for i in x]
         if any(x != apart for x in self._encode([gap.join(_PROBE) for gap in (" ", "\t", "\n  ")])):
             raise ValueError(f"{path}: white space changes the ids of words")
+        self.short = self._knows_cuts(json.loads(self.tokenizer.to_str()))
+        self.marks = None
+        if self.short:
+            self.marks = np.zeros(256, bool)
+            self.marks[list(_MARKS)] = True
         self._clear()
 
+    @staticmethod
+    def _knows_cuts(spec: dict) -> bool:
+        """Whether the short ways hold: by the normalizers, the pattern and what special tokens look like."""
+        steps = lambda x, many: (x.get(many) or [x]) if x else []
+        normalizers, cuts = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+        special = [t["content"].encode() for t in spec["added_tokens"]]
+        return (
+            [x["type"] for x in normalizers] == _NORMALIZERS
+            and normalizers[1]["pattern"] == {"Regex": r"\s+"}
+            and normalizers[1]["content"] == " "
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _CUTS}
+            and cuts[0]["behavior"] == "Removed"
+            and cuts[0]["invert"]
+            and not cuts[1]["add_prefix_space"]
+            and not cuts[1]["use_regex"]
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"]["dropout"]
+            and not any(t.isalpha() or re.search(rb"[A-Za-z][" + re.escape(_MARKS) + rb"]", t) for t in special)
+        )
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        if not self.short:
+            return self._encode([w.decode("utf-8", "replace") for w in words])
+        model = self.tokenizer.model
+        others = iter(self._encode([w.decode("utf-8", "replace") for w in words if not w.isalpha()]))
+        return [[t.id for t in model.tokenize(w.decode())] if w.isalpha() else next(others) for w in words]
+
     def _clear(self):
         self.known: dict[bytes, int] = {}
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
@@ -54,11 +99,11 @@ class WordIds:
 
     def _add(self, found: list[list[int]]):
         """Ids of new words behind the others; the arrays grow by doubling."""
-        n, ends = len(self.known), np.cumsum([len(x) for x in found]) + self.used
+        n, ends = len(self.known), np.cumsum(list(map(len, found))) + self.used
         grow = lambda x, size: x if size <= len(x) else np.concatenate([x, np.zeros(size, x.dtype)])
         self.begin, self.flat = grow(self.begin, n + 1), grow(self.flat, int(ends[-1]))
         self.begin[n - len(found) + 1 : n + 1] = ends
-        self.flat[self.used : int(ends[-1])] = np.fromiter((i for x in found for i in x), np.int32, int(ends[-1]) - self.used)
+        self.flat[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) - self.used)
         self.used = int(ends[-1])
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +115,15 @@ class WordIds:
             self._clear()
         raw = words.bytes.tobytes()
         texts = [raw[s:e] for s, e in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), strict=True)]
-        new = list(dict.fromkeys(t for t in texts if t not in self.known))
+        if self.short:
+            texts = [t.lower() if t.isalpha() else t for t in texts]
+        found = list(map(self.known.get, texts))
+        new = list(dict.fromkeys(t for t, i in zip(texts, found, strict=True) if i is None))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self._add(self._encode([t.decode("utf-8", "replace") for t in new]))
-        at = np.fromiter((self.known[t] for t in texts), np.int64, len(texts))[which]
+            self._add(self._encode_words(new))
+            found = list(map(self.known.get, texts))
+        at = np.array(found, np.int64)[which]
         begin = self.begin[at]
         count = self.begin[at + 1] - begin
         ends = np.cumsum(count)
@@ -93,7 +142,7 @@ def _pieces(path: str, end_id: int, length: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in chunks(data, offsets, _CHUNK):
-                words = Words(data, offsets[a : b + 1])
+                words = Words(data, offsets[a : b + 1], marks=encoder.marks)
                 ids, begins = encoder.ids(words)
                 edges = begins[words.first]
                 rows, starts, lengths, sums, totals, parts = [], [], [], [], [], [np.zeros(0, "<u4")]

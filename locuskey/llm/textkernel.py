@@ -26,6 +26,8 @@ _PLACES = 64
 
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, *range(0x09, 0x0E)]] = True
+_is_letter = np.zeros(256, bool)
+_is_letter[[*range(65, 91), *range(97, 123)]] = True
 _constants = np.random.RandomState(20240229)
 _plain = _constants.randint(-(2**63), 2**63 - 1, (_PLACES, 256), dtype=np.int64).view(np.uint64)
 _lower = _plain.copy()
@@ -147,9 +149,10 @@ class Words:
     """Words of some rows: byte positions, hashes, and each row's first word (``first`` has a row more).
 
     With ``gaps`` a word begins where the one before it ends, and what follows a row's last word is one more.
+    With ``marks`` (which bytes are such) marks that end a word and follow an ASCII letter are a word of their own.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _is_space, gaps: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _is_space, gaps: bool = False, marks: np.ndarray | None = None):
         self.base = int(offsets[0])
         self.bytes = data[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
@@ -165,6 +168,11 @@ class Words:
         if gaps:
             bounds = np.unique(np.concatenate([self.offsets, self.ends]))
             self.starts, self.ends = bounds[:-1], bounds[1:]
+        if marks is not None and len(self.starts):
+            last = np.maximum.accumulate(np.where(marks[b], -1, np.arange(n)))[self.ends - 1]
+            cut = np.flatnonzero((last >= self.starts) & (last + 1 < self.ends) & _is_letter[b[last]])
+            self.starts = np.insert(self.starts, cut + 1, last[cut] + 1)
+            self.ends = np.insert(self.ends, cut, last[cut] + 1)
         self.first = np.searchsorted(self.starts, self.offsets)
         self.hashes = hash_runs(self.bytes, self.starts, self.ends, lower)
 

@@ -11,10 +11,10 @@ from tokenizers import Tokenizer
 
 from locuskey.llm import sentencepiece_lattice as lattice
 from locuskey.llm import warc
-from locuskey.llm.packing import FirstFit, pack
+from locuskey.llm.packing import FirstFit, WordIds, pack
 from locuskey.llm.queries import op5_sharding
 from locuskey.llm.sharding import SLOTS, lookup_table, place, write_shards
-from locuskey.llm.textkernel import squeeze
+from locuskey.llm.textkernel import Words, squeeze
 
 _turn = [bin(i).count("1") % 2 for i in range(2048)]
 #: Two words that a polynomial hash modulo a power of two makes equal, whatever its base.
@@ -52,6 +52,22 @@ def test_pack(spark):
     assert pack(df.limit(0), path).count() == 0
 
 
+def test_short_ways_of_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, tokenizer = WordIds(path), Tokenizer.from_file(path)
+    assert words.short
+    r = random.Random(3)
+    parts = ["a", "B", "xyz", "é", "É", "\u0301", "\u0338", "'", "'s", "'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ".", ",!", "=", "1", "٣", "İ", "Σ", "ς", "東", "\u3000", "\x1c", "\x85", " ", "\n", "-", "_", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20_000)] + ["don't. can't.. it's! IT'S. a'.s x='t", "." * 99, "a" + "." * 99]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    cut = Words(np.frombuffer(data, np.uint8), offsets, marks=words.marks)
+    ids, begins = words.ids(cut)
+    edges = begins[cut.first]
+    for i, whole in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[edges[i] : edges[i + 1]].tolist() == whole.ids, texts[i]
+
+
 def test_first_fit():
     r = random.Random(2)
     bins, slow = FirstFit(100), []
