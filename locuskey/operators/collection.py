@@ -106,8 +106,7 @@ class Collection:
         try:
             order = ["block", "row", "allele"]
             new = found.select("key", "lin", "asm", "qual", "filter", info_json(F.col("info"), types["INFO"]).alias("info"), "multiallelic", *order).withColumn("source", F.lit(prefix))
-            fresh = insert_or_ignore(self.sites.where(F.col("source") == prefix), new, ["source", "key"], order).drop(*order)
-            self._append(fresh, "sites", ["source"])
+            self.add_sites(new, order, prefix)
             if header.samples:
                 calls = genotypes(found, header.samples, types["FORMAT"]).withColumn("source", F.lit(prefix))
                 fresh = insert_or_ignore(self.genotypes.where(F.col("source") == prefix), calls, ["source", "sample", "key"], order).drop(*order)
@@ -121,6 +120,11 @@ class Collection:
         upsert(self.meta, self.spark.createDataFrame(rows, META), ["table_name"]).coalesce(1).write.parquet(f"{self.path}/meta/v={(versions or [0])[-1] + 1}")
         return prefix
 
+    def add_sites(self, rows: DataFrame, order: list[str], source: str | None = None) -> None:
+        """Adds sites, of one source if it is given; ``rows`` has the columns of ``sites`` and those of ``order``, by which the first of a source's key is taken."""
+        there = self.sites if source is None else self.sites.where(F.col("source") == source)
+        self._append(insert_or_ignore(there, rows, ["source", "key"], order).drop(*order), "sites", ["source"])
+
     def _append(self, rows: DataFrame, name: str, parts: list[str]) -> None:
         rows.repartitionByRange("source", "lin").sortWithinPartitions(*parts, "lin", "key").write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{name}")
 

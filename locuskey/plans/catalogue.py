@@ -401,6 +401,22 @@ def search_sample_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.search_genotypes(calls, sites, _CHR1).select(*ROW, "source", "key", F.col("multiallelic").alias("kind"))
 
 
+def stored_collection(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """A collection of all variants, written to the shared folder."""
+    c = collection.Collection(spark, inputs.shared_path(spark, "collection"))
+    fields = {"asm": F.col("asm").cast("tinyint"), "qual": F.lit(None).cast("float"), "filter": F.lit(None).cast("string"), "info": F.col("k").cast("string"), "multiallelic": F.lit(False)}
+    c.add_sites(_searchable(spark, sf_dir).withColumns(fields).select(*c.sites.columns, *ROW), ROW)
+    return c
+
+
+@query(
+    f"""{_KEYED}, s AS (SELECT *, 'f' || (l_suppkey % 3) AS source, row_number() OVER (PARTITION BY l_suppkey % 3, key ORDER BY {_ROW}) AS rn FROM e)
+    SELECT source, key, CAST(k AS VARCHAR) AS info FROM s WHERE rn = 1 AND {_SQL_CHR1} ORDER BY key"""
+)
+def search_stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.search_sites(stored_collection(spark, sf_dir).sites, _CHR1).select("source", "key", "info")
+
+
 # Normalisation: variants on the documents' letters.
 
 

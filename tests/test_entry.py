@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
-SAMPLED = ["encode_hex", "decode_fields", "uuid5", "annotate_hex", "vcf_genotypes", "search_sample_join", "id_to_hgvs", "collision_audit"]
+SAMPLED = ["encode_hex", "decode_fields", "uuid5", "annotate_hex", "vcf_genotypes", "search_sample_join", "search_stored_sites", "id_to_hgvs", "collision_audit"]
 
 
 def _rows(table, columns):
@@ -32,3 +32,18 @@ def test_names():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_search_of_a_stored_collection_prunes(spark):
+    from locuskey.operators.collection import search_sites
+    from locuskey.plans.catalogue import _CHR13, stored_collection
+
+    sites = stored_collection(spark, DATA).sites
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    try:
+        plan = search_sites(sites.where("source = 'f1'"), _CHR13)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.partition("PushedFilters: [")[2]
+    assert all(x in pushed for x in ("GreaterThanOrEqual(lin,", "LessThanOrEqual(lin,", "GreaterThanOrEqual(key,"))
+    assert "PartitionFilters: [isnotnull(source" in plan
