@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from locuskey.functions.alleles import encode_slot
 from locuskey.functions.assembly import AssemblyNotDetectedError, Scheme, detect_assembly, detect_scheme, linear_position, resolve_contig
 from locuskey.functions.ids import compose_key
+from locuskey.sources.bgzf import read_blocks
 
 GZIP_MAGIC = b"\x1f\x8b"
 #: A missing, overlapping, symbolic or breakend allele: nothing to spell.
@@ -112,23 +114,24 @@ def read_header(spark: SparkSession, path: str) -> tuple[Header, bool]:
 
 def _unzip(batches):
     for batch in batches:
-        for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            lines = gzip.decompress(content).decode("utf-8", "replace").split("\n")
-            if lines and lines[-1] == "":
-                lines.pop()
-            for a in range(0, len(lines), 50_000):
-                part = lines[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r") for x in part], pa.string()), pa.array([0] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int64())], names=["value", "block", "row"])
+        for content in batch.column("content").to_pylist():
+            stream, row = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))), 0
+            while part := stream.readlines(1 << 22):
+                lines = [x.rstrip(b"\r\n") for x in part]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array([0] * len(part), pa.int64()), pa.array(range(row, row + len(part)), pa.int64())], names=["value", "block", "row"])
+                row += len(part)
 
 
 def read_lines(spark: SparkSession, path: str, zipped: bool = False) -> DataFrame:
     """Lines with their order in the file: (value, block, row).
 
-    Plain files are read in parallel; gzip is no splittable format, and where the name does not say
-    that a file is gzip it is read as one binary value.
+    Plain files and BGZF are read in parallel, whatever their names. Other gzip is no splittable format: one task reads
+    it, and where the name does not say that a file is gzip it is one binary value, unpacked as a stream.
     """
+    if zipped and (blocks := read_blocks(spark, path)) is not None:
+        return blocks
     if zipped and not path.endswith(".gz"):
-        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_unzip, "value string, block long, row long")
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_unzip, "value binary, block long, row long").withColumn("value", F.col("value").cast("string"))
     lines = spark.read.text(path)
     return lines.select(F.regexp_replace("value", "\r+$", "").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
