@@ -46,10 +46,15 @@ def key_of(binary) -> Column:
     return F.lower(F.hex(_col(binary)))
 
 
+def _hyphened(*parts: Column) -> Column:
+    """Parts with hyphens between; null if one is."""
+    return F.concat(*[x for p in parts for x in (F.lit("-"), p)][1:])
+
+
 def dashed(key) -> Column:
-    """8-8-8-8 form of 32 hex digits."""
+    """8-8-8-8 form of 32 hex digits; null for a null."""
     k = _col(key)
-    return F.concat_ws("-", *[F.substring(k, 8 * i + 1, 8) for i in range(4)])
+    return _hyphened(*[F.substring(k, 8 * i + 1, 8) for i in range(4)])
 
 
 def parse_key(text) -> Column:
@@ -66,29 +71,22 @@ def linear_of(key) -> Column:
     return _words(_col(key))[0]
 
 
-def with_decoded(rows: DataFrame, key: str = "key", into: str = "decoded") -> DataFrame:
-    """``rows`` with a struct of a variant's fields from 32 hex digits; null if the assembly or the position is invalid.
-
-    Alleles known only by length come back as as many N. The steps are projections of their own, so that
-    nothing is worked out twice.
-    """
-    k = F.col(key)
-    w = rows.withColumns({f"_w{i}": x for i, x in enumerate(_words(k))})
+def decoded_parts(w1: Column, w2: Column, w3: Column) -> tuple[Column, Column, Column]:
+    """(assembly code, REF code, ALT code) of an identifier's words after the first."""
     one, flag = F.lit(1).cast("long"), F.lit(LENGTH_FLAG)
     allele = lambda mode, payload: F.when(mode == 1, payload.bitwiseOR(flag)).otherwise(payload)
-    w1, w2, w3 = (F.col(f"_w{i}") for i in (1, 2, 3))
-    parts = w.withColumns(
-        {
-            "_asm": F.shiftright(w1, 30).bitwiseAND(F.lit(3).cast("long")).cast("int"),
-            "_rc": allele(F.shiftright(w1, 29).bitwiseAND(one), F.shiftleft(w1.bitwiseAND(F.lit(0x1FFFFFFF)), 17).bitwiseOR(F.shiftright(w2, 15))),
-            "_ac": allele(F.shiftright(w2, 14).bitwiseAND(one), F.shiftleft(w2.bitwiseAND(F.lit(0x3FFF)), 32).bitwiseOR(w3)),
-        }
+    return (
+        F.shiftright(w1, 30).bitwiseAND(F.lit(3).cast("long")).cast("int"),
+        allele(F.shiftright(w1, 29).bitwiseAND(one), F.shiftleft(w1.bitwiseAND(F.lit(0x1FFFFFFF)), 17).bitwiseOR(F.shiftright(w2, 15))),
+        allele(F.shiftright(w2, 14).bitwiseAND(one), F.shiftleft(w2.bitwiseAND(F.lit(0x3FFF)), 32).bitwiseOR(w3)),
     )
-    parts = parts.withColumn("_ci", linear_index("_w0", "_asm"))
-    r, a = F.col("_rc"), F.col("_ac")
+
+
+def decoded_fields(linear: Column, index: Column, code: Column, r: Column, a: Column) -> Column:
+    """Struct of a variant's fields; null if the contig is."""
     fields = F.struct(
-        chrom_name("_ci").alias("chr"),
-        (F.col("_w0") - linear_offset("_ci", "_asm")).alias("pos"),
+        chrom_name(index).alias("chr"),
+        (linear - linear_offset(index, code)).alias("pos"),
         allele_bases(r).alias("ref"),
         allele_bases(a).alias("alt"),
         allele_length(r).alias("ref_len"),
@@ -97,9 +95,22 @@ def with_decoded(rows: DataFrame, key: str = "key", into: str = "decoded") -> Da
         is_exact(a).alias("alt_is_exact"),
         allele_fingerprint(r).alias("ref_fingerprint"),
         allele_fingerprint(a).alias("alt_fingerprint"),
-        assembly_name("_asm").alias("assembly"),
+        assembly_name(code).alias("assembly"),
     )
-    return parts.withColumn(into, F.when(F.col("_ci").isNotNull(), fields)).drop(*[f"_w{i}" for i in range(4)], "_asm", "_rc", "_ac", "_ci")
+    return F.when(index.isNotNull(), fields)
+
+
+def with_decoded(rows: DataFrame, key: str = "key", into: str = "decoded") -> DataFrame:
+    """``rows`` with a struct of a variant's fields from 32 hex digits; null if the assembly or the position is invalid.
+
+    Alleles known only by length come back as as many N. The steps are projections of their own, so that
+    nothing is worked out twice.
+    """
+    w = rows.withColumns({f"_w{i}": x for i, x in enumerate(_words(F.col(key)))})
+    parts = w.withColumns(dict(zip(("_asm", "_rc", "_ac"), decoded_parts(F.col("_w1"), F.col("_w2"), F.col("_w3")), strict=True)))
+    parts = parts.withColumn("_ci", linear_index("_w0", "_asm"))
+    fields = decoded_fields(*(F.col(c) for c in ("_w0", "_ci", "_asm", "_rc", "_ac")))
+    return parts.withColumn(into, fields).drop(*[f"_w{i}" for i in range(4)], "_asm", "_rc", "_ac", "_ci")
 
 
 def name_digest(key) -> Column:
@@ -116,7 +127,7 @@ def uuid5_of(digest) -> Column:
     """The version-5 UUID that begins with a digest; the digest is best a column of its own, read once here."""
     h = _col(digest)
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return _hyphened(F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
 def region_bounds(index: int, start: int, end: int, code: int) -> tuple[str, str, int, int]:

@@ -96,12 +96,12 @@ def annotate_normalized(lines: DataFrame, scheme: Scheme | str, code: int, refer
     return done.select(*lines.columns, *([F.lit(False).alias(kept)] if kept else [])).unionByName(rest)
 
 
-def annotate_file(spark: SparkSession, source: str, sink: str | None = None, use_uuid: bool = False, assembly: str | None = None, normalize_alleles: bool = False, reference: DataFrame | None = None) -> int:
+def annotate_file(spark: SparkSession, source: str, sink: str | None = None, use_uuid: bool = False, assembly: str | None = None, normalize_alleles: bool = False, reference: DataFrame | None = None, warn: bool = True) -> int:
     """Annotates a VCF file, plain or gzip, and returns the number of data lines.
 
     The assembly is the given one or that of the header; without either the call fails. A sink named
     .vcf.gz or .vcf.bgz is BGZF, another one plain, none standard output. The lines of a sink are worked out once and written by the tasks, see
-    ``write_file``; only if some have no identifier are these read again, to be named on standard error.
+    ``write_file``; only if some have no identifier and ``warn`` holds are these read again, to be named on standard error.
     """
     given = None if assembly is None else parse_assembly_name(assembly)
     header, zipped = read_header(spark, source)
@@ -122,12 +122,13 @@ def annotate_file(spark: SparkSession, source: str, sink: str | None = None, use
     else:
         new = annotate_lines(lines, scheme, code, use_uuid, "_kept")
     if sink is None:
-        _name_kept(lines, scheme, code)
+        if warn:
+            _name_kept(lines, scheme, code)
         return write_lines(new, header.lines, sys.stdout.buffer)
     p = spark._jvm.org.apache.hadoop.fs.Path(source)
     extent = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() + 1
     done = write_file(new, header.lines, sink, compress=sink.endswith((".vcf.gz", ".vcf.bgz")), extent=extent, in_order=in_order, count={"kept": F.sum(F.col("_kept").cast("long"))})
-    if done.counts["kept"]:
+    if warn and done.counts["kept"]:
         _name_kept(lines, scheme, code)
     return done.counts["n"]
 

@@ -1,24 +1,34 @@
 """Collections of variants: site and genotype tables with what was read from where, and region search.
 
 A collection is a folder: ``sites`` and ``genotypes`` are Parquet tables partitioned by source (and
-sample) and ordered by linear position inside a file, so that a region becomes a range on ``lin``
-that Parquet's statistics answer; ``meta`` has a version per change.
+sample). Both are cut into the same buckets by ranges of the linear position and ordered by it inside a file, so that a region becomes
+a list of buckets and a range on ``lin`` and ``key`` that Parquet's statistics answer, and a sample's genotypes meet their sites bucket by
+bucket without a shuffle. Keys are 16 bytes, which Parquet compares without sign. ``meta`` has a version per change.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from locuskey.functions import catalogue
 
 from locuskey.functions.assembly import NAME_INDEX, parse_assembly_name
-from locuskey.functions.ids import dashed, region_bounds
+from locuskey.functions.ids import dashed, key_of, region_bounds
 from locuskey.sources.vcf import genotypes, info_json, read_header, read_lines, variants
 
 META = "table_name string, table_type string, source_file string, sample_name string, vcf_header string, info_definitions string, format_definitions string, contigs string, added_at timestamp"
-SITES = "key string, lin long, asm tinyint, qual float, filter string, info string, multiallelic boolean, source string"
-GENOTYPES = "key string, lin long, asm tinyint, allele1 int, allele2 int, phased boolean, dp int, gq int, format_extra string, source string, sample string"
+SITES = "key binary, lin long, bin int, asm tinyint, qual float, filter string, info string, multiallelic boolean, source string"
+GENOTYPES = "key binary, lin long, bin int, asm tinyint, allele1 int, allele2 int, phased boolean, dp int, gq int, format_extra string, source string, sample string"
+#: A range of positions that lies in one bucket: 2**22 bases, so that a genome has under 800.
+BIN_BITS = 22
+#: Files of a bucket in one addition: a range that has many rows is written by several tasks.
+FILES = 2
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,8 +49,12 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def in_region(rows: DataFrame, low_key: str, high_key: str, low: int, high: int) -> DataFrame:
-    """Key range, and the same range on ``lin`` for the scan to skip row groups by."""
-    return rows.where(F.col("lin").between(low, high) & F.col("key").between(low_key, high_key))
+    """Key range, and the same range on ``lin`` for the scan to skip row groups by, and on ``bin``, where rows have it, to skip buckets by."""
+    ends = (low_key, high_key)
+    if isinstance(rows.schema["key"].dataType, T.BinaryType):
+        ends = tuple(F.lit(bytes.fromhex(x)) for x in ends)
+    found = rows.where(F.col("lin").between(low, high) & F.col("key").between(*ends))
+    return found.where(F.col("bin").isin(list(range(low >> BIN_BITS, (high >> BIN_BITS) + 1)))) if "bin" in rows.columns else found
 
 
 def search_sites(sites: DataFrame, bounds: tuple[str, str, int, int]) -> DataFrame:
@@ -50,39 +64,69 @@ def search_sites(sites: DataFrame, bounds: tuple[str, str, int, int]) -> DataFra
 
 def search_genotypes(calls: DataFrame, sites: DataFrame, bounds: tuple[str, str, int, int]) -> DataFrame:
     """A sample's genotypes in a region with their sites, in genomic order; the range is put on both sides of the join."""
-    s = in_region(sites, *bounds).select("source", "key", "qual", "filter", "info", "multiallelic")
-    return in_region(calls, *bounds).join(s, ["source", "key"], "left").orderBy("key")
+    on = ["source", *(["bin"] if "bin" in calls.columns and "bin" in sites.columns else []), "key"]
+    s = in_region(sites, *bounds).select(*on, "qual", "filter", "info", "multiallelic")
+    return in_region(calls, *bounds).join(s, on, "left").orderBy("key")
 
 
 class Collection:
-    """A folder of variant tables."""
+    """A folder of variant tables; ``buckets``, of a new one, is how many parts positions are dealt into."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._jvm = spark._jvm
+        self._fs_path = self._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._fs_path)
+        self.path = self._fs.makeQualified(self._fs_path).toString()
+        self.buckets = self._layout(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # Buckets by a part of the join's keys are as good as by all of them: every join here has further keys.
+        self._joining = spark.newSession()
+        self._joining.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        self._joining.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        self._known: set[str] = set()
+
+    def _layout(self, buckets: int) -> int:
+        """How many buckets the tables have: as was written once, or as is wanted."""
+        p = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/layout.json")
+        if self._fs.exists(p):
+            stream = self._fs.open(p)
+            try:
+                return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["buckets"]
+            finally:
+                stream.close()
+        stream = self._fs.create(p, False)
+        try:
+            stream.write(bytearray(json.dumps({"buckets": buckets, "bin_bits": BIN_BITS}).encode()))
+        finally:
+            stream.close()
+        return buckets
 
     def _there(self, name: str) -> bool:
-        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        if not self._there(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+
+    def _catalogued(self, name: str, schema: str, parts: list[str]) -> str:
+        """The name under which the session's catalogue knows a table of this folder."""
+        table = f"locuskey_{hashlib.md5(self.path.encode()).hexdigest()}_{name}"
+        if table not in self._known:
+            self._fs.mkdirs(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet PARTITIONED BY ({', '.join(parts)}) CLUSTERED BY (bin) SORTED BY (lin, key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"MSCK REPAIR TABLE {table}")
+            self._known.add(table)
+        return table
 
     @property
     def sites(self) -> DataFrame:
-        return self._table("sites", SITES)
+        return self.spark.table(self._catalogued("sites", SITES, ["source"]))
 
     @property
     def genotypes(self) -> DataFrame:
-        return self._table("genotypes", GENOTYPES)
+        return self.spark.table(self._catalogued("genotypes", GENOTYPES, ["source", "sample"]))
 
     def _versions(self) -> list[int]:
         if not self._there("meta"):
             return []
-        found = self._fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta"))
+        found = self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta"))
         names = [(x.getPath().getName(), x.getPath().toString()) for x in found]
         return sorted(int(n[2:]) for n, p in names if n.startswith("v=") and self._there(f"meta/{n}/_SUCCESS"))
 
@@ -109,8 +153,7 @@ class Collection:
             self.add_sites(new, order, prefix)
             if header.samples:
                 calls = genotypes(found, header.samples, types["FORMAT"]).withColumn("source", F.lit(prefix))
-                fresh = insert_or_ignore(self.genotypes.where(F.col("source") == prefix), calls, ["source", "sample", "key"], order).drop(*order)
-                self._append(fresh, "genotypes", ["source", "sample"])
+                self._append(self.genotypes.where(F.col("source") == prefix), calls, ["source", "sample", "key"], order)
         finally:
             found.unpersist()
         now = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -121,12 +164,22 @@ class Collection:
         return prefix
 
     def add_sites(self, rows: DataFrame, order: list[str], source: str | None = None) -> None:
-        """Adds sites, of one source if it is given; ``rows`` has the columns of ``sites`` and those of ``order``, by which the first of a source's key is taken."""
-        there = self.sites if source is None else self.sites.where(F.col("source") == source)
-        self._append(insert_or_ignore(there, rows, ["source", "key"], order).drop(*order), "sites", ["source"])
-
-    def _append(self, rows: DataFrame, name: str, parts: list[str]) -> None:
-        rows.repartitionByRange("source", "lin").sortWithinPartitions(*parts, "lin", "key").write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{name}")
+        """Adds sites, of one source if it is given; ``rows`` has the columns of ``sites`` but ``bin``, keys in hex, and those of ``order``, by which the first of a source's key is taken."""
+        self._append(self.sites if source is None else self.sites.where(F.col("source") == source), rows, ["source", "key"], order)
+
+    def add_calls(self, rows: DataFrame, order: list[str]) -> None:
+        """Adds genotypes; ``rows`` has the columns of ``genotypes`` but ``bin``, keys in hex, and those of ``order``, by which the first of a sample's key is taken."""
+        self._append(self.genotypes, rows, ["source", "sample", "key"], order)
+
+    def _append(self, there: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> None:
+        """Appends to the table of ``keys`` what ``there`` has not; a bucket's rows go to FILES tasks, which write nothing else."""
+        name, schema, parts = ("genotypes", GENOTYPES, keys[:-1]) if "sample" in keys else ("sites", SITES, keys[:-1])
+        new = rows.withColumns({"key": F.unhex("key"), "bin": F.shiftright("lin", BIN_BITS).cast("int")})
+        fresh = insert_or_ignore(there, new, keys, order).select(*there.columns)
+        # As buckets are numbered, so that a task's rows are one bucket's.
+        number = F.pmod(F.hash("bin"), F.lit(self.buckets)) * FILES + F.pmod(F.col("lin"), F.lit(FILES)).cast("int")
+        dealt = fresh.repartitionById(self.buckets * FILES, number)
+        dealt.write.insertInto(self._catalogued(name, schema, parts))
 
     def list_samples(self) -> list[str]:
         """Names of the genotype tables, in order."""
@@ -150,15 +203,19 @@ class Collection:
         except ValueError as e:
             raise OSError(str(e)) from e
         prefix = prefix_of(known.source_file)
-        sites = self.sites.where(F.col("source") == prefix)
-        if known.table_type == "sites":
-            hits = search_sites(sites, bounds)
-        else:
-            hits = search_genotypes(self.genotypes.where((F.col("source") == prefix) & (F.col("sample") == known.sample_name)), sites, bounds)
-        return hits.withColumn("variant_id", dashed("key"))
+        hits = search_sites(self.sites.where(F.col("source") == prefix), bounds) if known.table_type == "sites" else self.search_sample(prefix, known.sample_name, bounds)
+        return hits.withColumn("variant_id", dashed(key_of("key")))
+
+    def search_sample(self, source: str, sample: str, bounds: tuple[str, str, int, int]) -> DataFrame:
+        """A sample's genotypes in a region with their sites, in genomic order: bucket by bucket, without a shuffle before the join."""
+        table = lambda name, schema, parts: self._joining.table(self._catalogued(name, schema, parts)).where(F.col("source") == source)
+        calls = table("genotypes", GENOTYPES, ["source", "sample"]).where(F.col("sample") == sample)
+        return search_genotypes(calls, table("sites", SITES, ["source"]), bounds)
 
     def sql(self, query: str) -> DataFrame:
-        """Spark SQL over the views sites, genotypes and meta."""
+        """Spark SQL over the views sites, genotypes and meta, with the functions of ``functions.catalogue``."""
+        if not self.spark.catalog.functionExists("hgvs_of"):
+            catalogue.register(self.spark)
         self.sites.createOrReplaceTempView("sites")
         self.genotypes.createOrReplaceTempView("genotypes")
         self.meta.createOrReplaceTempView("meta")

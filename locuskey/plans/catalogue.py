@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskey.functions import alleles, assembly, hgvs, ids
+from locuskey.functions import catalogue as functions
 from locuskey.functions.assembly import GENBANK, LENGTHS, NAMES, OFFSETS, REFSEQ, UCSC_NAMES, Scheme
 from locuskey.operators import annotate, audit, collection, hgvs_convert, normalize
 from locuskey.plans import inputs
@@ -402,19 +403,61 @@ def search_sample_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_collection(spark: SparkSession, sf_dir: str) -> collection.Collection:
-    """A collection of all variants, written to the shared folder."""
+    """A collection of all variants, written to the shared folder: sites of three sources, calls of four samples."""
     c = collection.Collection(spark, inputs.shared_path(spark, "collection"))
-    fields = {"asm": F.col("asm").cast("tinyint"), "qual": F.lit(None).cast("float"), "filter": F.lit(None).cast("string"), "info": F.col("k").cast("string"), "multiallelic": F.lit(False)}
-    c.add_sites(_searchable(spark, sf_dir).withColumns(fields).select(*c.sites.columns, *ROW), ROW)
+    v = _searchable(spark, sf_dir).withColumn("asm", F.col("asm").cast("tinyint"))
+    fields = {"qual": F.lit(None).cast("float"), "filter": F.lit(None).cast("string"), "info": F.col("k").cast("string"), "multiallelic": F.lit(False)}
+    c.add_sites(v.where("l_linenumber % 5 <> 0").withColumns(fields), ROW)
     return c
 
 
+def stored_calls(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """``stored_collection`` and, for each order line, its call in one of four samples."""
+    c = stored_collection(spark, sf_dir)
+    v = _searchable(spark, sf_dir).withColumn("asm", F.col("asm").cast("tinyint")).withColumn("sample", F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")))
+    calls = {"allele1": F.lit(0), "allele2": (F.col("l_linenumber") % 3).cast("int"), "phased": F.lit(True), "dp": F.col("qty"), "gq": F.lit(99), "format_extra": F.lit(None).cast("string")}
+    c.add_calls(v.withColumns(calls), ROW)
+    return c
+
+
+_STORED = f"s AS (SELECT *, 'f' || (l_suppkey % 3) AS source, row_number() OVER (PARTITION BY l_suppkey % 3, key ORDER BY {_ROW}) AS rn FROM e WHERE l_linenumber % 5 <> 0)"
+
+
+@query(f"{_KEYED}, {_STORED} SELECT source, key, CAST(k AS VARCHAR) AS info FROM s WHERE rn = 1 AND {_SQL_CHR1} ORDER BY key")
+def search_stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.search_sites(stored_collection(spark, sf_dir).sites, _CHR1).select("source", ids.key_of("key").alias("key"), "info")
+
+
+@query(f"{_KEYED}, {_STORED} SELECT source, key, CAST(k AS VARCHAR) AS info FROM s WHERE rn = 1 AND {_SQL_CHR13} ORDER BY key")
+def search_stored_straddle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.search_sites(stored_collection(spark, sf_dir).sites, _CHR13).select("source", ids.key_of("key").alias("key"), "info")
+
+
 @query(
-    f"""{_KEYED}, s AS (SELECT *, 'f' || (l_suppkey % 3) AS source, row_number() OVER (PARTITION BY l_suppkey % 3, key ORDER BY {_ROW}) AS rn FROM e)
-    SELECT source, key, CAST(k AS VARCHAR) AS info FROM s WHERE rn = 1 AND {_SQL_CHR1} ORDER BY key"""
+    f"""{_KEYED}, {_STORED}, g AS (SELECT *, 'f' || (l_suppkey % 3) AS source, row_number() OVER (PARTITION BY l_suppkey % 3, key ORDER BY {_ROW}) AS rn FROM e WHERE l_suppkey % 4 = 1)
+    SELECT g.source, g.key, CAST(g.l_linenumber % 3 AS INTEGER) AS allele2, g.qty AS dp, CAST(s.k AS VARCHAR) AS info FROM g LEFT JOIN s ON g.source = s.source AND g.key = s.key AND s.rn = 1
+    WHERE g.rn = 1 AND g.source = 'f1' AND g.{_SQL_CHR1} ORDER BY g.key"""
 )
-def search_stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.search_sites(stored_collection(spark, sf_dir).sites, _CHR1).select("source", "key", "info")
+def search_stored_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored_calls(spark, sf_dir).search_sample("f1", "S1", _CHR1)
+    return found.select("source", ids.key_of("key").alias("key"), "allele2", "dp", "info")
+
+
+@query(
+    f"""{_KEYED}, w AS (SELECT *, sha1(unhex('{ids.NAMESPACE.hex}' || key)) AS h FROM e)
+    SELECT {_ROW}, key, {sql_dashed('key')} AS id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid,
+    name AS chr, pos, CAST(CASE WHEN rc = 0 THEN 0 ELSE length(ref) END AS BIGINT) AS ref_len, {_SQL_CHR13} AS inside FROM w"""
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codec as functions of Spark SQL."""
+    v = inputs.variants(spark, sf_dir).withColumn("assembly", assembly.assembly_name("asm"))
+    functions.register(spark)
+    return spark.sql(
+        f"""SELECT {_ROW}, key, variant_dashed(key) AS id, variant_uuid(key) AS uuid, d.chr, d.pos, CAST(d.ref_len AS BIGINT) AS ref_len,
+        key BETWEEN region_low('chr13', 60000000, 80000000, 'hg38') AND region_high('13', 60000000, 80000000, 'GRCh38') AS inside
+        FROM (SELECT {_ROW}, key, variant_decode(key) AS d FROM (SELECT {_ROW}, variant_key(concat('chr', name), pos, ref, alt, assembly) AS key FROM {{v}}))""",
+        v=v,
+    )
 
 
 # Normalisation: variants on the documents' letters.

@@ -14,6 +14,7 @@ from locuskey.sources.bgzf import write_file
 
 HEADER = [
     "##fileformat=VCFv4.3",
+    "##reference=GRCh38",
     *(f"##contig=<ID={name},length={length}>" for name, length in zip(UCSC_NAMES, LENGTHS["GRCh38"], strict=True) if length),
     '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">',
     '##INFO=<ID=AF,Number=A,Type=Float,Description="Share, of each allele">',
@@ -44,5 +45,5 @@ def vcf_file_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotate_vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = stored_file(spark, sf_dir, "vcf")
     sink = source.removesuffix("vcf") + "new.vcf.bgz"
-    annotate_file(spark, source, sink)
+    annotate_file(spark, source, sink, warn=False)
     return vcf.data_lines(vcf.read_lines(spark, sink, True)).select(F.col("value").alias("line"))
