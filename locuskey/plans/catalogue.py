@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locuskey.functions import alleles, assembly, hgvs, ids
 from locuskey.functions import catalogue as functions
 from locuskey.functions.assembly import GENBANK, LENGTHS, NAMES, OFFSETS, REFSEQ, UCSC_NAMES, Scheme
-from locuskey.operators import annotate, audit, collection, hgvs_convert, normalize
+from locuskey.operators import annotate, audit, collection, hgvs_convert, normalize, sets
 from locuskey.plans import inputs
 from locuskey.plans.inputs import ROW, sql_dashed, sql_hex, sql_keyed, sql_pick
 from locuskey.sources import refgenome, vcf
@@ -460,6 +460,18 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""{_KEYED}, m AS (SELECT key, list_sort(list_distinct(list('f' || (l_suppkey % 4)))) AS s FROM e GROUP BY key)
+    SELECT key, CAST(len(s) AS INTEGER) AS n_sources, len(s) >= 2 AS shared, list_has_any(s, ['f0', 'f1']) AS any_01, list_has_all(s, ['f0', 'f2']) AS all_02, s = ['f3'] AS only_3, NOT list_has_any(s, ['f1', 'f3']) AS none_13,
+      len(list_intersect(s, ['f0', 'f1', 'f2'])) >= 2 AS two_of_012 FROM m"""
+)
+def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sets.Members(["f0", "f1", "f2", "f3"])
+    found = m.of(_keyed(spark, sf_dir).withColumn("source", F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string"))), ["key"])
+    asked = {"shared": m.at_least(2, *m.sources), "any_01": m.any_of("f0", "f1"), "all_02": m.all_of("f0", "f2"), "only_3": m.only_in("f3"), "none_13": m.none_of("f1", "f3"), "two_of_012": m.at_least(2, "f0", "f1", "f2")}
+    return found.select("key", "n_sources", *[c.alias(n) for n, c in asked.items()])
+
+
 # Normalisation: variants on the documents' letters.
 
 

@@ -129,3 +129,58 @@ def test_malformed_line_of_every_row(spark):
 
     data = "/root/testdata/sf0.001"
     assert catalogue.annotate_malformed(spark, data).where("head like 'broken%'").count() == inputs.vcf_lines(spark, data).count()
+
+
+def test_ingest_reads_the_batch_s_ranges_alone(spark, tmp_path):
+    """Files of other ranges are broken between the batches: nobody looks."""
+    from locuskey.streaming import ingest_stream, stored_ranges, with_range
+
+    schema = "key string, lin long, note string"
+    rows = lambda name, *lins: spark.createDataFrame([(f"k{x}", x, name) for x in lins], schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def ingest():
+        stream = with_range(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["key"], ["note"], by="range").trigger(availableNow=True).start().awaitTermination()
+
+    far = 1 << 30
+    rows("a", 5, 6, 6, far, far + 1)
+    ingest()
+    broken = [f for f in (tmp_path / "out" / f"range={far >> 22}").glob("*.parquet")]
+    kept = {f: f.read_bytes() for f in broken}
+    for f in broken:
+        f.write_bytes(b"broken")
+    rows("b", 6, 7)
+    ingest()
+    plan = stored_ranges(spark, str(tmp_path / "out"), [0], with_range(spark.createDataFrame([], schema)).schema, "range")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(range" in plan
+    for f, data in kept.items():
+        f.write_bytes(data)
+    rows("c", far, 8)
+    ingest()
+    got = sorted((r.key, r.note) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([("k5", "a"), ("k6", "a"), (f"k{far}", "a"), (f"k{far + 1}", "a"), ("k7", "b"), ("k8", "c")])
+
+
+def test_sets_of_many_sources(spark):
+    from locuskey.operators.sets import Members, members_of
+
+    names = [f"s{i:03d}" for i in range(150)]
+    rows = [(k, n) for k in range(40) for i, n in enumerate(names) if (i * 7 + k * k) % (k + 2) == 0] + [(3, None), (None, "s001"), (3, "other")]
+    df = spark.createDataFrame(rows * 2, "key int, source string")
+    m = Members(names)
+    got = m.of(df, ["key"])
+    some = names[60:70]
+    asked = got.select("key", "n_sources", m.any_of(*some).alias("a"), m.all_of("s000", "s063", "s126").alias("b"), m.only_in("s001").alias("c"), m.none_of(*some).alias("d"), m.at_least(4, *some).alias("e"), m.all_of().alias("f"), m.any_of().alias("g"), m.count(*some).alias("h"))
+    assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    have = {}
+    for k, n in rows:
+        if n in names:
+            have.setdefault(k, set()).add(n)
+    want = {k: (len(s), bool(s & {*some}), s >= {"s000", "s063", "s126"}, s == {"s001"}, not s & {*some}, len(s & {*some}) >= 4, True, False, len(s & {*some})) for k, s in have.items()}
+    assert {r.key: tuple(r)[1:] for r in asked.collect()} == want
+    assert members_of(df.where("key = 3")).sources == sorted({n for k, n in rows if k == 3 and n})
+    assert Members([]).of(df, ["key"]).count() == 0
+    with pytest.raises(ValueError):
+        m.any_of("nobody")
+    with pytest.raises(ValueError):
+        Members(["a", "a"])
