@@ -1,21 +1,28 @@
 """Normalisation of variants: trim common ends, then shift indels as far left as the reference allows.
 
 After trimming, an indel whose longer allele S of m bases stands after the reference U is shifted by
-the least k >= 1 at which base k of U from its end differs from the base m - 1 further on in U + S.
-A shift is looked for in a window of reference before the variant; only rows whose shift uses up the
-window go into another round, from where they have come to.
+the least k >= 1 at which base k of U from its end differs from the base m - 1 further on in U + S. So S is compared with the m - 1 bases
+before it, and, where these are equal, the reference with itself at the distance m - 1: a shift goes on as far as a run of that period.
+
+Nearly all shifts end inside a window of reference before the variant. For the others the run is looked up in a table made for the periods asked for: for
+each chunk of a contig the last place at which the reference differs from itself at that distance, and for each chunk the last such place in
+those before it. A run over any number of chunks is one look-up, so there are no rounds and the whole is one lazy plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import _col
-from locuskey.sources.refgenome import CHUNK, with_bases
+from locuskey.functions.hgvs import _let
+from locuskey.sources.refgenome import CHUNK, with_bases, with_long_bases
+from locuskey.sources.vcf import once
 
-#: Reference bases looked at in the first round and in the later ones.
-WINDOWS = (48, 512)
+#: Reference bases looked at before a variant.
+WINDOW = 48
+#: What norm_error can be.
+NO_CONTIG, OUT_OF_BOUNDS, NO_BASES = "contig not in the reference", "position outside the contig", "no reference bases"
 
 
 def skipped(ref, alt) -> Column:
@@ -24,108 +31,151 @@ def skipped(ref, alt) -> Column:
     return F.coalesce(_col(ref), F.lit("")).rlike(odd) | F.coalesce(_col(alt), F.lit("")).rlike(odd)
 
 
-def _once(f, **parts: Column) -> Column:
-    """f of a struct of ``parts``, which are worked out once however often a lambda in f reads them."""
-    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), f), F.lit(0))
-
-
-def _common(t: Column, from_end: bool) -> Column:
-    """Number of equal bases at the start or end of t's ref and alt that can go while each keeps one."""
-    turn = F.reverse if from_end else (lambda x: x)
+def _alike(a: Column, b: Column, most: Column, end: bool, bits: int = 31) -> Column:
+    """How many bases two texts have in common at their ends or starts, ``most`` at most: found by halving."""
+    part = F.right if end else F.left
+    one = F.lit(1)
 
-    def count(v: Column) -> Column:
-        odd = F.filter(F.sequence(F.lit(1), F.greatest(v["most"], F.lit(1))), lambda i: F.substring(v["x"], i, F.lit(1)) != F.substring(v["y"], i, F.lit(1)))
-        return F.when(v["most"] < 1, F.lit(0)).otherwise(F.coalesce(F.try_element_at(odd, F.lit(1)) - 1, v["most"]))
+    def step(found: Column, size: Column) -> Column:
+        wider = found + size
+        return F.when((wider <= most) & (part(a, wider) == part(b, wider)), wider).otherwise(found)
 
-    return _once(count, x=turn(t["ref"]), y=turn(t["alt"]), most=F.greatest(F.least(F.length(t["ref"]), F.length(t["alt"])) - 1, F.lit(0)))
+    sizes = F.array(*[F.lit(1 << i) for i in range(bits - 1, -1, -1)])
+    return F.when((most < 1) | (part(a, one) != part(b, one)), F.lit(0)).otherwise(F.aggregate(sizes, F.lit(0), step))
 
 
 def trim(pos, ref, alt) -> Column:
     """Struct (pos, ref, alt) without common bases at the right end and then at the left one."""
+    kept = lambda t: F.least(F.length(t["ref"]), F.length(t["alt"])) - 1
 
-    def cut_right(t: Column) -> Column:
-        shorter = lambda n: lambda x: F.substring(x, F.lit(1), F.length(x) - n)
-        return _once(lambda v: F.struct(v["pos"].alias("pos"), shorter(v["n"])(v["ref"]).alias("ref"), shorter(v["n"])(v["alt"]).alias("alt")), n=_common(t, True), pos=t["pos"], ref=t["ref"], alt=t["alt"])
+    def right(t: Column) -> Column:
+        cut = lambda n: F.struct(t["pos"].alias("pos"), *[F.left(t[c], F.length(t[c]) - n).alias(c) for c in ("ref", "alt")])
+        return _let(_alike(t["ref"], t["alt"], kept(t), True), cut)
 
-    def cut_left(t: Column) -> Column:
-        rest = lambda x, n: F.substring(x, n + 1, F.length(x) - n)
-        return _once(lambda v: F.struct((v["pos"] + v["n"]).alias("pos"), rest(v["ref"], v["n"]).alias("ref"), rest(v["alt"], v["n"]).alias("alt")), n=_common(t, False), pos=t["pos"], ref=t["ref"], alt=t["alt"])
+    def left(t: Column) -> Column:
+        cut = lambda n: F.struct((t["pos"] + n).alias("pos"), *[F.substring(t[c], n + 1, F.length(t[c])).alias(c) for c in ("ref", "alt")])
+        return _let(_alike(t["ref"], t["alt"], kept(t), False), cut)
 
-    start = F.array(F.struct(_col(pos).cast("long").alias("pos"), _col(ref).alias("ref"), _col(alt).alias("alt")))
-    return F.get(F.transform(F.transform(start, cut_right), cut_left), F.lit(0))
+    start = F.struct(_col(pos).cast("long").alias("pos"), _col(ref).alias("ref"), _col(alt).alias("alt"))
+    # One base on a side: nothing can go.
+    short = F.least(F.length(_col(ref)), F.length(_col(alt))) <= 1
+    return F.when(short, start).otherwise(_let(start, lambda t: _let(right(t), left)))
 
 
 def _shiftable(pos: Column, ref: Column, alt: Column) -> Column:
     return (F.least(F.length(ref), F.length(alt)) == 1) & (F.right(ref, F.lit(1)) == F.right(alt, F.lit(1))) & (pos > 1)
 
 
-def _shift(before: Column, long: Column) -> Column:
-    """Least k at which the shift ends inside the window; null if it uses the window up."""
-
-    def least(t: Column) -> Column:
-        base = lambda at: F.substring(t["x"], at, F.lit(1))
-        return F.try_element_at(F.filter(F.sequence(F.lit(1), t["n"]), lambda k: base(t["n"] - k + 1) != base(t["n"] - k + t["m"])), F.lit(1))
-
-    return _once(least, x=F.concat(before, long), n=F.length(before), m=F.length(long))
-
-
 def normalize(rows: DataFrame, reference: DataFrame, contig: str = "contig", pos: str = "pos", ref: str = "ref", alt: str = "alt", strict: bool = False, chunk: int = CHUNK) -> DataFrame:
     """``rows`` with norm_pos, norm_ref, norm_alt, was_modified and norm_error.
 
     ``reference`` is a chunk table. Symbolic, missing and empty alleles stay as they are. A variant that
-    needs reference bases which are not there keeps its trimmed form and says so in norm_error, or with
-    ``strict`` fails the query.
+    needs reference bases which are not there keeps its trimmed form and says in norm_error which: its contig is not in the reference, its position
+    lies outside the contig, or bases before it are missing; with ``strict`` the query fails.
     """
     up = lambda c: F.upper(F.col(c))
-    skip = skipped(ref, alt)
-    t = trim(F.col(pos).cast("long"), up(ref), up(alt))
-    base = rows.withColumn("_skip", skip).withColumn("_t", F.when(~F.col("_skip"), t))
-    base = base.withColumn("_p", F.coalesce("_t.pos", F.col(pos).cast("long"))).withColumn("_r", F.coalesce("_t.ref", F.col(ref))).withColumn("_a", F.coalesce("_t.alt", F.col(alt))).drop("_t")
-    base = base.withColumn("_go", ~F.col("_skip") & _shiftable(F.col("_p"), F.col("_r"), F.col("_a"))).withColumn("_error", F.lit(None).cast("string"))
-    base = base.persist()
-    done, window = base.where(~F.col("_go")), WINDOWS[0]
-    moving = base.where("_go")
-    while True:
-        # Kept, so that a round starts from the last one's result; each has far fewer rows than the one before.
-        moving = _round(moving, reference, contig, window, chunk).persist()
-        if moving.where("_go").isEmpty():
-            done = done.unionByName(moving)
-            break
-        done = done.unionByName(moving.where(~F.col("_go")))
-        moving, window = moving.where("_go"), WINDOWS[1]
-    changed = ~F.col("_skip") & ((F.col("_p") != F.col(pos)) | (F.col("_r") != up(ref)) | (F.col("_a") != up(alt)))
-    error = F.col("_error")
-    if strict:
-        error = F.when(error.isNotNull(), F.raise_error(error)).otherwise(error)
-    out = done.withColumn("norm_pos", F.col("_p")).withColumn("norm_ref", F.col("_r")).withColumn("norm_alt", F.col("_a")).withColumn("was_modified", F.coalesce(changed, F.lit(False))).withColumn("norm_error", error)
-    return out.drop("_skip", "_p", "_r", "_a", "_go", "_error")
+    base = rows.select("*", once(skipped(ref, alt).alias("_skip"), trim(F.col(pos).cast("long"), up(ref), up(alt)).alias("_t")))
+    whole = lambda c, plain: F.when(F.col("_skip"), plain).otherwise(F.col(f"_t.{c}"))
+    base = base.withColumns({"_p": F.coalesce(whole("pos", F.col(pos).cast("long")), F.col(pos).cast("long")), "_r": F.coalesce(whole("ref", F.col(ref)), F.col(ref)), "_a": F.coalesce(whole("alt", F.col(alt)), F.col(alt))}).drop("_t")
+    r, a, p = F.col("_r"), F.col("_a"), F.col("_p")
+    base = base.withColumn("_go", F.coalesce(~F.col("_skip") & _shiftable(p, r, a), F.lit(False))).withColumn("_s", F.when(F.length(r) >= F.length(a), r).otherwise(a)).withColumn("_d", (F.length("_s") - 1).cast("long"))
 
-
-def _round(rows: DataFrame, reference: DataFrame, contig: str, window: int, chunk: int) -> DataFrame:
     # Equal alleles match everywhere and end at the contig's first base.
-    same = F.col("_r") == F.col("_a")
-    first = F.when(same, F.lit(1).cast("long")).otherwise(F.greatest(F.col("_p") - window, F.lit(1).cast("long")))
-    last = F.when(same, F.lit(1).cast("long")).otherwise(F.col("_p") - 1)
-    seen = with_bases(rows, reference, contig, first, last, "_u", chunk)
-    u = F.col("_u")
-    long = F.when(F.length("_r") >= F.length("_a"), F.col("_r")).otherwise(F.col("_a"))
-    seen = seen.withColumn("_long", long).withColumn("_k0", _shift(u, F.col("_long")))
-    n = F.length(u)
-    k = F.coalesce("_k0", n)
-    text = F.concat(u, F.col("_long"))
-    moved = F.when(same, u).otherwise(F.substring(text, n - k + 1, F.length("_long")))
-    one = F.substring(moved, 1, 1)
-    ok = u.isNotNull()
-    more = ok & ~same & F.col("_k0").isNull() & (F.col("_p") - n > 1)
-    return (
-        seen.withColumn("_m", F.when(ok, moved))
-        .withColumn("_more", more)
-        .withColumn("_n1", F.when(ok & (F.length("_r") >= F.length("_a")), F.col("_m")).when(ok, one).otherwise(F.col("_r")))
-        .withColumn("_n2", F.when(ok & (F.length("_r") >= F.length("_a")), F.when(F.length("_a") == F.length("_r"), F.col("_m")).otherwise(one)).when(ok, F.col("_m")).otherwise(F.col("_a")))
-        .withColumn("_p", F.when(ok & same, F.lit(1).cast("long")).when(ok, F.col("_p") - k).otherwise(F.col("_p")))
-        .withColumn("_r", F.col("_n1"))
-        .withColumn("_a", F.col("_n2"))
-        .withColumn("_error", F.when(~ok, F.concat(F.lit("no reference bases before "), F.col(contig), F.lit(":"), F.col("_p").cast("string"))).otherwise(F.col("_error")))
-        .withColumn("_go", F.col("_more"))
-        .drop("_u", "_long", "_k0", "_m", "_more", "_n1", "_n2")
+    same = r == a
+    go = F.col("_go")
+    first = F.when(go, F.when(same, F.lit(1).cast("long")).otherwise(F.greatest(p - WINDOW, F.lit(1).cast("long"))))
+    last = F.when(go, F.when(same, F.lit(1).cast("long")).otherwise(p - 1))
+    # Rows that ask for nothing are spread: their names are no contig's.
+    asked = base.withColumn("_where", F.when(go, F.col(contig)).otherwise(F.concat(F.lit("\u0000"), F.pmod(p, F.lit(1021)).cast("string"))))
+    seen = with_bases(asked, reference, "_where", first, last, "_u", chunk)
+    u, n = F.col("_u"), F.length("_u")
+    # Base k of U from its end is base k of V, what lies m - 1 further on in U + S.
+    v = F.substring(F.concat(u, F.col("_s")), F.col("_d").cast("int") + 1, n)
+    found = _let(F.struct(u.alias("u"), v.alias("v")), lambda t: _alike(t["u"], t["v"], F.length(t["u"]), True, WINDOW.bit_length()))
+    seen = seen.select("*", once(F.when(go & ~same & u.isNotNull(), found).alias("_n")))
+    k = F.when(same, p - 1).when(F.col("_n") < n, F.col("_n") + 1).when(p - n <= 1, p - 1).cast("long")
+    seen = seen.withColumn("_k", F.when(go & u.isNotNull(), k)).withColumn("_open", go & F.col("_k").isNull())
+    near = F.when(same, u).otherwise(F.substring(F.concat(u, F.col("_s")), (n - F.col("_k") + 1).cast("int"), F.length("_s")))
+    closed = seen.where(~F.col("_open")).withColumns({"_m": near, "norm_error": F.lit(None).cast("string")})
+    opened = _with_errors(_long_shifts(seen.where("_open"), reference, chunk), reference, contig, strict)
+    every = closed.unionByName(opened.select(*closed.columns)).drop("_n", "_open", "_u", "_where")
+
+    m, one = F.col("_m"), F.substring("_m", 1, 1)
+    ok, by_ref = m.isNotNull(), F.length(r) >= F.length(a)
+    new = every.withColumns(
+        {
+            "norm_pos": F.when(ok, p - F.col("_k")).otherwise(p),
+            "norm_ref": F.when(ok & by_ref, m).when(ok, one).otherwise(r),
+            "norm_alt": F.when(ok & (F.length(r) > F.length(a)), one).when(ok, m).otherwise(a),
+        }
     )
+    changed = ~F.col("_skip") & ((F.col("norm_pos") != F.col(pos)) | (F.col("norm_ref") != up(ref)) | (F.col("norm_alt") != up(alt)))
+    new = new.withColumn("was_modified", F.coalesce(changed, F.lit(False)))
+    return new.select(*rows.columns, "norm_pos", "norm_ref", "norm_alt", "was_modified", "norm_error")
+
+
+def _with_errors(rows: DataFrame, reference: DataFrame, contig: str, strict: bool) -> DataFrame:
+    """``rows`` with norm_error: why a row without _m has no bases."""
+    p = F.col("_p")
+    lengths = reference.groupBy(F.col("contig").alias("_known")).agg(F.max(F.col("start") + F.length("seq") - 1).alias("_length"))
+    error = F.when(F.col("_length").isNull(), F.lit(NO_CONTIG)).when(p > F.col("_length") + 1, F.lit(OUT_OF_BOUNDS)).otherwise(F.lit(NO_BASES))
+    text = F.when(F.col("_m").isNull(), F.concat(error, F.lit(": "), F.coalesce(F.col(contig), F.lit("null")), F.lit(":"), p.cast("string")))
+    if strict:
+        text = F.when(text.isNotNull(), F.raise_error(text))
+    return rows.join(lengths, F.col(contig) == F.col("_known"), "left").withColumn("norm_error", text).drop("_known", "_length")
+
+
+def _sides(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` (contig ``_where``, chunk ``_chunk``, period ``_d``) with _own, the chunk's bases, and _other, those ``_d`` before each of them; before a contig's first base lie dots."""
+    begin = F.col("chunk") * chunk + 1
+    own = reference.select(F.col("contig").alias("_where"), "chunk", F.substring(F.col("seq"), (begin - F.col("start") + 1).cast("int"), F.length("seq")).alias("_text"))
+    side = lambda place, text: own.select("_where", F.col("chunk").alias(place), F.col("_text").alias(text))
+    rest = F.pmod(F.col("_d"), F.lit(chunk)).cast("int")
+    both = rows.withColumn("_near", F.col("_chunk") - F.floor(F.col("_d") / chunk)).withColumn("_far", F.col("_near") - 1)
+    both = both.join(side("_chunk", "_own"), ["_where", "_chunk"]).join(side("_near", "_right"), ["_where", "_near"], "left").join(side("_far", "_left"), ["_where", "_far"], "left")
+    before = F.when(rest > 0, F.right(F.coalesce("_left", F.repeat(F.lit("."), F.lit(chunk))), rest)).otherwise(F.lit(""))
+    other = F.substring(F.concat(before, F.coalesce("_right", F.repeat(F.lit("."), F.lit(chunk)))), F.lit(1), F.length("_own"))
+    return both.withColumn("_other", other).drop("_near", "_far", "_left", "_right")
+
+
+def _last_difference(own: Column, other: Column, start: Column) -> Column:
+    """The position of the last base of ``own``, which begins at ``start``, that differs from the one in ``other``; null if none does."""
+    n = F.length(own)
+    common = _let(F.struct(own.alias("x"), other.alias("y")), lambda t: _alike(t["x"], t["y"], F.length(t["x"]), True))
+    return F.when(common < n, start + n - 1 - common)
+
+
+def _long_shifts(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` whose shifts use up the window, or that have none (_u is null), with the shift _k and the allele there _m; nulls where bases are missing.
+
+    A run's end is looked for in all chunks before the variant, once for each contig and period: a row for each such chunk, whatever the number
+    of variants.
+    """
+    p, d, known = F.col("_p"), F.col("_d"), F.col("_u").isNotNull()
+    # The allele against as many bases before it.
+    reach = F.least(d, p - 1)
+    wide = with_long_bases(rows, reference, "_where", F.when(known & (d > WINDOW), p - reach), F.when(known & (d > WINDOW), p - 1), "_v", chunk)
+    v, n = F.col("_v"), F.length("_v")
+    against = F.substring(F.col("_s"), (d - n + 1).cast("int"), n)
+    inside = _let(F.struct(v.alias("v"), against.alias("s")), lambda t: _alike(t["v"], t["s"], F.length(t["v"]), True))
+    wide = wide.select("*", once(F.when(v.isNotNull(), inside).alias("_i")))
+    short = F.when(F.col("_i") < n, F.col("_i") + 1).when(v.isNotNull() & (p - n <= 1), p - 1).cast("long")
+    wide = wide.withColumn("_k", short).withColumn("_from", F.when(F.col("_k").isNull() & known, p - 1)).withColumn("_chunk", F.floor((F.col("_from") - 1) / chunk))
+
+    # The reference against itself.
+    asked = wide.where(F.col("_from").isNotNull()).select("_where", "_d", "_from", "_chunk").distinct()
+    chains = asked.groupBy("_where", "_d").agg(F.max("_chunk").alias("_last")).select("_where", "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_chunk"))
+    start = F.col("_chunk") * chunk + 1
+    marks = _sides(chains, reference, chunk).select("_where", "_d", "_chunk", _last_difference(F.col("_own"), F.col("_other"), start).alias("_mark"))
+    before = Window.partitionBy("_where", "_d").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = marks.select("_where", "_d", "_chunk", F.max("_mark").over(before).alias("_earlier"))
+    size = (F.col("_from") - start + 1).cast("int")
+    here = _last_difference(F.substring(F.col("_own"), F.lit(1), size), F.substring(F.col("_other"), F.lit(1), size), start)
+    ends = _sides(asked, reference, chunk).select("_where", "_d", "_from", "_chunk", here.alias("_here")).join(earlier, ["_where", "_d", "_chunk"])
+    ends = ends.select("_where", "_d", "_from", F.coalesce("_here", "_earlier").alias("_end"))
+    far = wide.drop("_chunk").join(ends, ["_where", "_d", "_from"], "left")
+    # Before the contig's first base all differs.
+    k = F.coalesce("_k", F.least(p - F.col("_end") + d, p - 1))
+    far = far.withColumn("_k", k)
+    moved = with_long_bases(far, reference, "_where", F.when(F.col("_from").isNotNull(), p - F.col("_k")), F.when(F.col("_from").isNotNull(), p - F.col("_k") + d), "_w", chunk)
+    return moved.withColumn("_m", F.coalesce("_w", F.substring(F.concat(v, F.col("_s")), (n - F.col("_k") + 1).cast("int"), F.length("_s")))).drop("_v", "_i", "_from", "_end", "_w")

@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from locuskey.functions import hgvs
@@ -132,3 +133,47 @@ def test_hgvs_to_id_over_several_chunks(spark):
             assert (x.error, x.key) == ("reference required", None)
         else:
             assert x.error is None and (x.pos, x.ref, x.alt) == want[x.hgvs] and x.key == VariantId.encode("chr1", *want[x.hgvs]).to_hex().replace("-", "")
+
+
+def test_long_repeats_are_one_plan(spark):
+    """Runs of many periods over many chunks, alleles longer than the window and than a chunk, against one step after the other."""
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    unit = word(70)
+    contigs = {
+        "mono": word(30) + "A" * 900 + word(20),
+        "all": "AC" * 300,
+        "tri": "G" + "CAG" * 350 + word(9),
+        "unit": word(40) + unit * 9 + word(30),
+        "unknown": "N" * 400 + word(50),
+        "two": "A" * 200 + "C" + "A" * 333 + "T",
+    }
+    rows = []
+    for name, seq in contigs.items():
+        for _ in range(25):
+            pos, n = r.randint(2, len(seq) - 80), r.choice([1, 2, 3, 6, 69, 70, 140])
+            span = seq[pos : pos + n]
+            ref, alt = r.choice([(seq[pos - 1], seq[pos - 1] + span), (seq[pos - 1] + span, seq[pos - 1])])
+            if len(ref) != len(alt):
+                rows.append((len(rows), name, pos, ref, alt, *slow(pos, ref, alt, seq)))
+    rows.append((len(rows), "mono", 400, "A", "A", 1, contigs["mono"][0], contigs["mono"][0]))
+    df = spark.createDataFrame(rows, "i int, contig string, pos long, ref string, alt string, p long, r string, a string")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    out = normalize(df, refgenome.from_dict(spark, contigs, chunk=64, lookback=50), chunk=64)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryRelation" not in plan and "InMemoryTableScan" not in plan and len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+    got = out.orderBy("i").collect()
+    assert [(x.i, x.norm_pos, x.norm_ref, x.norm_alt, x.norm_error) for x in got] == [(x[0], *x[5:], None) for x in rows]
+    assert sum(x.pos - x.norm_pos > 200 for x in got) > 20
+
+
+def test_kinds_of_errors(spark):
+    reference = refgenome.from_dict(spark, {"c": "ACGTACGTAA"})
+    df = spark.createDataFrame([(1, "c", 10, "A", "AA"), (2, "d", 5, "A", "AA"), (3, "c", 40, "A", "AA"), (4, None, 4, "TT", "T"), (5, "d", 5, "A", "G")], "i int, contig string, pos long, ref string, alt string")
+    got = {r.i: r for r in normalize(df, reference).collect()}
+    assert (got[1].norm_pos, got[1].norm_error, got[5].norm_error) == (8, None, None)
+    assert [got[i].norm_error for i in (2, 3, 4)] == ["contig not in the reference: d:5", "position outside the contig: c:40", "contig not in the reference: null:4"]
+    assert [(got[i].norm_pos, got[i].was_modified) for i in (2, 3, 4)] == [(5, False), (40, False), (4, False)]
+    for i, what in ((2, "contig not in the reference"), (3, "position outside the contig")):
+        with pytest.raises(Exception, match=what):
+            normalize(df.where(f"i = {i}"), reference, strict=True).collect()
