@@ -94,7 +94,8 @@ def normalize(rows: DataFrame, reference: DataFrame, contig: str = "contig", pos
     found = _let(F.struct(u.alias("u"), v.alias("v")), lambda t: _alike(t["u"], t["v"], F.length(t["u"]), True, WINDOW.bit_length()))
     seen = seen.select("*", once(F.when(go & ~same & u.isNotNull(), found).alias("_n")))
     k = F.when(same, p - 1).when(F.col("_n") < n, F.col("_n") + 1).when(p - n <= 1, p - 1).cast("long")
-    seen = seen.withColumn("_k", F.when(go & u.isNotNull(), k)).withColumn("_open", go & F.col("_k").isNull())
+    # Worked out in one place, so that both parts of the rows below stand on one shuffle.
+    seen = seen.select("*", once(F.when(go & u.isNotNull(), k).alias("_k"), (go & (u.isNull() | k.isNull())).alias("_open")))
     near = F.when(same, u).otherwise(F.substring(F.concat(u, F.col("_s")), (n - F.col("_k") + 1).cast("int"), F.length("_s")))
     closed = seen.where(~F.col("_open")).withColumns({"_m": near, "norm_error": F.lit(None).cast("string")})
     opened = _with_errors(_long_shifts(seen.where("_open"), reference, chunk), reference, contig, strict)
@@ -127,55 +128,67 @@ def _with_errors(rows: DataFrame, reference: DataFrame, contig: str, strict: boo
 
 def _sides(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
     """``rows`` (contig ``_where``, chunk ``_chunk``, period ``_d``) with _own, the chunk's bases, and _other, those ``_d`` before each of them; before a contig's first base lie dots."""
-    begin = F.col("chunk") * chunk + 1
-    own = reference.select(F.col("contig").alias("_where"), "chunk", F.substring(F.col("seq"), (begin - F.col("start") + 1).cast("int"), F.length("seq")).alias("_text"))
-    side = lambda place, text: own.select("_where", F.col("chunk").alias(place), F.col("_text").alias(text))
+
+    def text(place: str, into: str) -> DataFrame:
+        # As the chunks are joined elsewhere, so that they are shuffled once.
+        return reference.select(F.col("contig").alias("_where"), F.col("chunk").alias(place), F.col("start").alias(f"{into}_start"), F.col("seq").alias(f"{into}_seq"))
+
+    own = lambda place, into: F.substring(F.col(f"{into}_seq"), (F.col(place) * chunk + 2 - F.col(f"{into}_start")).cast("int"), F.lit(chunk))
     rest = F.pmod(F.col("_d"), F.lit(chunk)).cast("int")
     both = rows.withColumn("_near", F.col("_chunk") - F.floor(F.col("_d") / chunk)).withColumn("_far", F.col("_near") - 1)
-    both = both.join(side("_chunk", "_own"), ["_where", "_chunk"]).join(side("_near", "_right"), ["_where", "_near"], "left").join(side("_far", "_left"), ["_where", "_far"], "left")
-    before = F.when(rest > 0, F.right(F.coalesce("_left", F.repeat(F.lit("."), F.lit(chunk))), rest)).otherwise(F.lit(""))
-    other = F.substring(F.concat(before, F.coalesce("_right", F.repeat(F.lit("."), F.lit(chunk)))), F.lit(1), F.length("_own"))
-    return both.withColumn("_other", other).drop("_near", "_far", "_left", "_right")
+    both = both.join(text("_chunk", "_a"), ["_where", "_chunk"], "left").join(text("_near", "_b"), ["_where", "_near"], "left").join(text("_far", "_c"), ["_where", "_far"], "left")
+    dots = F.repeat(F.lit("."), F.lit(chunk))
+    before = F.when(rest > 0, F.right(F.coalesce(own("_far", "_c"), dots), rest)).otherwise(F.lit(""))
+    both = both.withColumn("_own", own("_chunk", "_a")).withColumn("_other", F.concat(before, F.coalesce(own("_near", "_b"), dots)))
+    return both.withColumn("_other", F.left("_other", F.length("_own"))).drop("_near", "_far", *[f"{x}_{y}" for x in ("_a", "_b", "_c") for y in ("start", "seq")])
 
 
 def _last_difference(own: Column, other: Column, start: Column) -> Column:
-    """The position of the last base of ``own``, which begins at ``start``, that differs from the one in ``other``; null if none does."""
-    n = F.length(own)
-    common = _let(F.struct(own.alias("x"), other.alias("y")), lambda t: _alike(t["x"], t["y"], F.length(t["x"]), True))
-    return F.when(common < n, start + n - 1 - common)
+    """(position, base of ``other``) of the last base of ``own``, which begins at ``start``, that differs from the one in ``other``; null if none does."""
+
+    def found(t: Column) -> Column:
+        n = F.length(t["x"])
+        return _let(_alike(t["x"], t["y"], n, True), lambda c: F.when(c < n, F.struct((t["at"] + n - 1 - c).alias("pos"), F.substring(t["y"], n - c, F.lit(1)).alias("base"))))
+
+    return _let(F.struct(own.alias("x"), other.alias("y"), start.alias("at")), found)
 
 
 def _long_shifts(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
     """``rows`` whose shifts use up the window, or that have none (_u is null), with the shift _k and the allele there _m; nulls where bases are missing.
 
     A run's end is looked for in all chunks before the variant, once for each contig and period: a row for each such chunk, whatever the number
-    of variants.
+    of variants. Runs are those of the reference; whether the allele's own bases go with them is seen from the bases before it.
     """
-    p, d, known = F.col("_p"), F.col("_d"), F.col("_u").isNotNull()
-    # The allele against as many bases before it.
-    reach = F.least(d, p - 1)
-    wide = with_long_bases(rows, reference, "_where", F.when(known & (d > WINDOW), p - reach), F.when(known & (d > WINDOW), p - 1), "_v", chunk)
-    v, n = F.col("_v"), F.length("_v")
-    against = F.substring(F.col("_s"), (d - n + 1).cast("int"), n)
-    inside = _let(F.struct(v.alias("v"), against.alias("s")), lambda t: _alike(t["v"], t["s"], F.length(t["v"]), True))
-    wide = wide.select("*", once(F.when(v.isNotNull(), inside).alias("_i")))
-    short = F.when(F.col("_i") < n, F.col("_i") + 1).when(v.isNotNull() & (p - n <= 1), p - 1).cast("long")
-    wide = wide.withColumn("_k", short).withColumn("_from", F.when(F.col("_k").isNull() & known, p - 1)).withColumn("_chunk", F.floor((F.col("_from") - 1) / chunk))
-
-    # The reference against itself.
-    asked = wide.where(F.col("_from").isNotNull()).select("_where", "_d", "_from", "_chunk").distinct()
-    chains = asked.groupBy("_where", "_d").agg(F.max("_chunk").alias("_last")).select("_where", "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_chunk"))
+    p, d, s, known = F.col("_p"), F.col("_d"), F.col("_s"), F.col("_u").isNotNull()
     start = F.col("_chunk") * chunk + 1
+    spot = F.floor((p - 2) / chunk).cast("long")
+    chains = rows.where(known).select("_where", "_d", spot.alias("_chunk")).groupBy("_where", "_d").agg(F.max("_chunk").alias("_last"))
+    chains = chains.select("_where", "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_chunk"))
     marks = _sides(chains, reference, chunk).select("_where", "_d", "_chunk", _last_difference(F.col("_own"), F.col("_other"), start).alias("_mark"))
     before = Window.partitionBy("_where", "_d").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     earlier = marks.select("_where", "_d", "_chunk", F.max("_mark").over(before).alias("_earlier"))
-    size = (F.col("_from") - start + 1).cast("int")
-    here = _last_difference(F.substring(F.col("_own"), F.lit(1), size), F.substring(F.col("_other"), F.lit(1), size), start)
-    ends = _sides(asked, reference, chunk).select("_where", "_d", "_from", "_chunk", here.alias("_here")).join(earlier, ["_where", "_d", "_chunk"])
-    ends = ends.select("_where", "_d", "_from", F.coalesce("_here", "_earlier").alias("_end"))
-    far = wide.drop("_chunk").join(ends, ["_where", "_d", "_from"], "left")
+
+    # The allele against as many bases before it: those in the window are alike.
+    reach = F.least(d, p - 1)
+    far = known & (d > WINDOW)
+    wide = with_long_bases(rows, reference, "_where", F.when(far, p - reach), F.when(far, p - 1), "_v", chunk)
+    v, n = F.col("_v"), F.length("_v")
+    against = F.substring(s, (d - n + 1).cast("int"), n)
+    inside = _let(F.struct(v.alias("v"), against.alias("s")), lambda t: _alike(t["v"], t["s"], F.length(t["v"]), True))
+    wide = wide.select("*", once(F.when(v.isNotNull(), inside).alias("_i"))).drop("_k")
+    wide = wide.withColumn("_short", F.when(F.col("_i") < n, F.col("_i") + 1).when(v.isNotNull() & (p - n <= 1), p - 1).cast("long")).withColumn("_chunk", spot)
+
+    # The reference against itself, in the variant's chunk and then in those before.
+    size = (p - start).cast("int")
+    here = _last_difference(F.left("_own", size), F.left("_other", size), start)
+    ends = _sides(wide, reference, chunk).join(earlier, ["_where", "_d", "_chunk"], "left").select(*wide.columns, once(F.coalesce(here, F.col("_earlier")).alias("_end")))
     # Before the contig's first base all differs.
-    k = F.coalesce("_k", F.least(p - F.col("_end") + d, p - 1))
-    far = far.withColumn("_k", k)
-    moved = with_long_bases(far, reference, "_where", F.when(F.col("_from").isNotNull(), p - F.col("_k")), F.when(F.col("_from").isNotNull(), p - F.col("_k") + d), "_w", chunk)
-    return moved.withColumn("_m", F.coalesce("_w", F.substring(F.concat(v, F.col("_s")), (n - F.col("_k") + 1).cast("int"), F.length("_s")))).drop("_v", "_i", "_from", "_end", "_w")
+    run = p - F.col("_end.pos") + d
+    ends = ends.withColumn("_k", F.when(known, F.coalesce("_short", F.least(run, p - 1))))
+    # The bases along a run are the allele's first ones, turned; only the one at its end is another.
+    first = F.left(s, d.cast("int"))
+    turn = F.pmod(1 - F.col("_k"), d).cast("int")
+    turned = F.concat(F.substring(first, turn + 1, d.cast("int")), F.left(first, turn))
+    anchor = F.when(run <= p - 1, F.col("_end.base")).otherwise(F.right(turned, F.lit(1)))
+    text = F.when(F.col("_short").isNotNull(), F.substring(F.concat(v, s), (n - F.col("_k") + 1).cast("int"), F.length(s))).otherwise(F.concat(anchor, turned))
+    return ends.withColumn("_m", F.when(F.col("_k").isNotNull(), text))
