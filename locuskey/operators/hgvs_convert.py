@@ -9,36 +9,40 @@ from locuskey.functions import hgvs
 from locuskey.functions.assembly import chrom_index, parse_assembly, refseq_accession, refseq_index, ucsc_name
 from locuskey.functions.ids import encode_key, with_decoded
 from locuskey.sources.refgenome import CHUNK, with_bases, with_long_bases
+from locuskey.sources.vcf import once
 
 
-def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None = None, expected: str | None = None, contig: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``rows`` with chr_index, asm, pos, ref, alt, key and error.
+def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None = None, expected: str | None = None, contig: str | None = None, chunk: int = CHUNK, strict: bool = False) -> DataFrame:
+    """``rows`` with chr_index, asm, pos, ref, alt, key, error and error_code, one of ``hgvs.ERRORS``.
 
     The assembly is the one whose accession it is, GRCh38 where both have it. ``expected`` is an assembly
     code that it must be. Bases come from ``reference``, looked up under column ``contig`` or the UCSC name;
-    ``chunk`` is the length of its chunks, and a span may lie over any number of them.
+    ``chunk`` is the length of its chunks, and a span may lie over any number of them. With ``strict`` a notation that has an error fails the query.
     """
-    v = rows.withColumn("_v", hgvs.parse(text))
+    v = rows.select("*", once(hgvs.parse(text).alias("_v")))
     both = F.coalesce(F.when(refseq_index("_v.accession", F.lit(1)).isNotNull(), F.lit(1)), F.when(refseq_index("_v.accession", F.lit(0)).isNotNull(), F.lit(0)))
     v = v.withColumn("asm", both).withColumn("chr_index", refseq_index("_v.accession", F.col("asm"))).withColumn("_c", F.col(contig) if contig else ucsc_name("chr_index"))
     if reference is not None:
         v = with_long_bases(v, reference, "_c", *hgvs.needed_span("_v"), "_b", chunk)
     else:
         v = v.withColumn("_b", F.lit(None).cast("string"))
-    v = v.withColumn("_x", hgvs.to_variant("_v", "_b"))
-    key = encode_key(F.col("chr_index"), F.col("_x.pos"), F.col("_x.ref"), F.col("_x.alt"), F.col("asm"))
+    v = v.select("*", once(hgvs.to_variant("_v", "_b").alias("_x")))
+    v = v.select("*", once(encode_key(F.col("chr_index"), F.col("_x.pos"), F.col("_x.ref"), F.col("_x.alt"), F.col("asm")).alias("_key")))
+    key = F.col("_key")
     error = F.coalesce(
         F.col("_v.error"),
-        F.when(F.col("asm").isNull(), F.lit("unknown accession")),
-        F.when(F.col("asm") != F.lit(expected).cast("int") if expected is not None else F.lit(False), F.lit("assembly mismatch")),
+        F.when(F.col("asm").isNull(), F.lit(hgvs.ERRORS["unknown_accession"])),
+        F.when(F.col("asm") != F.lit(expected).cast("int") if expected is not None else F.lit(False), F.lit(hgvs.ERRORS["assembly_mismatch"])),
         F.col("_x.error"),
-        F.when(key.isNull(), F.lit("position outside the contig")),
+        F.when(key.isNull(), F.lit(hgvs.ERRORS["outside_contig"])),
     )
-    out = v.withColumn("error", error)
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(hgvs.error_code(error), F.lit(": "), error, F.lit(": "), F.coalesce(F.col(text), F.lit("null"))))).otherwise(error)
+    out = v.withColumn("error", error).withColumn("error_code", hgvs.error_code("error"))
     sound = F.col("error").isNull()
     for name in ("pos", "ref", "alt"):
         out = out.withColumn(name, F.when(sound, F.col(f"_x.{name}")))
-    return out.withColumn("key", F.when(sound, key)).drop("_v", "_c", "_b", "_x")
+    return out.withColumn("key", F.when(sound, key)).drop("_v", "_c", "_b", "_x", "_key")
 
 
 def id_to_hgvs(rows: DataFrame, key: str = "key", reference: DataFrame | None = None, detect: bool = False, contig: str | None = None) -> DataFrame:

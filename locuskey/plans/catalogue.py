@@ -518,6 +518,21 @@ def normalize_leftalign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(rows, reference).select("doc_id", "j", "norm_pos", "norm_ref", "norm_alt", "was_modified")
 
 
+@query(
+    f"""WITH {inputs.sql_contigs()}, p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'no' || contig ELSE contig END AS contig, seq, length(seq) + CASE doc_id % 3 WHEN 1 THEN 2 + doc_id % 50 ELSE 1 END AS pos, seq[-1] AS b FROM c)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{normalize.NO_CONTIG}: ' || contig || ':' || pos WHEN 1 THEN '{normalize.OUT_OF_BOUNDS}: ' || contig || ':' || pos END AS norm_error,
+      CASE WHEN doc_id % 3 < 2 THEN pos ELSE pos - list_min(list_filter(range(1, length(seq)), lambda k: seq[-k] <> b)) END AS norm_pos FROM p"""
+)
+def normalize_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base too many behind a contig's last one, on contigs that are there or not, and further on."""
+    c = inputs.contigs_of_documents(spark, sf_dir)
+    where = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("no"), F.col("contig"))).otherwise(F.col("contig"))
+    pos = F.length("seq") + F.when(F.col("doc_id") % 3 == 1, 2 + F.col("doc_id") % 50).otherwise(1)
+    base = F.right("seq", F.lit(1))
+    rows = c.select("doc_id", where.alias("contig"), pos.cast("long").alias("pos"), base.alias("ref"), F.concat(base, base).alias("alt"))
+    return normalize.normalize(rows, refgenome.from_sequences(c)).select("doc_id", "norm_error", "norm_pos")
+
+
 @query(f"{_INDELS} SELECT doc_id, j, pos0 AS norm_pos, alt0 AS norm_alt, false AS was_modified FROM t WHERE alt0 = '<DEL>'")
 def normalize_skip_symbolic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, reference = _indels(spark, sf_dir)
@@ -583,6 +598,39 @@ def hgvs_indel_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "j", "pos", "ref", "alt", "key")
 
 
+_BAD = ["NULL", "'NC_000001.11'", "'NM_000001.1:g.' || pos || 'A>G'", "'NC_000001.11:' || pos", "'NC_000001.11:c.' || pos || 'A>G'", "'NC_000001.11:q.' || pos || 'A>G'", "'NC_000001.11:g.A>G'", "'NC_000001.11:g.' || pos || 'cut'", "'NC_000099.1:g.' || pos || 'A>G'", "'NC_000001.10:g.' || pos || 'A>G'", "'NC_000001.11:g.' || pos || 'del'", "'NC_000001.11:g.' || (pos + 300000000) || 'A>G'", "'NC_000001.11:g.' || (1 + pos % 1000) || 'A>G'"]
+_BROKEN = f"CASE (l_orderkey + l_linenumber) % {len(_BAD)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_BAD))} END"
+
+
+@query(
+    f"WITH {inputs.sql_variants()} SELECT {_ROW}, {_BROKEN} AS hgvs, ({inputs.sql_list([*hgvs.ERRORS, None])})[CAST((l_orderkey + l_linenumber) % {len(_BAD)} AS INTEGER) + 1] AS error_code, (l_orderkey + l_linenumber) % {len(_BAD)} = {len(_BAD) - 1} AS encoded FROM v"
+)
+def hgvs_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.variants(spark, sf_dir).withColumn("hgvs", F.expr(_BROKEN))
+    out = hgvs_convert.hgvs_to_id(rows.select(*ROW, "hgvs"), expected=1)
+    return out.select(*ROW, "hgvs", "error_code", F.col("key").isNotNull().alias("encoded"))
+
+
+_SPAN = "CASE j % 3 WHEN 0 THEN pos || '_' || (pos + span - 1) || 'del' WHEN 1 THEN pos || '_' || (pos + span - 1) || 'inv' ELSE pos || '_' || (pos + span - 1) || 'dup' END"
+_LONG = "j * 4096 - 500 - CAST((doc_id * 37) % 600 AS INTEGER)"
+
+
+@query(
+    f"""WITH {inputs.sql_contigs()}, j AS (SELECT doc_id, repeat(seq, CAST(1 + 24000 // length(seq) AS INTEGER)) AS seq, CAST(unnest(range(1, 4)) AS INTEGER) AS j FROM c), p AS (SELECT *, CAST({_LONG} AS BIGINT) AS pos, CAST(1000 + (doc_id * 7919 + j * 3001) % 9001 AS BIGINT) AS span FROM j),
+    n AS (SELECT doc_id, j, span, CAST(0 AS INTEGER) AS ci, CAST(1 AS INTEGER) AS asm, CASE j % 3 WHEN 0 THEN pos - 1 WHEN 1 THEN pos ELSE pos + span - 1 END AS pos,
+      CASE j % 3 WHEN 0 THEN substr(seq, pos - 1, span + 1) WHEN 1 THEN substr(seq, pos, span) ELSE substr(seq, pos + span - 1, 1) END AS ref,
+      CASE j % 3 WHEN 0 THEN substr(seq, pos - 1, 1) WHEN 1 THEN translate(reverse(substr(seq, pos, span)), 'ACGT', 'TGCA') ELSE substr(seq, pos + span - 1, 1) || substr(seq, pos, span) END AS alt FROM p),
+    {sql_keyed('n', 'e')} SELECT doc_id, j, pos, md5(ref) AS ref_md5, md5(alt) AS alt_md5, key FROM e"""
+)
+def hgvs_long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 1 to 10 kb over the edges of chunks."""
+    c = inputs.contigs_of_documents(spark, sf_dir).withColumn("seq", F.expr("repeat(seq, cast(1 + 24000 div length(seq) as int))"))
+    rows = c.select("doc_id", "contig", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j")).withColumn("pos", F.expr(_LONG)).withColumn("span", F.expr("1000 + (doc_id * 7919 + j * 3001) % 9001"))
+    rows = rows.withColumn("hgvs", F.expr(f"'{REFSEQ['GRCh38'][0]}:g.' || {_SPAN}")).select("doc_id", "contig", "j", "hgvs")
+    out = hgvs_convert.hgvs_to_id(rows, reference=refgenome.from_sequences(c), contig="contig")
+    return out.select("doc_id", "j", "pos", F.md5("ref").alias("ref_md5"), F.md5("alt").alias("alt_md5"), "key")
+
+
 _ID_HGVS = f"""{_KEYED}, d AS (SELECT *, {sql_pick(REFSEQ, 'ci', 'asm')} || CASE WHEN ci = 24 THEN ':m.' ELSE ':g.' END AS head, rc >> 45 = 0 AS exact,
       CASE WHEN rc >> 45 = 1 THEN repeat('N', length(ref)) ELSE upper(ref) END AS r,
       CASE WHEN alt = '.' THEN '' WHEN ac >> 45 = 1 THEN repeat('N', length(alt)) ELSE upper(alt) END AS a FROM e),

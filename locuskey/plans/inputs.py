@@ -168,12 +168,14 @@ a AS (SELECT *, unnest(string_split(alts, ',')) AS one, unnest(range(len(string_
 {sql_keyed('a', 's', pos='pos_at', alt='one')}"""
 
 
-def contigs_of_documents(spark: SparkSession, sf_dir: str, least: int = 40) -> DataFrame:
-    """(contig, seq): the letters of each document as bases, where there are ``least`` of them."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "doc_id", dna(F.col("text")).alias("seq")).where(F.length("seq") >= least)
+#: Bases behind each document's letters, so that every document is a contig with room for an indel.
+TAIL = "ACGTTGCAACGGATCCTTAGACCATGGTCAATCGTTGGAA"
 
 
-def sql_contigs(least: int = 40) -> str:
-    return f"c AS (SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS contig, doc_id, {sql_dna('text')} AS seq FROM documents) WHERE length(seq) >= {least})"
+def contigs_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, seq): the letters of each document as bases, and TAIL."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "doc_id", F.concat(F.coalesce(dna(F.col("text")), F.lit("")), F.lit(TAIL)).alias("seq"))
 
 
+def sql_contigs() -> str:
+    return f"c AS (SELECT CAST(doc_id AS VARCHAR) AS contig, doc_id, coalesce({sql_dna('text')}, '') || '{TAIL}' AS seq FROM documents)"

@@ -84,25 +84,25 @@ def test_hgvs_roundtrip(spark):
 
 
 def test_hgvs_to_id(spark):
-    seq = "G" * 99 + "TACGA" + "C" * 100
-    reference = refgenome.from_dict(spark, {"chr1": seq})
+    seq = "C" * 37 + "GATTCAGGT" + "T" * 60
+    reference = refgenome.from_dict(spark, {"chr5": seq})
     want = {
-        "NC_000001.11:g.101_103del": (100, "TACG", "T"),
-        "NC_000001.11:g.100_101insGGG": (100, "T", "TGGG"),
-        "NC_000001.11:g.101_103delinsT": (101, "ACG", "T"),
-        "NC_000001.11:g.101_103dup": (103, "G", "GACG"),
-        "NC_000001.11:g.101_104inv": (101, "ACGA", "TCGT"),
-        "NC_000001.11:g.104=": (104, "A", "A"),
+        "NC_000005.10:g.39_42del": (38, "GATTC", "G"),
+        "NC_000005.10:g.43_44insCCTA": (43, "A", "ACCTA"),
+        "NC_000005.10:g.40_43delinsGG": (40, "TTCA", "GG"),
+        "NC_000005.10:g.38_39dup": (39, "A", "AGA"),
+        "NC_000005.10:g.42_46inv": (42, "CAGGT", "ACCTG"),
+        "NC_000005.10:g.41=": (41, "T", "T"),
     }
     df = spark.createDataFrame([(t,) for t in want], "hgvs string")
     for r in hgvs_to_id(df, reference=reference).collect():
-        assert (r.pos, r.ref, r.alt) == want[r.hgvs] and r.key == VariantId.encode("chr1", *want[r.hgvs]).to_hex().replace("-", "")
+        assert (r.pos, r.ref, r.alt) == want[r.hgvs] and r.key == VariantId.encode("chr5", *want[r.hgvs]).to_hex().replace("-", "")
     alone = {r.hgvs: r.error for r in hgvs_to_id(df).collect()}
     assert set(alone.values()) == {"reference required"}
-    odd = spark.createDataFrame([("NC_999999.1:g.1A>G",), ("NC_000001.10:g.60411A>G",)], "hgvs string")
-    assert {r.hgvs: r.error for r in hgvs_to_id(odd, expected=1).collect()} == {"NC_999999.1:g.1A>G": "unknown accession", "NC_000001.10:g.60411A>G": "assembly mismatch"}
-    keys = spark.createDataFrame([(VariantId.encode("chr1", 100, "TACG", "T").to_hex(),), (VariantId.encode("chr1", 103, "G", "GACG").to_hex(),)], "h string").withColumn("key", F.regexp_replace("h", "-", ""))
-    assert [r.hgvs for r in id_to_hgvs(keys).collect()] == ["NC_000001.11:g.101_103delACG", "NC_000001.11:g.103_104insACG"]
+    odd = spark.createDataFrame([("NC_000031.1:g.7A>G",), ("NC_000005.9:g.812T>C",)], "hgvs string")
+    assert {r.hgvs: r.error for r in hgvs_to_id(odd, expected=1).collect()} == {"NC_000031.1:g.7A>G": "unknown accession", "NC_000005.9:g.812T>C": "assembly mismatch"}
+    keys = spark.createDataFrame([(VariantId.encode("chr5", 38, "GATTC", "G").to_hex(),), (VariantId.encode("chr5", 43, "A", "ACCTA").to_hex(),)], "h string").withColumn("key", F.regexp_replace("h", "-", ""))
+    assert [r.hgvs for r in id_to_hgvs(keys).collect()] == ["NC_000005.10:g.39_42delATTC", "NC_000005.10:g.43_44insCCTA"]
 
 
 def test_hgvs_to_id_over_several_chunks(spark):
@@ -177,3 +177,21 @@ def test_kinds_of_errors(spark):
     for i, what in ((2, "contig not in the reference"), (3, "position outside the contig")):
         with pytest.raises(Exception, match=what):
             normalize(df.where(f"i = {i}"), reference, strict=True).collect()
+
+
+def test_error_codes_and_strict(spark):
+    from locuskey.plans.catalogue import hgvs_indel_to_id
+
+    want = {"NC_000001.11": "no_colon", "NM_1:g.1A>G": "not_refseq", "NC_000001.11:5": "no_system", "NC_000001.11:n.1A>G": "unsupported_system", "NC_000001.11:z.1A>G": "unknown_system", "NC_000001.11:g.A>G": "no_position", "NC_000001.11:g.5": "unknown_edit", "NC_000031.1:g.5A>G": "unknown_accession", "NC_000001.10:g.5A>G": "assembly_mismatch", "NC_000001.11:g.5dup": "reference_required", "NC_012920.1:m.99999A>G": "outside_contig", None: "null", "NC_000001.11:g.5A>G": None}
+    assert set(want.values()) - {None} == set(hgvs.ERRORS)
+    df = spark.createDataFrame([(x,) for x in want], "hgvs string")
+    assert {r.hgvs: r.error_code for r in hgvs_to_id(df, expected=1).collect()} == want
+    for text, code in want.items():
+        one = hgvs_to_id(df.where(F.col("hgvs").eqNullSafe(F.lit(text))), expected=1, strict=True)
+        if code is None:
+            assert one.first().key
+        else:
+            with pytest.raises(Exception, match=f"{code}: "):
+                one.collect()
+    plan = hgvs_indel_to_id(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 30
