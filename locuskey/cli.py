@@ -14,7 +14,7 @@ from pathlib import Path
 
 from locuskey.functions.assembly import ASSEMBLIES, AssemblyNotDetectedError, parse_assembly_name
 from locuskey.scalar import VariantId
-from locuskey.sources.refgenome import ReferenceNotFoundError, data_dir
+from locuskey.sources.refgenome import DATA_DIR_VARIABLE, ReferenceNotFoundError, data_dir
 
 # Where the reference genomes of the two assemblies are published.
 GENOMES = {
@@ -46,10 +46,22 @@ def fetch_genome(assembly: str, folder: Path | None = None, opener=urllib.reques
 
 
 def setup(a) -> int:
-    print(fetch_genome(ASSEMBLIES[parse_assembly_name(a.assembly)]))
+    """Fetches the genomes of the named assemblies, of all without a name; all names are looked at before anything is fetched."""
+    for name in [ASSEMBLIES[parse_assembly_name(x)] for x in a.assembly or GENOMES]:
+        print(fetch_genome(name))
     return 0
 
 
+def offer_genome(lacking: ReferenceNotFoundError, ask=input, fetch=None) -> bool:
+    """Whether a genome that was looked for in vain is there now: at a terminal the user is asked whether to fetch it; elsewhere they are told how to."""
+    print(lacking, file=sys.stderr)
+    if lacking.assembly in GENOMES and sys.stdin.isatty() and ask(f"Fetch the genome of {lacking.assembly} (about 800 MB)? [Y/n] ").strip().lower() in ("", "y", "yes"):
+        (fetch or fetch_genome)(lacking.assembly)
+        return True
+    print(f"to install it: locuskey setup --assembly {lacking.assembly or '<name>'}\nit is looked for in {data_dir()}; {DATA_DIR_VARIABLE} names another folder", file=sys.stderr)
+    return False
+
+
 def add(a) -> int:
     missing = [f for f in a.files if not os.path.exists(f)]
     if missing:
@@ -69,7 +81,13 @@ def vcf(a) -> int:
         return 1
     from locuskey.operators.annotate import annotate_file
 
-    n = annotate_file(_spark(), a.input, a.output, a.uuid, a.assembly, a.normalize)
+    run = lambda: annotate_file(_spark(), a.input, a.output, a.uuid, a.assembly, a.normalize)
+    try:
+        n = run()
+    except ReferenceNotFoundError as e:
+        if not offer_genome(e):
+            return 1
+        n = run()
     print(f"{n} records", file=sys.stderr)
     return 0
 
@@ -178,7 +196,7 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=f)
 
     flag, assembly = {"action": "store_true"}, {"default": "GRCh38"}
-    command(setup, "setup", assembly=assembly)
+    command(setup, "setup", assembly={"action": "append", "default": None})
     command(add, "add", "collection", "files", assembly=assembly)
     command(vcf, "vcf", "input", output={"default": None}, uuid=flag, assembly={"default": None}, normalize=flag)
     command(samples, "samples", "collection")

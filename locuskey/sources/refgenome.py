@@ -27,7 +27,11 @@ _SCHEMA = "contig string, chunk long, start long, seq string"
 
 
 class ReferenceNotFoundError(ValueError):
-    """No reference genome where one was looked for; the text lists the paths."""
+    """No reference genome where one was looked for; the text lists the paths, ``assembly`` is whose genome it is."""
+
+    def __init__(self, message: str, assembly: str | None = None):
+        super().__init__(message)
+        self.assembly = assembly
 
 
 class UnsupportedFormatError(ValueError):
@@ -49,7 +53,7 @@ def find_reference(assembly: str, folder: Path | None = None) -> Path:
         tried.append(str(path))
         if path.exists() and (suffix == ".2bit" or Path(f"{path}.fai").exists()):
             return path
-    raise ReferenceNotFoundError(f"no reference genome for {assembly}; tried {', '.join(tried)}")
+    raise ReferenceNotFoundError(f"no reference genome for {assembly}; tried {', '.join(tried)}", assembly)
 
 
 def open_reference(spark: SparkSession, path: str | Path) -> DataFrame:

@@ -9,7 +9,7 @@ from locuskey import VariantId, cli
 from locuskey.functions.assembly import AssemblyNotDetectedError
 from locuskey.operators.annotate import annotate_file
 from locuskey.operators.collection import Collection
-from locuskey.sources import bgzf
+from locuskey.sources import bgzf, refgenome
 from locuskey.sources.vcf import parse_structured, read_header
 
 VCF = """##fileformat=VCFv4.3
@@ -112,6 +112,26 @@ def test_fetch(tmp_path):
     assert p.read_bytes() == b"x" and not list(tmp_path.glob("*.partial"))
 
 
+def test_setup_and_the_offer_of_a_genome(spark, source, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("LOCUSKEY_DATA_DIR", str(tmp_path / "genomes"))
+    got = []
+    monkeypatch.setattr(cli, "fetch_genome", lambda name: got.append(name) or name)
+    assert cli.main(["setup"]) == 0 and got == ["GRCh38", "GRCh37"]
+    assert cli.main(["setup", "--assembly", "hg19"]) == 0 and got.pop() == "GRCh37"
+    assert cli.main(["setup", "--assembly", "hg38", "--assembly", "hg99"]) == 1 and len(got) == 2
+    # Without a terminal the user is told what to do; at one they are asked.
+    argv = ["vcf", source, "--output", str(tmp_path / "n.vcf"), "--normalize", "--assembly", "GRCh37"]
+    assert cli.main(argv) == 1
+    assert "locuskey setup --assembly GRCh37" in capsys.readouterr().err
+    lacking = refgenome.ReferenceNotFoundError("none", "GRCh37")
+    monkeypatch.setattr(cli.sys, "stdin", type("Terminal", (), {"isatty": lambda self: True})())
+    for answer, there in (("", True), ("YES", True), ("n", False), ("what", False)):
+        asked = []
+        assert cli.offer_genome(lacking, lambda q: asked.append(q) or answer, got.append) is there and len(asked) == 1  # noqa: B023
+    assert got[2:] == ["GRCh37"] * 2
+    assert not cli.offer_genome(refgenome.ReferenceNotFoundError("none"), lambda q: "y", got.append)
+
+
 def test_stream(spark, source, tmp_path):
     from locuskey.functions.assembly import Scheme
     from locuskey.streaming import annotate_stream, ingest_stream
