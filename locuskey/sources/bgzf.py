@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locuskey.sources import package
+
 #: Bytes of text in a block.
 BLOCK = 0xFF00
 # Fixed value: the empty block that ends a BGZF file.
@@ -200,6 +202,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame | None:
     options = _raw_options(spark, path, prefix) if prefix else None
     if options is None:
         return None
+    package.send(spark)
     raw = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("_data"))
     inside = raw.mapInArrow(_lines(prefix), "_file string, block long, row long, value binary").select("value", "block", "row")
     pieces = raw.mapInArrow(_edges(prefix), "_file string, block long, row long, _piece binary, _ends boolean")
@@ -231,6 +234,7 @@ def write_lines(lines: DataFrame, header: list[str], out, order: tuple[str, ...]
 
     Tasks make complete blocks; the driver joins them one partition at a time. For a file there is ``write_file``, past the driver.
     """
+    package.send(lines.sparkSession)
     head = "".join(f"{x}\n" for x in header).encode()
     out.write(blocks(head) if compress else head)
     seen = Observation()
@@ -283,6 +287,7 @@ def write_file(lines: DataFrame, header: list[str], path: str, order: tuple[str,
     and aggregates of further columns to observe; ``n`` is the number of lines. A file that is there is replaced.
     """
     spark = lines.sparkSession
+    package.send(spark)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import ASSEMBLIES
+from locuskey.sources import package
 
 CHUNK = 1 << 12
 #: Bases of the chunk before that a chunk repeats: no lookup reaches back further in one join.
@@ -134,6 +135,7 @@ class TwoBitSequence:
 
 def _table(spark: SparkSession, work: Iterable[tuple[str, int]], read_rows) -> DataFrame:
     """Chunks made where they are needed: one task per contig of a file that all executors see."""
+    package.send(spark)
     rows = list(work)
     spread = spark.createDataFrame(rows, "contig string, offset long").repartition(max(1, len(rows)), "contig")
     return spread.mapInPandas(read_rows, _SCHEMA)

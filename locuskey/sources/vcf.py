@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from locuskey.functions.alleles import encode_slot
 from locuskey.functions.assembly import AssemblyNotDetectedError, Scheme, detect_assembly, detect_scheme, linear_position, resolve_contig
 from locuskey.functions.ids import compose_key
+from locuskey.sources import package
 from locuskey.sources.bgzf import read_blocks
 
 GZIP_MAGIC = b"\x1f\x8b"
@@ -131,6 +132,7 @@ def read_lines(spark: SparkSession, path: str, zipped: bool = False) -> DataFram
     if zipped and (blocks := read_blocks(spark, path)) is not None:
         return blocks
     if zipped and not path.endswith(".gz"):
+        package.send(spark)
         return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_unzip, "value binary, block long, row long").withColumn("value", F.col("value").cast("string"))
     lines = spark.read.text(path)
     return lines.select(F.regexp_replace("value", "\r+$", "").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
