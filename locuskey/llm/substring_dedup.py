@@ -1,6 +1,6 @@
 """Substring dedup: words inside word windows that occur more than once in the corpus are removed.
 
-Documents are dealt into blocks. Each block hashes its windows (Rabin-Karp) and sends the distinct
+Documents are dealt into blocks. Each block hashes its windows (Rabin-Karp modulo a prime of 61 bits) and sends the distinct
 hashes, packed by hash range, to be counted; every range answers each block with the hashes that
 occur again somewhere. The block then merges repeated windows into maximal intervals.
 A window that everybody shares travels once per block, so no key is hot.
@@ -36,7 +36,7 @@ RESULT = T.StructType(
 def _window_hashes(width: int, ranges: int):
     def run(key, table):
         data, offsets = text_buffers(table.column("_text"))
-        found = [Words(data, offsets[a : b + 1]).windows(width)[0] for a, b in chunks(data, offsets)]
+        found = [Words(data, offsets[a : b + 1]).prime_windows(width)[0] for a, b in chunks(data, offsets)]
         hashes, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
         lot = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         cut = np.flatnonzero(np.diff(lot)) + 1
@@ -86,7 +86,7 @@ def _remove(width: int, keep_spaces: bool):
         n_words, n_removed, spans, texts, digests = [], [], [], [], []
         for a, b in chunks(data, offsets):
             words = Words(data, offsets[a : b + 1])
-            hashes, at = words.windows(width)
+            hashes, at = words.prime_windows(width)
             hit = at[_member(hashes, wanted)]
             step = np.zeros(len(words.starts) + 1, np.int64)
             step[hit] += 1

@@ -61,6 +61,43 @@ class _Powers:
 
 _word_powers = _Powers(_WORD_BASE)
 
+#: A prime, and a base below it whose powers are far from small numbers.
+PRIME = np.uint64((1 << 61) - 1)
+_PRIME_BASE = 0x1BD11BDAA9FC1A22 % ((1 << 61) - 1)
+_LOW29, _LOW32 = np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
+_29, _32, _61 = np.uint64(29), np.uint64(32), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> _61) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, put together from halves."""
+    ah, al, bh, bl = a >> _32, a & _LOW32, b >> _32, b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    return _reduced(((ah * bh) << np.uint64(3)) + (middle >> _29) + ((middle & _LOW29) << _32) + (low >> _61) + (low & PRIME))
+
+
+class _PrimePowers:
+    """base**i and base**-i modulo PRIME, grown on demand by doubling."""
+
+    def __init__(self, base: int):
+        p = int(PRIME)
+        self.bases = (base, pow(base, -1, p))
+        self.tables = [np.ones(1, np.uint64) for _ in self.bases]
+
+    def get(self, n: int) -> list[np.ndarray]:
+        for i, base in enumerate(self.bases):
+            while len(self.tables[i]) < n:
+                t = self.tables[i]
+                self.tables[i] = np.concatenate([t, times(t, np.full(len(t), pow(base, len(t), int(PRIME)), np.uint64))])
+        return [t[:n] for t in self.tables]
+
+
+_prime_powers = _PrimePowers(_PRIME_BASE)
+
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; a null counts as the empty text."""
@@ -189,6 +226,24 @@ class Words:
         at = at[at + width <= row_end[: n - width + 1]]
         return finalise((total[at + width] - total[at]) * down[at]), at
 
+    def prime_windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``windows`` with hashes modulo a prime: polynomials modulo a power of two are equal for whole families of sequences, those of two words in Thue-Morse order, whatever the base."""
+        n = len(self.hashes)
+        if n < width:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.arange(n - width + 1)
+        row_end = np.repeat(self.first[1:], np.diff(self.first))
+        at = at[at + width <= row_end[: n - width + 1]]
+        up, down = _prime_powers.get(n)
+        terms = times(_reduced(self.hashes), up)
+        # Sums of halves do not overflow.
+        high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(terms >> _32, out=high[1:])
+        np.cumsum(terms & _LOW32, out=low[1:])
+        high, low = high[at + width] - high[at], low[at + width] - low[at]
+        whole = _reduced((high >> _29) + ((high & _LOW29) << _32) + low)
+        return finalise(times(whole, down[at])), at
+
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct shingle hashes; fewer words than ``width`` make one shingle, none make none."""

@@ -135,3 +135,13 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1006))
     assert got[1007].component_id == 1006 and got[1006].n_links == 1
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_windows_in_thue_morse_order(spark):
+    """Two words in Thue-Morse order and with the words changed over: polynomials modulo a power of two can't tell them apart."""
+    turn = [bin(i).count("1") % 2 for i in range(32)]
+    texts = [" ".join([*"pqr", *(pair[x] for x in turn)]) for pair in (("zxugna", "mwyygb"), ("mwyygb", "zxugna"))]
+    got = remove_repeated_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [(r.n_words, r.n_removed, r.kept_text) for r in got.orderBy("doc_id").collect()] == [(35, 0, t) for t in texts]
+    twice = remove_repeated_windows(spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id long, text string"))
+    assert [r.n_removed for r in twice.orderBy("doc_id").collect()] == [35, 0, 35]
