@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuskey.llm.splits import unused
+
 #: A prime.
 SLOTS = 65537
 
@@ -48,9 +50,10 @@ def place(rows: DataFrame, shards: list[str], key: str = "doc_id", slots: int =
     """
     spark: SparkSession = rows.sparkSession
     table = lookup_table(shards, slots)
-    lookup = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], "_slot long, shard string")
+    own = unused(rows.columns, "_slot")
+    lookup = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], f"{own} long, shard string")
     kept = rows.drop("shard").withColumn("slot", F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("slot")), F.lit(slots)))
-    return kept.join(F.broadcast(lookup), kept["slot"] == lookup["_slot"], "left").drop("_slot")
+    return kept.join(F.broadcast(lookup), kept["slot"] == lookup[own], "left").drop(own)
 
 
 def write_shards(placed: DataFrame, path: str, file_rows: int = 1_000_000) -> None:

@@ -24,9 +24,18 @@ def bounded(rows: DataFrame, bound: int, salt: int) -> DataFrame:
     return rows.where(share_below([F.col(c) for c in rows.columns], F.lit(min(1.0, bound / max(n, 1))), salt)).distinct()
 
 
+def unused(names: list[str], like: str) -> str:
+    """A name that isn't among ``names``, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def with_text(docs: DataFrame, new: set[str], text: str, keep_text: bool) -> tuple[DataFrame, list[str]]:
     """(``_row``, all columns but those of ``new`` as one; ``_text`` beside it unless it is among them, so that a text travels once) and the columns' names."""
     carried = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     own = F.col(f"`{text}`").cast("string")
-    row = F.struct(*[own.alias(c) if c == text else F.col(f"`{c}`") for c in carried], F.lit(None).cast("int").alias("_pad")).alias("_row")
+    pad = unused(carried, "_pad")
+    row = F.struct(*[own.alias(c) if c == text else F.col(f"`{c}`") for c in carried], F.lit(None).cast("int").alias(pad)).alias("_row")
     return docs.select(row, *([] if keep_text else [own.alias("_text")])), carried
