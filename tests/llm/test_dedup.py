@@ -145,3 +145,24 @@ def test_windows_in_thue_morse_order(spark):
     assert [(r.n_words, r.n_removed, r.kept_text) for r in got.orderBy("doc_id").collect()] == [(35, 0, t) for t in texts]
     twice = remove_repeated_windows(spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id long, text string"))
     assert [r.n_removed for r in twice.orderBy("doc_id").collect()] == [35, 0, 35]
+
+
+def test_near_vectors_recall_at_its_default(spark):
+    """Pairs just above the threshold, where most are missed; no link is made up."""
+    r = np.random.RandomState(9)
+    one = r.standard_normal((1500, 48))
+    one /= np.sqrt((one * one).sum(1))[:, None]
+    other = r.standard_normal(one.shape)
+    other -= (other * one).sum(1)[:, None] * one
+    other /= np.sqrt((other * other).sum(1))[:, None]
+    two = 0.9502 * one + np.sqrt(1 - 0.9502**2) * other
+    v = np.concatenate([one, two])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x for x in near_vectors(df, cosine=0.95).collect()}
+    cosine = v @ v.T
+    linked = [i for i in range(1500) if got[i].n_links]
+    assert len(linked) >= 0.97 * 1500
+    for i in linked:
+        near = np.flatnonzero(cosine[i] >= 0.95)
+        assert got[i].n_links <= len(near) - 1 and got[1500 + i].component_id == got[i].component_id
+    assert all(got[i].component_id in np.flatnonzero(cosine[i] >= 0.95) or got[i].n_links > 1 for i in linked)

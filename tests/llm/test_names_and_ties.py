@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locuskey.llm import bm25, langid, quality
-from locuskey.llm.sharding import place
+from locuskey.llm.sharding import SLOTS, lookup_table, place
 from locuskey.llm.textkernel import PRIME, times
 
 DATA = "/root/testdata/sf0.001"
@@ -42,6 +42,34 @@ def test_ties_go_by_the_ids_type(spark, kind, ids):
         assert [r.doc_id for r in got] == ids[:k]
 
 
+def test_lookup_table_against_whole_permutations():
+    """Each shard's order of preference is written out whole; shards take their next free slot in turn."""
+    import hashlib
+
+    for names, slots in ((["a", "b", "c"], 13), ([f"shard-{i}" for i in range(7)], 101), (["x"], 5), (["p", "q"], 2)):
+        orders = []
+        for name in names:
+            d = hashlib.sha256(name.encode()).digest()
+            start, step = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1 if slots > 2 else 1
+            orders.append([(start + i * step) % slots for i in range(slots)])
+            assert sorted(orders[-1]) == list(range(slots))
+        owner = {}
+        while len(owner) < slots:
+            for i, order in enumerate(orders):
+                if len(owner) < slots:
+                    owner[next(s for s in order if s not in owner)] = i
+        assert lookup_table(names, slots).tolist() == [owner[s] for s in range(slots)]
+
+
+def test_rows_lie_where_the_table_says(spark):
+    names = [f"s{i}" for i in range(5)]
+    rows = place(spark.range(3000).withColumnRenamed("id", "doc_id"), names).withColumn("want", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(SLOTS))).collect()
+    table = lookup_table(names)
+    assert all(r.slot == r.want and r.shard == names[table[r.slot]] for r in rows)
+    sizes = [sum(r.shard == n for r in rows) for n in names]
+    assert max(sizes) < 1.3 * min(sizes)
+
+
 def test_products_modulo_a_prime():
     import numpy as np
 
