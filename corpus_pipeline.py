@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained model and a tokenizer are no SQL; no test holds run() or the stages' decisions against plain code yet.
+#: A trained model and a tokenizer are no SQL; a test holds run() against plain code, the models' decisions apart.
 ORACLE_SQL = None
 
 
