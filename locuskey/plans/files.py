@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import LENGTHS, UCSC_NAMES, assembly_name
 from locuskey.operators.annotate import annotate_file
+from locuskey.operators.collection import Collection
 from locuskey.plans import inputs
-from locuskey.plans.catalogue import _INFO, _NEW_LINE, _VCF, _sql_ids, query
+from locuskey.plans.catalogue import _GENOTYPES, _INFO, _NEW_LINE, _SQL_CHR1, _VCF, _sql_ids, query
+from locuskey.plans.inputs import sql_dashed
 from locuskey.sources import vcf
 from locuskey.sources.bgzf import write_file
 
@@ -47,3 +49,11 @@ def annotate_vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = source.removesuffix("vcf") + "new.vcf.bgz"
     annotate_file(spark, source, sink, warn=False)
     return vcf.data_lines(vcf.read_lines(spark, sink, True)).select(F.col("value").alias("line"))
+
+
+@query(f"{_GENOTYPES} SELECT DISTINCT {sql_dashed('key')} AS variant_id FROM g WHERE sample = 'S1' AND NOT coalesce(allele1 = 0 AND allele2 = 0, false) AND {_SQL_CHR1}")
+def add_vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's sites and genotypes added to a collection, and a sample searched in it."""
+    c = Collection(spark, inputs.shared_path(spark, "collection"))
+    prefix = c.add_vcf(stored_file(spark, sf_dir, "vcf.gz"))
+    return c.search_region(f"{prefix}__S1", "chr1", 1, 200_000_000).select("variant_id")

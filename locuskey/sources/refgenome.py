@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,8 @@ from locuskey.sources import package
 CHUNK = 1 << 12
 #: Bases of the chunk before that a chunk repeats: no lookup reaches back further in one join.
 LOOKBACK = 1 << 10
+#: Chunks of a file that a task reads: 4 MB of bases.
+RANGE = 1 << 10
 #: The first and swapped magic number of the 2bit format, and its bases by code.
 TWOBIT_MAGIC = 0x1A412743
 TWOBIT_BASES = "TCAG"
@@ -84,12 +85,6 @@ def from_dict(spark: SparkSession, sequences: dict[str, str], chunk: int = CHUNK
     return from_sequences(spark.createDataFrame(list(sequences.items()) or [("", "")], "contig string, seq string"), chunk=chunk, lookback=lookback)
 
 
-def _chunks(name: str, length: int, read, chunk: int, lookback: int) -> Iterator[tuple[str, int, int, str]]:
-    for i in range(-(-length // chunk)):
-        start = max(i * chunk - lookback, 0)
-        yield name, i, start + 1, read(start, min((i + 1) * chunk, length)).upper()
-
-
 def twobit_index(path: str) -> dict[str, int]:
     """Offset of each sequence's record in a 2bit file."""
     with open(path, "rb") as f:
@@ -103,6 +98,10 @@ def twobit_index(path: str) -> dict[str, int]:
     return out
 
 
+#: The four bases of each packed byte.
+_FOUR = ["".join(TWOBIT_BASES[b >> s & 3] for s in (6, 4, 2, 0)) for b in range(256)]
+
+
 class TwoBitSequence:
     """Random access to one sequence of a 2bit file: [start, end) from 0, only the bytes needed are read."""
 
@@ -125,7 +124,7 @@ class TwoBitSequence:
             raise IndexError(f"[{start}, {end}) is outside a sequence of {self.length} bases")
         self.file.seek(self.at + start // 4)
         packed = self.file.read(-(-end // 4) - start // 4)
-        bases = "".join(TWOBIT_BASES[b >> s & 3] for b in packed for s in (6, 4, 2, 0))[start % 4 : start % 4 + end - start]
+        bases = "".join(map(_FOUR.__getitem__, packed))[start % 4 : start % 4 + end - start]
         for a, n in self.unknown:
             lo, hi = max(a, start), min(a + n, end)
             if lo < hi:
@@ -133,26 +132,39 @@ class TwoBitSequence:
         return bases
 
 
-def _table(spark: SparkSession, work: Iterable[tuple[str, int]], read_rows) -> DataFrame:
-    """Chunks made where they are needed: one task per contig of a file that all executors see."""
-    package.send(spark)
-    rows = list(work)
-    spread = spark.createDataFrame(rows, "contig string, offset long").repartition(max(1, len(rows)), "contig")
-    return spread.mapInPandas(read_rows, _SCHEMA)
+def _table(spark: SparkSession, path: str, contigs: list[tuple[str, int]], opened, chunk: int, lookback: int) -> DataFrame:
+    """Chunks of a file that all executors see, made where they are needed: RANGE chunks of a contig a task.
 
+    ``contigs`` are names and lengths; ``opened`` takes the open file and a name, and gives a function that reads bases from start to end, from 0.
+    """
+    package.send(spark)
+    counts = [(name, -(-length // chunk), length) for name, length in contigs if length]
+    ranges = sum(-(-n // RANGE) for _, n, _ in counts)
+    listed = spark.createDataFrame(counts, "contig string, n long, length long")
+    spread = listed.select("contig", "n", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANGE))).alias("part")).repartition(max(1, min(ranges, 1 << 15)), "contig", "part")
 
-def from_twobit(spark: SparkSession, path: str, chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
     def rows(frames):
         import pandas as pd
 
         with open(path, "rb") as f:
             for frame in frames:
-                for name, offset in zip(frame.contig, frame.offset, strict=True):
-                    seq = TwoBitSequence(f, int(offset))
-                    for row in _chunks(name, seq.length, seq.read, chunk, lookback):
-                        yield pd.DataFrame([row], columns=["contig", "chunk", "start", "seq"])
+                for name, n, length, part in zip(frame.contig, frame.n, frame.length, frame.part, strict=True):
+                    read = opened(f, name)
+                    last = min((part + 1) * RANGE, n)
+                    for a in range(part * RANGE, last, 256):
+                        numbers = range(a, min(a + 256, last))
+                        starts = [max(i * chunk - lookback, 0) for i in numbers]
+                        bases = [read(start, min((i + 1) * chunk, length)).upper() for i, start in zip(numbers, starts, strict=True)]
+                        yield pd.DataFrame({"contig": [name] * len(bases), "chunk": list(numbers), "start": [x + 1 for x in starts], "seq": bases})
 
-    return _table(spark, twobit_index(path).items(), rows)
+    return spread.mapInPandas(rows, _SCHEMA)
+
+
+def from_twobit(spark: SparkSession, path: str, chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
+    offsets = twobit_index(path)
+    with open(path, "rb") as f:
+        contigs = [(name, TwoBitSequence(f, offset).length) for name, offset in offsets.items()]
+    return _table(spark, path, contigs, lambda f, name: TwoBitSequence(f, offsets[name]).read, chunk, lookback)
 
 
 def fasta_index(path: str) -> dict[str, tuple[int, int, int, int]]:
@@ -167,7 +179,7 @@ def fasta_index(path: str) -> dict[str, tuple[int, int, int, int]]:
 
 
 def from_fasta(spark: SparkSession, path: str, chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
-    """With an index by seeks, one task per contig; a gzip file, or one without an index, as text."""
+    """With an index by seeks, a range of a contig a task; a gzip file, or one without an index, as text."""
     if path.endswith(".gz") or not os.path.exists(f"{path}.fai"):
         lines = spark.read.text(path, lineSep=">").where("length(value) > 0")
         head = F.regexp_extract("value", r"^(\S+)", 1)
@@ -175,23 +187,17 @@ def from_fasta(spark: SparkSession, path: str, chunk: int = CHUNK, lookback: int
         return from_sequences(lines.select(head.alias("contig"), seq.alias("seq")), chunk=chunk, lookback=lookback)
     index = fasta_index(path)
 
-    def rows(frames):
-        import pandas as pd
-
-        with open(path, "rb") as f:
-            for frame in frames:
-                for name in frame.contig:
-                    length, offset, bases, width = index[name]
-                    where = lambda p: offset + p // bases * width + p % bases  # noqa: B023, E731
+    def opened(f, name: str):
+        _, offset, bases, width = index[name]
+        where = lambda p: offset + p // bases * width + p % bases
 
-                    def read(a, b):
-                        f.seek(where(a))  # noqa: B023
-                        return b"".join(f.read(where(b) - where(a)).split()).decode("ascii")  # noqa: B023
+        def read(a: int, b: int) -> str:
+            f.seek(where(a))
+            return b"".join(f.read(where(b) - where(a)).split()).decode("ascii")
 
-                    for row in _chunks(name, length, read, chunk, lookback):
-                        yield pd.DataFrame([row], columns=["contig", "chunk", "start", "seq"])
+        return read
 
-    return _table(spark, [(n, 0) for n in index], rows)
+    return _table(spark, path, [(name, x[0]) for name, x in index.items()], opened, chunk, lookback)
 
 
 def with_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column, last: Column, into: str = "bases", chunk: int = CHUNK) -> DataFrame:

@@ -56,7 +56,7 @@ def test_symbolic_and_missing(spark):
     assert by["none", "AA", "A"].norm_error and by["c", "A", "*"].norm_error is None
 
 
-def test_reference_files(spark, tmp_path):
+def test_reference_files(spark, tmp_path, monkeypatch):
     seq = "ACGTNNACGTTTGACCA"
     (tmp_path / "g.fa").write_text(">chr1 x\nACGTNN\nACGTTT\nGACCA\n")
     (tmp_path / "g.fa.fai").write_text("chr1\t17\t8\t6\t7\n")
@@ -68,6 +68,11 @@ def test_reference_files(spark, tmp_path):
     for name in ("g.fa", "g.2bit"):
         table = refgenome.open_reference(spark, tmp_path / name)
         assert [r.seq for r in table.collect()] == [seq]
+    small = {"chunk": 3, "lookback": 2}
+    want = refgenome.from_dict(spark, {"chr1": seq}, **small).orderBy("chunk").collect()
+    monkeypatch.setattr(refgenome, "RANGE", 2)
+    for table in (refgenome.from_fasta(spark, str(tmp_path / "g.fa"), **small), refgenome.from_twobit(spark, str(tmp_path / "g.2bit"), **small)):
+        assert table.orderBy("chunk").collect() == want and table.select(F.spark_partition_id()).distinct().count() > 1
     rows = spark.createDataFrame([("chr1", 2, 5), ("chr1", 15, 18), ("chr2", 1, 1)], "c string, a long, b long")
     got = refgenome.with_bases(rows, refgenome.open_reference(spark, tmp_path / "g.fa"), "c", F.col("a"), F.col("b")).orderBy("c", "a").collect()
     assert [r.bases for r in got] == ["CGTN", None, None]
