@@ -333,26 +333,21 @@ def _with_least(dim: int):
     return run
 
 
-def _search(state: DataFrame, blocks: DataFrame, space: _Space, same: bool, tables: Tables) -> DataFrame:
-    """Rounds of scans until no pack has an interval left that could better its slots."""
+def _search(state: DataFrame, blocks: DataFrame, space: _Space, same: bool, most: int, tables: Tables) -> DataFrame:
+    """Rounds of scans until no pack has an interval left that could better its slots, each of ``most`` rows."""
     stored = blocks.select("interval", F.col("ids").alias("block_ids"), F.col("labels").alias("block_labels"), F.col("xs").alias("block_xs"))
     first = Window.partitionBy("pack", "place").orderBy(F.desc("score"), "found_id")
     while not state.where("size(next) > 0").isEmpty():
         asking = state.where("size(next) > 0").mapInArrow(_with_least(space.dim), "pack long, ids binary, labels binary, xs binary, high binary, slots int, best int, next array<long>, least binary")
         pairs = asking.select("pack", "ids", "labels", "xs", "high", "least", "slots", "best", F.explode("next").alias("interval")).join(stored, "interval")
         found = pairs.mapInArrow(_scan(space, same), "pack long, place int, score long, found_id long")
-        best = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= state_best(state)).drop("_n")
+        best = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
         after = tables.write(state.groupBy("pack").cogroup(best.groupBy("pack")).applyInArrow(_merge(space), f"pack long, {_STATE_DDL}"), "packs")
         tables.drop(state)
         state = after
     return state
 
 
-def state_best(state: DataFrame) -> int:
-    """How many a slot keeps, the same for all packs of a search."""
-    return state.select("best").first()[0]
-
-
 def _result(dim: int):
     def run(batches):
         for batch in batches:
@@ -424,9 +419,9 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     ordered = asked.repartitionByRange(packs, *order).sortWithinPartitions(*order)
     state = tables.write(ordered.mapInArrow(_begin(space, positives), _STATE_DDL).withColumn("pack", F.monotonically_increasing_id()).select("pack", *_STATE.names), "packs")
     tables.drop(keyed)
-    state = _search(state, blocks, space, True, tables)
+    state = _search(state, blocks, space, True, positives, tables)
     after = tables.write(state.mapInArrow(_further(space, negatives, low, high), f"pack long, {_STATE_DDL}"), "packs")
     tables.drop(state)
-    state = _search(after, blocks, space, False, tables)
+    state = _search(after, blocks, space, False, negatives, tables)
     tables.drop(blocks)
     return state.mapInArrow(_result(dim), empty.schema)

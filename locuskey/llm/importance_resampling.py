@@ -165,6 +165,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
     weighed = weighed.mapInArrow(_weigh(gain), T.StructType([T.StructField("_row", rows.schema["_row"].dataType), *(T.StructField(c, T.LongType()) for c in ("_words", "_features", "_weight"))]))
     score = F.col("_weight") + noise(F.col("_row.id"), seed)
     scored = tables.write(weighed.withColumn("_score", score), "scores")
+    tables.drop(counted)
     able = F.col("_words") >= least_words
     n = scored.where(able).count()
     draw = percent * n // 100

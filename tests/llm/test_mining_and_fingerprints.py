@@ -136,7 +136,7 @@ def test_resample_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = docs.limit(0)
     assert resample(none, docs).count() == 0
-    assert sorted((r.doc_id, r.n_features, r.weight, r["rank"]) for r in resample(docs, none).collect()) == [(1, 3, 0, None), (2, 0, 0, None)]
+    assert sorted((r.doc_id, r.n_features, r.weight, r["rank"]) for r in resample(docs, none).collect()) == [(1, 3, math.floor(1000 * math.log(10003 / 20000)), None), (2, 0, 0, None)]
 
 
 # Fingerprints.
