@@ -11,7 +11,7 @@ from locuskey.operators.collection import Collection
 from locuskey.plans import inputs
 from locuskey.plans.catalogue import _GENOTYPES, _INFO, _NEW_LINE, _SQL_CHR1, _VCF, _sql_ids, query
 from locuskey.plans.inputs import sql_dashed
-from locuskey.sources import vcf
+from locuskey.sources import refgenome, vcf
 from locuskey.sources.bgzf import write_file
 
 HEADER = [
@@ -57,3 +57,17 @@ def add_vcf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Collection(spark, inputs.shared_path(spark, "collection"))
     prefix = c.add_vcf(stored_file(spark, sf_dir, "vcf.gz"))
     return c.search_region(f"{prefix}__S1", "chr1", 1, 200_000_000).select("variant_id")
+
+
+@query(
+    f"""WITH {inputs.sql_contigs()}, p AS (SELECT *, 1 + (doc_id * 7919) % length(seq) AS pos, 1 + doc_id % 700 AS n FROM c)
+    SELECT doc_id, pos, n, CASE WHEN pos + n - 1 <= length(seq) THEN substr(seq, pos, n) END AS bases FROM p"""
+)
+def fasta_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A genome written as FASTA, 60 bases a line, read again and looked up; null beyond a contig's end."""
+    c = inputs.contigs_of_documents(spark, sf_dir)
+    path = f"{inputs.shared_path(spark, 'genome')}.fa"
+    c.select(F.concat(F.lit(">"), F.col("contig"), F.lit(" of a document\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))).write.text(path)
+    spans = c.select("doc_id", "contig", F.expr("1 + (doc_id * 7919) % length(seq)").alias("pos"), F.expr("1 + doc_id % 700").alias("n"))
+    found = refgenome.with_bases(spans, refgenome.open_reference(spark, path), "contig", F.col("pos"), F.col("pos") + F.col("n") - 1)
+    return found.select("doc_id", "pos", "n", "bases")
