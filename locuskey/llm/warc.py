@@ -25,6 +25,8 @@ GAP = 64 << 10
 READ = 4 << 20
 #: Bytes of an archive that one task reads, about.
 SPAN = 64 << 20
+#: Tasks that pages of one payload are dealt to.
+SALTS = 16
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -116,7 +118,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.encode("html", "utf-8"))))
     again = keyed.where("key is not null").groupBy("key").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null").drop("n")
-    judged = keyed.join(again, "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to"))
+    # A payload that very many pages have, as the empty one, is dealt to several tasks.
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    again = again.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    judged = keyed.join(again, ["key", "salt"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to"))
     kind = rows.schema["page_id"].dataType.simpleString()
     index = judged.mapInArrow(_write(folder, date), f"page_id {kind}, url string, archive string, offset long, length long, payload_digest string")
     return Tables(spark).write(index, "warc-index")

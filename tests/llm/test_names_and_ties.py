@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from locuskey.llm import bm25, langid, quality
+from locuskey.llm import bm25, langid, quality, warc
 from locuskey.llm.sharding import SLOTS, lookup_table, place
 from locuskey.llm.textkernel import PRIME, times
 
@@ -77,3 +77,20 @@ def test_products_modulo_a_prime():
     p = int(PRIME)
     a, b = (np.concatenate([r.randint(0, p, 500), [0, 1, p - 1, p - 1, 2**32, 2**32 - 1]]).astype(np.uint64) for _ in range(2))
     assert times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b, strict=True)]
+
+
+def test_pages_of_one_payload_lie_in_several_tasks(spark):
+    """A third of all pages is empty: their records are in many archives, one of them the response."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("page "), F.col("id").cast("string"))).alias("html"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = warc.write_archives(pages)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    empty = index.where("page_id % 3 = 0").groupBy("archive").count().collect()
+    assert len(empty) > 1 and max(r["count"] for r in empty) < 800
+    got = {r.page_id: r for r in warc.resolve_revisits(warc.read_archives(index)).collect()}
+    assert len(got) == 3000 and all(got[i].refers_to == (2997 if i % 3 == 0 and i != 2997 else None) for i in got)
+    assert all(got[i].payload_bytes == (0 if i % 3 == 0 else len(f"page {i}")) for i in got)
