@@ -11,6 +11,8 @@ EXACT_BASES = 20
 LENGTH_FLAG = 1 << 45
 PAYLOAD = (1 << 45) - 1
 FINGERPRINT_BITS = 17
+#: Bases that a step of the fingerprint takes in: 40 bits, beside the 23 that it has.
+STEP_BASES = 20
 
 
 def valid_dna(seq) -> Column:
@@ -42,16 +44,31 @@ def decode_bases(code, length, most: int = EXACT_BASES) -> Column:
 
 
 def fingerprint(seq) -> Column:
-    """Remainder of the bases (two bits each, others 0) modulo x^17 + x^3 + 1: one step per UTF-8 byte; case counts for no base."""
-    letters = F.translate(F.decode(_col(seq).cast("string").cast("binary"), "ISO-8859-1"), "acgt", "ACGT")
-    bases = F.filter(F.split(letters, ""), lambda c: c != "")
-    mask = F.lit((1 << FINGERPRINT_BITS) - 1)
+    """Remainder of the bases (two bits each, others 0) modulo x^17 + x^3 + 1: one digit per UTF-8 byte; case counts for no base.
 
-    def step(h: Column, c: Column) -> Column:
-        b = F.greatest(F.instr(F.lit("ACGT"), c) - 1, F.lit(0)).cast("long")
-        return (F.shiftleft(h, 2).bitwiseOR(b)).bitwiseAND(mask.cast("long")).bitwiseXOR(F.shiftright(h, 15) * F.lit(9))
+    A step takes STEP_BASES digits in. x^17 is x^3 + 1, x^34 is x^6 + 1 and x^51 is x^9 + x^6 + x^3 + 1, so a step leaves 23 bits, which
+    the next one takes on as they are; the last six of them are folded at the end.
+    """
+    s = _col(seq).cast("string")
+    letters = F.when(F.octet_length(s) == F.length(s), s).otherwise(F.decode(s.cast("binary"), "ISO-8859-1"))
+    digits = F.translate(F.regexp_replace(letters, "[^ACGTacgt]", "A"), "ACGTacgt", "01230123")
+    # Zeros in front change nothing.
+    even = F.lpad(digits, (F.ceil(F.octet_length(s) / STEP_BASES) * STEP_BASES).cast("int"), "0")
+    words = F.transform(F.regexp_extract_all(even, F.lit(f"[0-3]{{{STEP_BASES}}}"), F.lit(0)), lambda x: F.conv(x, 4, 10).cast("long"))
+    mask = F.lit((1 << FINGERPRINT_BITS) - 1).cast("long")
 
-    return F.aggregate(bases, F.lit(0).cast("long"), step)
+    def step(h: Column, x: Column) -> Column:
+        v = F.shiftleft(h, 2 * STEP_BASES).bitwiseXOR(x)
+        part = lambda i: F.shiftright(v, FINGERPRINT_BITS * i).bitwiseAND(mask)
+        by_one, by_two = part(1).bitwiseXOR(F.shiftright(v, 51)), part(2).bitwiseXOR(F.shiftright(v, 51))
+        high = F.shiftleft(by_one, 3).bitwiseXOR(F.shiftleft(by_two, 6)).bitwiseXOR(F.shiftleft(F.shiftright(v, 51), 9))
+        return part(0).bitwiseXOR(by_one).bitwiseXOR(part(2)).bitwiseXOR(high)
+
+    def last(h: Column) -> Column:
+        over = F.shiftright(h, FINGERPRINT_BITS)
+        return h.bitwiseAND(mask).bitwiseXOR(over).bitwiseXOR(F.shiftleft(over, 3))
+
+    return F.aggregate(words, F.lit(0).cast("long"), step, last)
 
 
 def _code(seq, flag: int) -> Column:
@@ -62,7 +79,7 @@ def _code(seq, flag: int) -> Column:
     # Nearly all alleles are one base.
     base = F.instr(F.lit("ACGTacgt"), s)
     single = F.lit(1 << 40) + F.shiftleft(F.pmod(base - 1, F.lit(4)).cast("long"), 38)
-    return F.when((n == 1) & (base > 0), single).when(s.isin("", "."), F.lit(0).cast("long")).when(s.rlike(f"^[ACGTacgt]{{1,{EXACT_BASES}}}$"), exact).otherwise(by_length)
+    return F.when((n == 1) & (base > 0), single).when(s.isin("", "."), F.lit(0).cast("long")).when((n <= EXACT_BASES) & s.rlike(f"^[ACGTacgt]{{1,{EXACT_BASES}}}$"), exact).otherwise(by_length)
 
 
 def encode_allele(seq) -> Column:

@@ -47,7 +47,8 @@ def hgvs_to_id(rows: DataFrame, text: str = "hgvs", reference: DataFrame | None
 
 def id_to_hgvs(rows: DataFrame, key: str = "key", reference: DataFrame | None = None, detect: bool = False, contig: str | None = None) -> DataFrame:
     """``rows`` with hgvs, warnings and error; ``detect`` looks for duplications (with a reference) and inversions."""
-    d = with_decoded(rows, key, "_d")
+    # What several expressions need is worked out once: the fields, the kind of edit and the notation's parts.
+    d = with_decoded(rows, key, "_fields").select("*", once(F.col("_fields").alias("_d"))).drop("_fields")
     index = chrom_index("_d.chr")
     accession = refseq_accession(index, parse_assembly("_d.assembly"))
     coord = F.when(F.col("_d.chr") == "M", "m").otherwise("g")
@@ -58,12 +59,15 @@ def id_to_hgvs(rows: DataFrame, key: str = "key", reference: DataFrame | None =
         d = with_bases(d.withColumn("_c", F.col(contig) if contig else ucsc_name(index)), reference, "_c", first, F.when(insertion, F.col("_d.pos") + n), "_b").drop("_c")
     else:
         d = d.withColumn("_b", F.lit(None).cast("string"))
-    d = d.withColumn("_e", hgvs.from_alleles(accession, coord, "_d.pos", "_d.ref", "_d.alt", "_d.ref_is_exact", "_b", detect))
+    d = d.select("*", once(hgvs.edit_of("_d.ref", "_d.alt", "_b", detect).alias("_edit")))
+    # In lambdas: generated code for all their branches is a method too long for the JVM to compile.
+    spelled = hgvs._let(F.col("_edit"), lambda e: hgvs.from_alleles(accession, coord, "_d.pos", "_d.ref", "_d.alt", "_d.ref_is_exact", "_b", detect, e))
+    d = d.select("*", once(spelled.alias("_e")))
     sound = F.col("_d").isNotNull()
     notes = hgvs.warnings("_d.ref_len", "_d.alt_len", "_d.ref_is_exact", "_d.alt_is_exact", "_e.edit")
     return (
-        d.withColumn("hgvs", F.when(sound, hgvs.render("_e")))
+        d.withColumn("hgvs", F.when(sound, hgvs._let(F.col("_e"), hgvs.render)))
         .withColumn("warnings", F.when(sound, notes))
         .withColumn("error", F.when(~sound, F.lit("the identifier cannot be decoded")))
-        .drop("_d", "_b", "_e")
+        .drop("_d", "_b", "_edit", "_e")
     )
