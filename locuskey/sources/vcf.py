@@ -143,7 +143,8 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 
 def _json_string(x: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'^\{"x":(.*)\}$', 1)
+    quoted = F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'^\{"x":(.*)\}$', 1)
+    return F.when(x.rlike("^[A-Za-z0-9_.]*$"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(quoted)
 
 
 def _json_value(value: Column, number: Column, kind: Column) -> Column:
@@ -180,33 +181,37 @@ def info_json(info: Column, types: dict[str, tuple[str, str]]) -> Column:
 
     def entry(x: Column) -> Column:
         key = F.substring_index(x, "=", 1)
-        value = F.when(F.instr(x, "=") == 0, F.lit("true")).otherwise(_json_value(F.regexp_replace(x, "^[^=]*=", ""), *_declared(types, key)))
+        value = F.when(F.instr(x, "=") == 0, F.lit("true")).otherwise(_json_value(F.substring(x, F.instr(x, "=") + 1, F.length(x)), *_declared(types, key)))
         return F.struct(key.alias("key"), value.alias("value"))
 
     return _json_object(F.transform(items, entry))
 
 
-def sample_fields(fmt: Column, sample: Column) -> Column:
-    """MAP of a sample's fields by FORMAT key; trailing fields may be left out."""
-    keys = F.split(fmt, ":")
-    values = F.split(sample, ":")
+def sample_value(keys: Column, values: Column, key: str) -> Column:
+    """The text of a sample's field by its FORMAT key; null where it is ``.`` or left out."""
+    found = F.get(values, (F.array_position(keys, key) - 1).cast("int"))
+    return F.when(found != ".", found)
+
+
+def format_extra(keys: Column, values: Column, types: dict[str, tuple[str, str]]) -> Column:
+    """JSON of the fields other than GT, DP and GQ that have a value; null if there are none. Trailing fields may be left out."""
     pairs = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value")))
-    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+    rest = F.filter(pairs, lambda e: ~e["key"].isin("GT", "DP", "GQ") & (e["value"] != "."))
 
+    def spelled(found: Column) -> Column:
+        entries = F.transform(found, lambda e: F.struct(e["key"].alias("key"), _json_value(e["value"], *_declared(types, e["key"])).alias("value")))
+        return F.when(F.size(found) > 0, _json_object(entries))
 
-def format_extra(fields: Column, types: dict[str, tuple[str, str]]) -> Column:
-    """JSON of the fields other than GT, DP and GQ that have a value; null if there are none."""
-    rest = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin("GT", "DP", "GQ") & (e["value"] != "."))
-    entries = F.transform(rest, lambda e: F.struct(e["key"].alias("key"), _json_value(e["value"], *_declared(types, e["key"])).alias("value")))
-    return F.when(F.size(rest) > 0, _json_object(entries))
+    return F.get(F.transform(F.array(rest), spelled), F.lit(0))
 
 
 def genotype(gt: Column) -> tuple[Column, Column, Column]:
     """(first allele, second allele, phased) of a GT text; further alleles are not looked at."""
-    alleles = F.split(gt, "[/|]")
-    number = lambda i: F.get(alleles, F.lit(i)).try_cast("int")
-    separator = F.regexp_extract(gt, r"^[^/|]*([/|])", 1)
-    return number(0), number(1), F.coalesce(separator == "|", F.lit(False))
+    alleles = F.split(F.translate(gt, "|", "/"), "/")
+    # Only what may be a number is cast: a failed cast costs as much as the rest of a row.
+    number = lambda x: F.when(x != ".", x.try_cast("int"))
+    bar, slash = F.instr(gt, "|"), F.instr(gt, "/")
+    return number(F.get(alleles, F.lit(0))), number(F.get(alleles, F.lit(1))), F.coalesce((bar > 0) & ((slash == 0) | (bar < slash)), F.lit(False))
 
 
 def once(*columns: Column) -> Column:
@@ -226,7 +231,7 @@ def records(lines: DataFrame) -> DataFrame:
         get(1).try_cast("bigint").alias("pos"),
         get(3).alias("ref"),
         alts.alias("alts"),
-        get(5).try_cast("float").alias("qual"),
+        F.when(get(5) != ".", get(5).try_cast("float")).alias("qual"),
         F.coalesce(F.when(get(6) != "", get(6)), F.lit(".")).alias("filter"),
         F.coalesce(get(7), F.lit(".")).alias("info"),
         get(8).alias("format"),
@@ -256,17 +261,18 @@ def genotypes(found: DataFrame, samples: list[str], types: dict[str, tuple[str,
     names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
     pairs = F.arrays_zip(names.alias("name"), F.coalesce(F.col("samples"), F.array().cast("array<string>")).alias("cell"))
     rows = found.withColumn("_s", F.explode(F.slice(pairs, 1, max(len(samples), 1)))).where("_s.name is not null")
-    fields = rows.select("*", once(sample_fields(F.col("format"), F.coalesce(F.col("_s.cell"), F.lit("."))).alias("_f")))
-    value = lambda k: F.when(F.element_at("_f", k) != ".", F.element_at("_f", k))
-    a1, a2, phased = genotype(value("GT"))
+    fields = rows.select("*", once(F.split("format", ":").alias("_k"), F.split(F.coalesce(F.col("_s.cell"), F.lit(".")), ":").alias("_f")))
+    value = lambda k: sample_value(F.col("_k"), F.col("_f"), k)
+    fields = fields.select("*", once(value("GT").alias("_gt")))
+    a1, a2, phased = genotype(F.col("_gt"))
     dp, gq = value("DP").try_cast("int"), value("GQ").try_cast("int")
     if wrap:
         a1, a2, gq = (F.pmod(x, F.lit(256)) for x in (a1, a2, gq))
         dp = F.pmod(dp, F.lit(65536))
     order = [c for c in ("block", "row", "allele") if c in found.columns]
-    called = fields.select("key", "lin", "asm", *order, F.col("_s.name").alias("sample"), "_f", once(a1.alias("allele1"), a2.alias("allele2")))
+    called = fields.select("key", "lin", "asm", *order, F.col("_s.name").alias("sample"), "_k", "_f", "_gt", once(a1.alias("allele1"), a2.alias("allele2")))
     called = called.where(~(F.coalesce(F.col("allele1") == 0, F.lit(False)) & F.coalesce(F.col("allele2") == 0, F.lit(False))))
-    return called.select("key", "lin", "asm", *order, "sample", "allele1", "allele2", phased.alias("phased"), dp.alias("dp"), gq.alias("gq"), format_extra(F.col("_f"), types or {}).alias("format_extra"))
+    return called.select("key", "lin", "asm", *order, "sample", "allele1", "allele2", phased.alias("phased"), dp.alias("dp"), gq.alias("gq"), format_extra(F.col("_k"), F.col("_f"), types or {}).alias("format_extra"))
 
 
 def table_prefix(path) -> Column:
