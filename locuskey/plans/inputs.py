@@ -174,7 +174,8 @@ TAIL = "ACGTTGCAACGGATCCTTAGACCATGGTCAATCGTTGGAA"
 
 def contigs_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, seq): the letters of each document as bases, and TAIL."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "doc_id", F.concat(F.coalesce(dna(F.col("text")), F.lit("")), F.lit(TAIL)).alias("seq"))
+    # Spelled once a document, not for each variant on it.
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contig"), "doc_id", once(F.concat(F.coalesce(dna(F.col("text")), F.lit("")), F.lit(TAIL)).alias("seq")))
 
 
 def sql_contigs() -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from locuskey.functions.assembly import ASSEMBLIES
 from locuskey.sources import package
+from locuskey.sources.vcf import once
 
 CHUNK = 1 << 12
 #: Bases of the chunk before that a chunk repeats: no lookup reaches back further in one join.
@@ -74,8 +75,10 @@ def open_for_assembly(spark: SparkSession, code: int, folder: Path | None = None
 
 def from_sequences(rows: DataFrame, contig: str = "contig", seq: str = "seq", chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
     """Chunk table of a frame with one whole sequence per row; bases in upper case."""
-    n = F.ceil(F.length(seq) / chunk)
-    one = rows.where(F.length(seq) > 0).select(F.col(contig).cast("string").alias("contig"), F.upper(seq).alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
+    # Worked out once a sequence, not for each chunk.
+    whole = rows.select(F.col(contig).cast("string").alias("contig"), once(F.upper(seq).alias("_s"))).select("*", once(F.length("_s").alias("_length"))).where("_length > 0")
+    n = F.ceil(F.col("_length") / chunk)
+    one = whole.select("contig", "_s", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
     start = F.greatest(F.col("chunk") * chunk - lookback, F.lit(0).cast("long"))
     text = F.substring("_s", (start + 1).cast("int"), ((F.col("chunk") + 1) * chunk - start).cast("int"))
     return one.select("contig", "chunk", (start + 1).alias("start"), text.alias("seq"))
