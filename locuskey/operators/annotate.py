@@ -13,7 +13,7 @@ from locuskey.functions.ids import compose_key, dashed, encode_key, name_digest,
 from locuskey.operators.normalize import normalize
 from locuskey.sources.bgzf import write_file, write_lines
 from locuskey.sources.refgenome import open_for_assembly
-from locuskey.sources.vcf import read_header, read_lines, symbolic
+from locuskey.sources.vcf import once, read_header, read_lines, symbolic
 
 
 def _fields() -> Column:
@@ -41,7 +41,8 @@ def annotate_lines(lines: DataFrame, scheme: Scheme | str, code: int, use_uuid:
     A line with fewer than five fields, on an unknown contig or without a position stays as it is. POS is
     written as a plain number, ALT alleles without white space round them; their IDs are joined with ``_``,
     ``.`` for one that has none. Narrow projections only: no shuffle. What several expressions need is a
-    projection of its own, and only lines with several ALT alleles go through a higher-order function.
+    projection of its own, and only lines with several ALT alleles go through a higher-order function. A filter on
+    the new line does not work it out again.
     """
     asm = F.lit(code)
     f = lines.withColumn("_f", _fields())
@@ -61,8 +62,9 @@ def annotate_lines(lines: DataFrame, scheme: Scheme | str, code: int, use_uuid:
     line = F.concat_ws("\t", get(0), F.col("_pos").cast("string"), new_id, F.col("_ref"), alt, get(5))
     sound = (F.size("_f") >= 5) & F.col("_index").isNotNull() & (F.col("_pos") > 0)
     ok = F.coalesce(sound, F.lit(False))
-    new = f.withColumn("value", F.when(ok, line).otherwise(F.col("value")))
-    return new.select(*lines.columns, *([((F.size("_f") >= 5) & ~ok).alias(kept)] if kept else []))
+    made = once(F.when(ok, line).otherwise(F.col("value")).alias("value"), *([((F.size("_f") >= 5) & ~ok).alias(kept)] if kept else []))
+    new = f.select(*[c for c in lines.columns if c != "value"], made)
+    return new.select(*lines.columns, *([kept] if kept else []))
 
 
 def cannot_encode(lines: DataFrame, scheme: Scheme | str, code: int) -> DataFrame:
