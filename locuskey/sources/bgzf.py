@@ -12,11 +12,18 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locuskey.sources import package
 
+
+def without_returns(value) -> Column:
+    """A text without the carriage returns at its end; only one that has any is looked through."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.when(v.endswith("\r"), F.rtrim(v, F.lit("\r"))).otherwise(v)
+
+
 #: Bytes of text in a block.
 BLOCK = 0xFF00
 # Fixed value: the empty block that ends a BGZF file.
@@ -212,7 +219,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame | None:
     whole = F.aggregate("_all", F.lit(b""), lambda a, x: F.concat(a, x["_piece"]))
     first = F.get("_all", F.lit(0))
     joined = grouped.select(whole.alias("value"), first["block"].alias("block"), first["row"].alias("row"), "_ends").where(F.col("_ends") | (F.length("value") > 0)).drop("_ends")
-    return inside.unionByName(joined).withColumn("value", F.rtrim(F.col("value").cast("string"), F.lit("\r")))
+    return inside.unionByName(joined).withColumn("value", F.col("value").cast("string")).withColumn("value", without_returns("value"))
 
 
 # Writing.

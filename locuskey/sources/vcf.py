@@ -16,7 +16,7 @@ from locuskey.functions.alleles import encode_slot
 from locuskey.functions.assembly import AssemblyNotDetectedError, Scheme, detect_assembly, detect_scheme, linear_position, resolve_contig
 from locuskey.functions.ids import compose_key
 from locuskey.sources import package
-from locuskey.sources.bgzf import read_blocks
+from locuskey.sources.bgzf import read_blocks, without_returns
 
 GZIP_MAGIC = b"\x1f\x8b"
 #: A missing, overlapping, symbolic or breakend allele: nothing to spell.
@@ -135,7 +135,7 @@ def read_lines(spark: SparkSession, path: str, zipped: bool = False) -> DataFram
         package.send(spark)
         return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_unzip, "value binary, block long, row long").withColumn("value", F.col("value").cast("string"))
     lines = spark.read.text(path)
-    return lines.select(F.regexp_replace("value", "\r+$", "").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(without_returns("value").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -147,44 +147,43 @@ def _json_string(x: Column) -> Column:
     return F.when(x.rlike("^[A-Za-z0-9_.]*$"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(quoted)
 
 
-def _json_value(value: Column, number: Column, kind: Column) -> Column:
-    """JSON of a field's text by its declared number and type; ``.`` is null."""
+def _json_value(value: Column, key: Column, types: dict[str, tuple[str, str]]) -> Column:
+    """JSON of a field's text by the number and type declared for its key, one text if none are; ``.`` is null. ``value`` and ``key`` are best variables of a lambda."""
+    kinds: dict[tuple[bool, str], list[str]] = {}
+    for k, (number, kind) in types.items():
+        kind = kind if kind in ("Flag", "Integer", "Float") else "String"
+        kinds.setdefault((number != "1" and kind != "Flag", kind), []).append(k)
 
-    def one(x: Column) -> Column:
-        return (
-            F.when(x == ".", "null")
-            .when(kind == "Integer", F.coalesce(x.try_cast("bigint").cast("string"), F.lit("null")))
-            .when(kind == "Float", F.coalesce(x.try_cast("float").cast("string"), F.lit("null")))
-            .otherwise(_json_string(x))
-        )
+    def one(x: Column, kind: str) -> Column:
+        if kind == "String":
+            return F.when(x == ".", "null").otherwise(_json_string(x))
+        return F.when(x == ".", "null").otherwise(F.coalesce(x.try_cast("bigint" if kind == "Integer" else "float").cast("string"), F.lit("null")))
 
-    many = F.concat(F.lit("["), F.array_join(F.transform(F.split(value, ","), one), ","), F.lit("]"))
-    return F.when(kind == "Flag", "true").when(number == "1", one(value)).otherwise(many)
+    def spelled(many: bool, kind: str) -> Column:
+        if kind == "Flag":
+            return F.lit("true")
+        return F.concat(F.lit("["), F.array_join(F.transform(F.split(value, ","), lambda x: one(x, kind)), ","), F.lit("]")) if many else one(value, kind)
 
-
-def _declared(types: dict[str, tuple[str, str]], key: Column) -> tuple[Column, Column]:
-    if not types:
-        return F.lit("1"), F.lit("String")
-    pick = lambda i: F.element_at(F.create_map(*[F.lit(v) for k, t in types.items() for v in (k, t[i])]), key)
-    return F.coalesce(pick(0), F.lit("1")), F.coalesce(pick(1), F.lit("String"))
+    kinds.pop((False, "String"), None)  # as what isn't declared
+    out = None
+    for (many, kind), keys in kinds.items():
+        out = (F if out is None else out).when(key.isin(*keys), spelled(many, kind))
+    return spelled(False, "String") if out is None else out.otherwise(spelled(False, "String"))
 
 
 def _json_object(entries: Column) -> Column:
     """JSON of an array of (key, value text), keys in order."""
-    fields = F.transform(F.array_sort(entries), lambda e: F.concat(_json_string(e["key"]), F.lit(":"), e["value"]))
+    fields = F.transform(F.sort_array(entries), lambda e: F.concat(_json_string(e["key"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
 
 def info_json(info: Column, types: dict[str, tuple[str, str]]) -> Column:
     """INFO as a JSON object; a key without a value, and a flag, is true; ``.`` is the empty object."""
     items = F.filter(F.split(info, ";"), lambda x: (x != "") & (x != "."))
-
-    def entry(x: Column) -> Column:
-        key = F.substring_index(x, "=", 1)
-        value = F.when(F.instr(x, "=") == 0, F.lit("true")).otherwise(_json_value(F.substring(x, F.instr(x, "=") + 1, F.length(x)), *_declared(types, key)))
-        return F.struct(key.alias("key"), value.alias("value"))
-
-    return _json_object(F.transform(items, entry))
+    # Cut first, so that keys and values are variables that are worked out once.
+    cut = F.transform(items, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("text")))
+    value = lambda e: F.when(e["text"].isNull(), F.lit("true")).otherwise(_json_value(e["text"], e["key"], types))
+    return _json_object(F.transform(cut, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))))
 
 
 def sample_value(keys: Column, values: Column, key: str) -> Column:
@@ -199,7 +198,7 @@ def format_extra(keys: Column, values: Column, types: dict[str, tuple[str, str]]
     rest = F.filter(pairs, lambda e: ~e["key"].isin("GT", "DP", "GQ") & (e["value"] != "."))
 
     def spelled(found: Column) -> Column:
-        entries = F.transform(found, lambda e: F.struct(e["key"].alias("key"), _json_value(e["value"], *_declared(types, e["key"])).alias("value")))
+        entries = F.transform(found, lambda e: F.struct(e["key"].alias("key"), _json_value(e["value"], e["key"], types).alias("value")))
         return F.when(F.size(found) > 0, _json_object(entries))
 
     return F.get(F.transform(F.array(rest), spelled), F.lit(0))

@@ -15,3 +15,29 @@ def test_a_filter_on_annotated_lines_does_not_annotate_again(spark):
 
     # One for the IDs and one for the ALT alleles, in either half of the query.
     assert _plan(catalogue.annotate_malformed(spark, SF)).count("array_join(") <= 4
+
+
+def test_keys_of_info_are_cut_once(spark):
+    """Each number and type, missing values, undeclared keys, what isn't a number, a flag with a value."""
+    from locuskey.sources import vcf
+
+    types = {"DP": ("1", "Integer"), "AF": ("A", "Float"), "DB": ("0", "Flag"), "N": ("1", "String"), "S": (".", "String"), "I": ("2", "Integer"), "Q": ("1", "Float")}
+    cases = {
+        "DP=3;AF=0.5,.,x;DB": '{"AF":[0.5,null,null],"DB":true,"DP":3}',
+        "DP=x;N=a b;S=a,.,\"": '{"DP":null,"N":"a b","S":["a",null,"\\""]}',
+        "Z=1,2;I=1,.,2x;Q=1e3;Y;DB=0": '{"DB":true,"I":[1,null,null],"Q":1000.0,"Y":true,"Z":"1,2"}',
+        ".": "{}",
+        "N=;;B=.": '{"B":null,"N":""}',
+    }
+    e = vcf.info_json(F.col("i"), types)
+    found = spark.createDataFrame([(x,) for x in cases], "i string").select("i", e.alias("j"), vcf.info_json(F.col("i"), {}).alias("plain")).collect()
+    assert {r.i: r.j for r in found} == cases
+    assert found[0].plain == '{"AF":"0.5,.,x","DB":true,"DP":"3"}'
+    assert str(e).count("substring_index") == 1
+
+
+def test_carriage_returns_are_cut_where_there_are_any(spark):
+    from locuskey.sources.bgzf import without_returns
+
+    found = spark.createDataFrame([("a\r\rb\r\r",), ("a\rb",), ("\r",), ("",), (None,)], "t string").select(without_returns("t").alias("t")).collect()
+    assert [r.t for r in found] == ["a\r\rb", "a\rb", "", "", None]
