@@ -29,7 +29,7 @@ HEADER = [
 def stored_file(spark: SparkSession, sf_dir: str, name: str) -> str:
     """The path of a file with a line for each order line, BGZF by its name."""
     path = f"{inputs.shared_path(spark, 'vcf')}.{name}"
-    write_file(inputs.vcf_lines(spark, sf_dir), HEADER, path, ("row",), compress=name.endswith("gz"))
+    write_file(inputs.vcf_lines(spark, sf_dir), HEADER, path, ("row",), spread=inputs.ROW_VALUES, compress=name.endswith("gz"))
     return path
 
 

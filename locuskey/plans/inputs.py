@@ -150,6 +150,8 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Between which the column ``row`` of ``vcf_lines`` lies evenly: hashes of 32 bits.
+ROW_VALUES = (-(1 << 31), (1 << 31) - 1)
 #: Declared fields of ``vcf_lines``.
 INFO_TYPES = {"DP": ("1", "Integer"), "AF": ("A", "Float"), "DB": ("0", "Flag")}
 FORMAT_TYPES = {"GT": ("1", "String"), "DP": ("1", "Integer"), "GQ": ("1", "Integer"), "AD": ("R", "Integer")}

@@ -284,13 +284,14 @@ class Written:
     counts: dict[str, int]
 
 
-def write_file(lines: DataFrame, header: list[str], path: str, order: tuple[str, ...] = ("block", "row"), compress: bool = False, extent: int | None = None, in_order: bool = False, count: dict | None = None, part_bytes: int = PART_BYTES) -> Written:
+def write_file(lines: DataFrame, header: list[str], path: str, order: tuple[str, ...] = ("block", "row"), compress: bool = False, extent: int | None = None, spread: tuple[int, int] | None = None, in_order: bool = False, count: dict | None = None, part_bytes: int = PART_BYTES) -> Written:
     """Writes header and lines in order to a file on any file system that Spark writes to; no line goes through the driver.
 
     Tasks write parts, in BGZF whole blocks and an empty block after each few, so parts joined are one file. A local file system copies them
     together, others concatenate them if they can; where they can't, ``path`` is a folder with the parts and ``_manifest.json``, which lists them in order.
     The lines are worked out once. ``in_order``: lines as they were read from one plain file, a range of it in each partition, so nothing is shuffled. Otherwise lines are dealt by ranges of
-    ``order``; with ``extent``, above all values of its first column, by equal ranges of that, for which nothing is sampled. ``count`` has names
+    ``order``; with ``extent``, above all values of its first column, by equal ranges of that, for which nothing is sampled, so that no line is made twice. ``spread``, the least
+    and the greatest value of a first column that lies evenly between them, such as a hash, does the same, with as many ranges as a shuffle has partitions. ``count`` has names
     and aggregates of further columns to observe; ``n`` is the number of lines. A file that is there is replaced.
     """
     spark = lines.sparkSession
@@ -308,6 +309,11 @@ def write_file(lines: DataFrame, header: list[str], path: str, order: tuple[str,
         n = int(min(max(-(-extent // part_bytes), 1), 1 << 15))
         number = F.least(F.floor(F.col(order[0]) * n / max(extent, 1)), F.lit(n - 1)).cast("int")
         placed = lines.repartitionById(n, number).sortWithinPartitions(*order)
+    elif spread is not None:
+        low, high = spread
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        number = F.floor((F.col(order[0]) - low) / (high - low + 1) * n).cast("int")
+        placed = lines.repartitionById(n, F.greatest(F.least(number, F.lit(n - 1)), F.lit(0))).sortWithinPartitions(*order)
     else:
         placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     text = placed.observe(seen, *measures).select("value")
@@ -326,7 +332,7 @@ def write_file(lines: DataFrame, header: list[str], path: str, order: tuple[str,
         if any(len(x) > 1 for x in starts.values()) or len({min(x) for x in starts.values()}) < len(starts):
             # Several ranges in a partition, or one in several: the parts aren't in order.
             fs.delete(folder, True)
-            return write_file(lines, header, path, order, compress, extent, False, count, part_bytes)
+            return write_file(lines, header, path, order, compress, extent, spread, False, count, part_bytes)
         parts = [names[p] for p in sorted(names, key=lambda p: min(starts[p]))]
     else:
         parts = [names[p] for p in sorted(names)]

@@ -36,6 +36,34 @@ def test_keys_of_info_are_cut_once(spark):
     assert str(e).count("substring_index") == 1
 
 
+def test_written_lines_are_made_once(spark, tmp_path):
+    from locuskey.sources.bgzf import write_file
+    from locuskey.sources.vcf import data_lines, read_lines
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame.assign(value=["line%d" % x for x in frame["id"]])[["value", "row"]]
+
+    rows = spark.range(3000).select("id", F.hash("id").cast("long").alias("row"))
+    lines = rows.mapInPandas(make, "value string, row long")
+    for name in ("a.vcf", "a.vcf.gz"):
+        path, before = str(tmp_path / name), made.value
+        write_file(lines, ["#h"], path, ("row",), spread=(-(1 << 31), (1 << 31) - 1), compress=name.endswith("gz"))
+        assert made.value - before == 3000
+        got = data_lines(read_lines(spark, path, name.endswith("gz"))).orderBy("block", "row").collect()
+        assert [r.value for r in got] == [f"line{r.id}" for r in rows.orderBy("row").collect()]
+
+
+def test_stored_files_are_not_sampled(spark, monkeypatch):
+    from locuskey.plans import files
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", None)
+    files.stored_file(spark, SF, "vcf")
+
+
 def test_carriage_returns_are_cut_where_there_are_any(spark):
     from locuskey.sources.bgzf import without_returns
 
