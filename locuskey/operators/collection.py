@@ -146,16 +146,14 @@ class Collection:
         header, zipped = read_header(self.spark, source)
         prefix = prefix_of(source)
         types = header.types
-        found = variants(read_lines(self.spark, source, zipped), header.scheme(), code).persist()
-        try:
-            order = ["block", "row", "allele"]
-            new = found.select("key", "lin", "asm", "qual", "filter", info_json(F.col("info"), types["INFO"]).alias("info"), "multiallelic", *order).withColumn("source", F.lit(prefix))
-            self.add_sites(new, order, prefix)
-            if header.samples:
-                calls = genotypes(found, header.samples, types["FORMAT"]).withColumn("source", F.lit(prefix))
-                self._append(self.genotypes.where(F.col("source") == prefix), calls, ["source", "sample", "key"], order)
-        finally:
-            found.unpersist()
+        # Worked out for either table: that costs less than to keep every record's fields and read them twice.
+        found = variants(read_lines(self.spark, source, zipped), header.scheme(), code)
+        order = ["block", "row", "allele"]
+        new = found.select("key", "lin", "asm", "qual", "filter", info_json(F.col("info"), types["INFO"]).alias("info"), "multiallelic", *order).withColumn("source", F.lit(prefix))
+        self.add_sites(new, order, prefix)
+        if header.samples:
+            calls = genotypes(found, header.samples, types["FORMAT"]).withColumn("source", F.lit(prefix))
+            self._append(self.genotypes.where(F.col("source") == prefix), calls, ["source", "sample", "key"], order)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         common = (header.text, *(header.definitions_json(k) for k in ("INFO", "FORMAT", "contig")), now)
         rows = [(f"{prefix}__sites", "sites", source, None, *common)] + [(f"{prefix}__{s}", "sample", source, s, *common) for s in header.samples]

@@ -69,3 +69,10 @@ def test_carriage_returns_are_cut_where_there_are_any(spark):
 
     found = spark.createDataFrame([("a\r\rb\r\r",), ("a\rb",), ("\r",), ("",), (None,)], "t string").select(without_returns("t").alias("t")).collect()
     assert [r.t for r in found] == ["a\r\rb", "a\rb", "", "", None]
+
+
+def test_an_added_file_is_kept_nowhere_else(spark, monkeypatch):
+    from locuskey.plans import files
+
+    monkeypatch.setattr(DataFrame, "persist", None)
+    assert files.add_vcf_file(spark, SF).count()
