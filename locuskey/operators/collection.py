@@ -34,13 +34,14 @@ FILES = 2
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``: an aggregate, so that a task passes one row per key on."""
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    # The last key varies most: rows are sorted by its first bytes, not by those of a name that all have.
+    best = rows.groupBy(*reversed(keys)).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col("_best").getField(c).alias(c) for c in rows.columns])
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` to be appended: the first of each key that ``existing`` does not have."""
-    return first_of_each(new, keys, order).join(existing.select(*keys), keys, "left_anti")
+    return first_of_each(new, keys, order).join(existing.select(*keys), keys[::-1], "left_anti").select(*new.columns)
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

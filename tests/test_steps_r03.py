@@ -76,3 +76,13 @@ def test_an_added_file_is_kept_nowhere_else(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "persist", None)
     assert files.add_vcf_file(spark, SF).count()
+
+
+def test_firsts_are_sorted_by_the_key_that_varies(spark):
+    from locuskey.operators.collection import insert_or_ignore
+
+    rows = spark.createDataFrame([("f", "k1", 2, "b"), ("f", "k1", 1, "a"), ("f", "k2", 1, "c"), ("g", "k1", 5, "d"), (None, "k1", 1, "n")], "source string, key string, row int, x string")
+    fresh = insert_or_ignore(rows.where("key = 'k2'"), rows, ["source", "key"], ["row"])
+    assert fresh.columns == rows.columns
+    assert {tuple(r) for r in fresh.collect()} == {("f", "k1", 1, "a"), ("g", "k1", 5, "d"), (None, "k1", 1, "n")}
+    assert "Aggregate [key#" in _plan(fresh)
