@@ -19,6 +19,8 @@ from locuskey.llm.substring_dedup import remove_repeated_windows
 
 #: Documents of which the language model is less sure are rejected, and those without letters.
 LEAST_SURE = 0.5
+#: Words that a packing worker remembers, and bytes of text that it cuts at once: less than where packing is alone, since executors have grown in the stages before.
+REMEMBERED, CHUNK_BYTES = 3 << 16, 3 << 18
 
 
 def _nested(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids, and their places in sequences of 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED, chunk_bytes=CHUNK_BYTES)
 
 
 STAGES = [

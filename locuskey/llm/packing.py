@@ -26,7 +26,7 @@ GROUP_PIECES = 4096
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 3 << 18
 #: Bytes of text that are cut into words at once: more of them repeat in more.
-_CHUNK = 3 << 20
+CHUNK_BYTES = 3 << 20
 # The pattern that cuts text into what the model sees, and the normalizers beside it, for which the short ways of WordIds hold.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -46,11 +46,11 @@ class WordIds:
     in lower case straight to the model.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         apart = [i for x in self._encode(_PROBE) for i in x]
         if any(x != apart for x in self._encode([gap.join(_PROBE) for gap in (" ", "\t", "\n  ")])):
             raise ValueError(f"{path}: white space changes the ids of words")
@@ -111,7 +111,7 @@ class WordIds:
         if not len(words.hashes):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         sample, which = distinct_runs(words.bytes, words.starts, words.ends, words.hashes)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._clear()
         raw = words.bytes.tobytes()
         texts = [raw[s:e] for s, e in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), strict=True)]
@@ -131,17 +131,17 @@ class WordIds:
         return self.flat[take], np.concatenate([[0], ends])
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
-def _pieces(path: str, end_id: int, length: int):
+def _pieces(path: str, end_id: int, length: int, remembered: int = REMEMBERED, chunk_bytes: int = CHUNK_BYTES):
     def run(batches):
-        encoder = _encoders.get(path)
+        encoder = _encoders.get((path, remembered))
         if encoder is None:
-            encoder = _encoders[path] = WordIds(path)
+            encoder = _encoders[path, remembered] = WordIds(path, remembered)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in chunks(data, offsets, _CHUNK):
+            for a, b in chunks(data, offsets, chunk_bytes):
                 words = Words(data, offsets[a : b + 1], marks=encoder.marks)
                 ids, begins = encoder.ids(words)
                 edges = begins[words.first]
@@ -231,7 +231,7 @@ def _pack_group(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES, remembered: int = REMEMBERED, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pieces of documents and their places: id, start, length, ids_crc32 (of the packed ids), doc_tokens, ids, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizers file, the same on all executors. A document is its ids
@@ -239,13 +239,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     in one piece, and pieces lie in a sequence without gaps or overlap, ``length`` ids at most; what
     a sequence lacks is padding. Repeated rows are packed as often as they come. Ties in length go by a
     hash of the id and the start. Other columns are not returned.
+
+    ``remembered`` words and ``chunk_bytes`` of text bound a worker's memory; fewer cost time and change no result.
     """
     spark = docs.sparkSession
     send_package(spark)
     tables = Tables(spark)
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
-    pieces = tables.write(own.mapInArrow(_pieces(tokenizer, end_id, length), f"_id {kind}, start long, _sum long, doc_tokens long, ids array<int>"), "pieces")
+    pieces = tables.write(own.mapInArrow(_pieces(tokenizer, end_id, length, remembered, chunk_bytes), f"_id {kind}, start long, _sum long, doc_tokens long, ids array<int>"), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("_tie", F.xxhash64("_id", "_sum")).withColumn("_group", F.pmod(F.xxhash64("_tie", "start", F.lit(11)), F.lit(groups))).drop("_sum")
     fields = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, sequence_id long, offset long"
