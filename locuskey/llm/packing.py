@@ -32,6 +32,10 @@ _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: Marks that may be cut off a word's end: ASCII, but for the apostrophe and what special tokens are written with.
 _MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+#: Words of ASCII letters and of those of U+00C0 to U+00FF.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: How ByteLevel writes the bytes of such letters that are no printing characters in Latin-1.
+_BYTES = {128 + i: 290 + i for i in range(33)} | {173: 323}
 _PROBE = ["Aa", "b1", "c.", "Ünï", "東京", "x_y"]
 
 
@@ -42,8 +46,8 @@ class WordIds:
     that drop white space; others are refused. Words count as the same if their bytes are.
 
     Where the tokenizer lower-cases and cuts letters from marks by the one pattern known here, two short ways give
-    the same ids: marks at a word's end are a word of their own, and words of ASCII letters alone go
-    in lower case straight to the model.
+    the same ids: marks at a word's end are a word of their own, and words of the letters A to Z and U+00C0 to
+    U+00FF alone, which no normalizer but the lower case changes, go in lower case straight to the model.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -79,7 +83,7 @@ class WordIds:
             and not cuts[1]["use_regex"]
             and spec["model"]["type"] == "BPE"
             and not spec["model"]["dropout"]
-            and not any(t.isalpha() or re.search(rb"[A-Za-z][" + re.escape(_MARKS) + rb"]", t) for t in special)
+            and not any(not t.isascii() or t.isalpha() or re.search(rb"[A-Za-z][" + re.escape(_MARKS) + rb"]", t) for t in special)
         )
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -89,41 +93,71 @@ class WordIds:
         if not self.short:
             return self._encode([w.decode("utf-8", "replace") for w in words])
         model = self.tokenizer.model
-        others = iter(self._encode([w.decode("utf-8", "replace") for w in words if not w.isalpha()]))
-        return [[t.id for t in model.tokenize(w.decode())] if w.isalpha() else next(others) for w in words]
+        plain = [w.lower().decode() if w.isalpha() else w.decode().lower().encode().decode("latin-1").translate(_BYTES) if _LETTERS.fullmatch(w) else None for w in words]
+        others = iter(self._encode([w.decode("utf-8", "replace") for w, t in zip(words, plain, strict=True) if t is None]))
+        return [[x.id for x in model.tokenize(t)] if t is not None else next(others) for t in plain]
 
     def _clear(self):
-        self.known: dict[bytes, int] = {}
+        self.n = 0
+        # Of each known word: where its ids and its bytes begin. The hashes in order point to words.
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.used = 0
+        self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        self.hashes, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def _add(self, found: list[list[int]]):
-        """Ids of new words behind the others; the arrays grow by doubling."""
-        n, ends = len(self.known), np.cumsum(list(map(len, found))) + self.used
+    @staticmethod
+    def _append(ends: np.ndarray, values: np.ndarray, n: int, sizes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ``values`` behind the first ``n``; the arrays grow by doubling."""
         grow = lambda x, size: x if size <= len(x) else np.concatenate([x, np.zeros(size, x.dtype)])
-        self.begin, self.flat = grow(self.begin, n + 1), grow(self.flat, int(ends[-1]))
-        self.begin[n - len(found) + 1 : n + 1] = ends
-        self.flat[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) - self.used)
-        self.used = int(ends[-1])
+        used = int(ends[n])
+        ends, values = grow(ends, n + 1 + len(sizes)), grow(values, used + len(more))
+        ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        values[used : used + len(more)] = more
+        return ends, values
+
+    def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the known word that each word is or -1, which hashes are known): by hash, and the bytes are compared."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit, word, size = self.hashes[at] == hashes, self.word[at], ends - starts
+        same = hit & (size == self.text_at[word + 1] - self.text_at[word])
+        rows = np.flatnonzero(same)
+        for a, b in chunks(np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(size[rows])])):
+            part, count = rows[a:b], size[rows[a:b]]
+            spot = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            differ = data[np.repeat(starts[part], count) + spot] != self.text[np.repeat(self.text_at[word[part]], count) + spot]
+            if differ.any():
+                same[np.repeat(part, count)[differ]] = False
+        return np.where(same, word, -1), hit
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, known: np.ndarray):
+        """New words; those whose hash is another word's have ids but are not found again."""
+        raw = data.tobytes()
+        texts = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = self._encode_words(texts)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begin, self.flat = self._append(self.begin, self.flat, self.n, counts, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())))
+        self.text_at, self.text = self._append(self.text_at, self.text, self.n, ends - starts, np.frombuffer(b"".join(texts), np.uint8))
+        fresh = np.flatnonzero(~known)
+        values, first = np.unique(hashes[fresh], return_index=True)
+        spot = np.searchsorted(self.hashes, values)
+        self.hashes, self.word = np.insert(self.hashes, spot, values), np.insert(self.word, spot, self.n + fresh[first])
+        self.n += len(texts)
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each word's begin (one entry more)."""
         if not len(words.hashes):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         sample, which = distinct_runs(words.bytes, words.starts, words.ends, words.hashes)
-        if len(self.known) > self.remembered:
+        if self.n > self.remembered:
             self._clear()
-        raw = words.bytes.tobytes()
-        texts = [raw[s:e] for s, e in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), strict=True)]
-        if self.short:
-            texts = [t.lower() if t.isalpha() else t for t in texts]
-        found = list(map(self.known.get, texts))
-        new = list(dict.fromkeys(t for t, i in zip(texts, found, strict=True) if i is None))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self._add(self._encode_words(new))
-            found = list(map(self.known.get, texts))
-        at = np.array(found, np.int64)[which]
+        starts, ends, hashes = words.starts[sample], words.ends[sample], words.hashes[sample]
+        found, known = self._find(words.bytes, starts, ends, hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self.n + np.arange(len(new))
+            self._learn(words.bytes, starts[new], ends[new], hashes[new], known[new])
+        at = found[which]
         begin = self.begin[at]
         count = self.begin[at + 1] - begin
         ends = np.cumsum(count)
