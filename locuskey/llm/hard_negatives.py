@@ -5,6 +5,9 @@ Vectors get one more component that makes all lengths equal, so that the greates
 a query at distance d from a pivot a row at distance k is |d - k| away at least, so the intervals round d hold the near rows. A round scans some intervals more, those that
 may hold the best scores, and a query ends when what no unscanned interval can hold is better than its k-th best. Queries go in packs: a pack meets a block in one product
 of matrices.
+
+Queries are dealt to tasks. A task takes its packs through all rounds of both searches and reads the stored blocks itself, one after the other, so no pack is sent to a
+block, no round is a job, and neither the driver nor a shuffle holds anything that grows with packs times blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuskey.llm.scratch import Tables, blocks_for, send_package, tasks_for
@@ -24,8 +27,10 @@ SAMPLE = 4096
 PIVOTS = 32
 #: Rows of a stored block, and queries of a pack.
 BLOCK, PACK = 1024, 128
-#: Stored partitions at most, each with an interval for every pivot in it: this bounds the list of intervals, PIVOTS more.
-PARTITIONS = 1 << 14
+#: Stored partitions at most, each with an interval for every pivot in it: this bounds the list of intervals, PIVOTS more, and the driver's sample of keys.
+PARTITIONS = 1 << 11
+#: Queries that a task takes through the blocks at once, and blocks that it reads at once.
+TOGETHER, READ = 1 << 13, 16
 #: Intervals that a pack's first round scans; each further round scans so many times more.
 FIRST, MORE = 16, 4
 #: Rows whose squared length reaches this have no 64-bit scores.
@@ -44,6 +49,11 @@ class _Space:
     pivot: np.ndarray | None = None
     least: np.ndarray | None = None
     most: np.ndarray | None = None
+    #: Where the blocks are stored, and in which of the files each interval is.
+    folder: str = ""
+    files: list[list[str]] | None = None
+    first: int = FIRST
+    more: int = MORE
 
     @property
     def work(self) -> type:
@@ -163,11 +173,6 @@ def _store(dim: int):
     return run
 
 
-#: A pack: its queries, for each query and slot bounds of the scores and the best found so far (scores, ids), the intervals scanned, and those to scan next.
-_STATE = pa.schema([(c, pa.binary()) for c in ("ids", "labels", "xs", "low", "high", "scores", "found", "positives", "positive_scores", "scanned")] + [("slots", pa.int32()), ("best", pa.int32()), ("next", pa.list_(pa.int64()))])
-_STATE_DDL = "ids binary, labels binary, xs binary, low binary, high binary, scores binary, found binary, positives binary, positive_scores binary, scanned binary, slots int, best int, next array<long>"
-
-
 class _Pack:
     """A pack of queries with its slots."""
 
@@ -175,19 +180,15 @@ class _Pack:
         self.ids, self.labels, self.x, self.low, self.high, self.best = ids, labels, x, low, high, best
         self.scores = np.full((*low.shape, best), _NONE, np.int64)
         self.found = np.zeros((*low.shape, best), np.int64)
-        self.positives = np.zeros(0, np.int64) if positives is None else positives
-        self.positive_scores = np.zeros(0, np.int64) if positive_scores is None else positive_scores
+        self.positives, self.positive_scores = positives, positive_scores
         self.scanned = None
+        self.held: list[tuple] = []
 
-    @classmethod
-    def of(cls, row: dict, dim: int) -> _Pack:
-        get = lambda c: np.frombuffer(row[c], np.int64)
-        ids, slots, best = get("ids"), row["slots"], row["best"]
-        shape = (len(ids), slots)
-        out = cls(ids, get("labels"), _unpacked(row["xs"], len(ids), dim), get("low").reshape(shape), get("high").reshape(shape), best, get("positives"), get("positive_scores"))
-        out.scores, out.found = get("scores").reshape(*shape, best).copy(), get("found").reshape(*shape, best).copy()
-        out.scanned = np.frombuffer(row["scanned"], np.uint8)
-        return out
+    def settle(self) -> None:
+        """Takes in what scans have found."""
+        if self.held:
+            self.take(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+            self.held = []
 
     def take(self, place: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
         """Adds found rows, place being query * slots + slot, and keeps the best."""
@@ -212,7 +213,7 @@ class _Pack:
     def choose(self, space: _Space) -> list[int]:
         """The numbers of the intervals to scan next, marked as scanned: those that may hold the best scores first. None are left when every slot's best are certain."""
         n = len(space.name)
-        scanned = np.unpackbits(self.scanned, count=n).astype(bool) if self.scanned is not None else np.zeros(n, bool)
+        scanned = self.scanned if self.scanned is not None else np.zeros(n, bool)
         norm = (self.x.astype(np.float64) ** 2).sum(1)
         d = space.distances(self.x, np.zeros(len(self.ids)))
         slack = 1e-6 * np.sqrt(space.longest) + 1e-9
@@ -231,137 +232,116 @@ class _Pack:
                     promise = np.where(may, np.maximum(promise, np.minimum(top, high[q, s])), promise)
         promise[scanned] = -np.inf
         left = np.flatnonzero(promise > -np.inf)
-        rounds = FIRST if not scanned.any() else MORE * int(scanned.sum())
+        rounds = space.first if not scanned.any() else space.more * int(scanned.sum())
         pick = left[np.lexsort([left, -promise[left]])[:rounds]]
         scanned[pick] = True
-        self.scanned = np.packbits(scanned)
-        return space.name[pick].tolist()
-
-    def row(self, next_: list[int]) -> list:
-        n, slots = self.low.shape
-        arrays = [self.ids, self.labels, None, self.low, self.high, self.scores, self.found, self.positives, self.positive_scores, self.scanned]
-        return [_packed(self.x) if a is None else np.ascontiguousarray(a).tobytes() for a in arrays] + [slots, self.best, next_]
-
-
-def _states(rows: list[list]) -> list[pa.Array]:
-    return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_STATE)]
-
-
-def _begin(space: _Space, best: int):
-    """Packs of sorted anchors that look for the best rows of their own label."""
-
-    def run(batches):
-        for ids, labels, _, _, x in _runs(batches, PACK, space.dim, False):
-            shape = (len(ids), 1)
-            pack = _Pack(ids, labels, x, np.full(shape, _NONE), np.full(shape, -_NONE - 1), best)
-            yield pa.RecordBatch.from_arrays(_states([pack.row(pack.choose(space))]), schema=_STATE)
-
-    return run
-
-
-def _further(space: _Space, best: int, low: tuple[int, int], high: tuple[int, int]):
-    """The same packs, with a slot for each positive that bounds the negatives' scores."""
+        self.scanned = scanned
+        return pick.tolist()
+
+    def scan(self, space: _Space, same: bool, own: np.ndarray, kinds: np.ndarray, x: np.ndarray) -> None:
+        """Holds what a block has that may be among the best of the slots."""
+        score = self.x.astype(space.work) @ x.T
+        apt = None
+        k = self.best
+        least = self.least().astype(space.work)
+        high = self.high.astype(space.work)
+        for s in range(self.low.shape[1]):
+            ok = (score >= least[:, s : s + 1]) & (score <= high[:, s : s + 1])
+            many = np.count_nonzero(ok)
+            if not many:
+                continue
+            if many > k * len(ok):
+                if apt is None:
+                    apt = ((self.labels[:, None] == kinds) == same) & (self.ids[:, None] != own)
+                ok &= apt
+                if len(own) > k:
+                    edge = np.partition(np.where(ok, score, space.work(-space.longest - 1)), len(own) - k, axis=1)[:, len(own) - k]
+                    ok &= score >= edge[:, None]
+            row, at = np.nonzero(ok)
+            fit = ((self.labels[row] == kinds[at]) == same) & (self.ids[row] != own[at])
+            row, at = row[fit], at[fit]
+            if len(row):
+                self.held.append((row * self.low.shape[1] + s, score[row, at].astype(np.int64), own[at]))
+        # Taken in before they are many: the lowest score that counts rises with each.
+        if sum(len(h[0]) for h in self.held) > k * self.low.size // 4:
+            self.settle()
+
+    def further(self, best: int, low: tuple[int, int], high: tuple[int, int]) -> _Pack:
+        """The same queries, with a slot for each positive that bounds the negatives' scores."""
+        positive, score = self.found[:, 0, :], self.scores[:, 0, :]
+        exact = score.astype(object)
+        there = score != _NONE
+        bottom = np.where(there, -(-low[0] * exact // low[1]), 1).astype(np.int64)
+        top = np.where(there, high[0] * exact // high[1], 0).astype(np.int64)
+        return _Pack(self.ids, self.labels, self.x, bottom, top, best, positive, score)
+
+
+def _packed_queries(dim: int):
+    """Packs of sorted anchors."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                old = _Pack.of(r, space.dim)
-                positive, score = old.found[:, 0, :], old.scores[:, 0, :]
-                exact = score.astype(object)
-                there = score != _NONE
-                bottom = np.where(there, -(-low[0] * exact // low[1]), 1).astype(np.int64)
-                top = np.where(there, high[0] * exact // high[1], 0).astype(np.int64)
-                pack = _Pack(old.ids, old.labels, old.x, bottom, top, best, positive, score)
-                out.append(pack.row(pack.choose(space)))
-            yield pa.RecordBatch.from_arrays([batch.column("pack"), *_states(out)], names=["pack", *_STATE.names])
+        for ids, labels, _, _, x in _runs(batches, PACK, dim, False):
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([labels.tobytes()]), pa.array([_packed(x)])], names=["ids", "labels", "xs"])
 
     return run
 
 
-def _scan(space: _Space, same: bool):
-    """What a block holds that may be among the best of a pack's slots."""
+def _search(packs: list[_Pack], space: _Space, same: bool) -> None:
+    """Rounds of scans until no pack has an interval left that could better its slots."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, top = fs.FileSystem.from_uri(space.folder)
+    while True:
+        wanted: dict[int, list[_Pack]] = {}
+        for pack in packs:
+            for i in pack.choose(space):
+                wanted.setdefault(int(space.name[i]), []).append(pack)
+        if not wanted:
+            return
+        for name in sorted({f for n, own in zip(space.name.tolist(), space.files, strict=True) if n in wanted for f in own}):
+            with store.open_input_file(f"{top}/{name}") as f:
+                for batch in pq.ParquetFile(f).iter_batches(READ, columns=["interval", "ids", "labels", "xs"], use_threads=False):
+                    for i, interval in enumerate(batch.column("interval").to_pylist()):
+                        if interval in wanted:
+                            own, kinds = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("ids", "labels"))
+                            x = _unpacked(batch.column("xs")[i].as_buffer(), len(own), space.dim).astype(space.work)
+                            for pack in wanted[interval]:
+                                pack.scan(space, same, own, kinds, x)
+        for pack in packs:
+            pack.settle()
+
+
+def _find(space: _Space, positives: int, negatives: int, low: tuple[int, int], high: tuple[int, int]):
+    """A task's packs through both searches: the best rows of their own label, then those of other labels within the bounds that the first set."""
+
+    def answers(packs: list[_Pack]):
+        _search(packs, space, True)
+        packs = [p.further(negatives, low, high) for p in packs]
+        _search(packs, space, False)
+        for p in packs:
+            q, s, rank = np.nonzero(p.scores != _NONE)
+            columns = [p.ids[q], p.positives[q, s], rank + 1, p.found[q, s, rank], p.positive_scores[q, s], p.scores[q, s, rank]]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"])
 
     def run(batches):
+        packs = []
         for batch in batches:
             for r in batch.to_pylist():
                 ids, labels = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64)
-                own, kinds = np.frombuffer(r["block_ids"], np.int64), np.frombuffer(r["block_labels"], np.int64)
-                slots = r["slots"]
-                low, high = (np.frombuffer(r[c], np.int64).reshape(len(ids), slots) for c in ("least", "high"))
-                q, x = _unpacked(r["xs"], len(ids), space.dim).astype(space.work), _unpacked(r["block_xs"], len(own), space.dim).astype(space.work)
-                score = (q @ x.T).astype(np.int64)
-                apt = ((labels[:, None] == kinds) == same) & (ids[:, None] != own)
-                k = r["best"]
-                for s in range(slots):
-                    ok = apt & (score >= low[:, s : s + 1]) & (score <= high[:, s : s + 1])
-                    if not ok.any():
-                        continue
-                    if len(own) > k:
-                        edge = np.partition(np.where(ok, score, _NONE), len(own) - k, axis=1)[:, len(own) - k]
-                        ok &= score >= edge[:, None]
-                    row, at = np.nonzero(ok)
-                    value, name = score[row, at], own[at]
-                    order = np.lexsort([name, -value, row])
-                    row, value, name = row[order], value[order], name[order]
-                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, value, name = row[first], value[first], name[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r["pack"]), pa.int64()), pa.array(row * slots + s, pa.int32()), pa.array(value, pa.int64()), pa.array(name, pa.int64())], names=["pack", "place", "score", "found_id"])
+                shape = (len(ids), 1)
+                packs.append(_Pack(ids, labels, _unpacked(r["xs"], len(ids), space.dim), np.full(shape, _NONE), np.full(shape, -_NONE - 1), positives))
+                if len(packs) * PACK >= TOGETHER:
+                    yield from answers(packs)
+                    packs = []
+        if packs:
+            yield from answers(packs)
         give_back()
 
     return run
 
 
-def _merge(space: _Space):
-    def run(state, found):
-        r = state.to_pylist()[0]
-        pack = _Pack.of(r, space.dim)
-        get = lambda c: found.column(c).to_numpy().astype(np.int64)
-        pack.take(get("place"), get("score"), get("found_id"))
-        return pa.Table.from_arrays([state.column("pack"), *_states([pack.row(pack.choose(space))])], names=["pack", *_STATE.names])
-
-    return run
-
-
-def _with_least(dim: int):
-    def run(batches):
-        for batch in batches:
-            least = [_Pack.of(r, dim).least().tobytes() for r in batch.to_pylist()]
-            keep = ["pack", "ids", "labels", "xs", "high", "slots", "best", "next"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(least, pa.binary())], names=[*keep, "least"])
-
-    return run
-
-
-def _search(state: DataFrame, blocks: DataFrame, space: _Space, same: bool, most: int, tables: Tables) -> DataFrame:
-    """Rounds of scans until no pack has an interval left that could better its slots, each of ``most`` rows."""
-    stored = blocks.select("interval", F.col("ids").alias("block_ids"), F.col("labels").alias("block_labels"), F.col("xs").alias("block_xs"))
-    first = Window.partitionBy("pack", "place").orderBy(F.desc("score"), "found_id")
-    while not state.where("size(next) > 0").isEmpty():
-        asking = state.where("size(next) > 0").mapInArrow(_with_least(space.dim), "pack long, ids binary, labels binary, xs binary, high binary, slots int, best int, next array<long>, least binary")
-        pairs = asking.select("pack", "ids", "labels", "xs", "high", "least", "slots", "best", F.explode("next").alias("interval")).join(stored, "interval")
-        found = pairs.mapInArrow(_scan(space, same), "pack long, place int, score long, found_id long")
-        best = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
-        after = tables.write(state.groupBy("pack").cogroup(best.groupBy("pack")).applyInArrow(_merge(space), f"pack long, {_STATE_DDL}"), "packs")
-        tables.drop(state)
-        state = after
-    return state
-
-
-def _result(dim: int):
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                pack = _Pack.of(r, dim)
-                q, s, rank = np.nonzero(pack.scores != _NONE)
-                shape = pack.low.shape
-                columns = [pack.ids[q], pack.positives.reshape(shape)[q, s], rank + 1, pack.found[q, s, rank], pack.positive_scores.reshape(shape)[q, s], pack.scores[q, s, rank]]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"])
-
-    return run
-
-
 def _pivots(x: np.ndarray, count: int) -> np.ndarray:
     """Means of groups of the sample, begun at rows that lie apart."""
     r = np.random.RandomState(11)
@@ -407,21 +387,23 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     keyed = tables.write(raw.mapInArrow(_assign(space, scale), _KEYED_DDL), "keyed")
 
     order = ["pivot", "distance", "id", "label", "x"]
+    # Dealt by what is short: the driver samples the keys of ranges.
+    dealt = order[:3]
     parts = min(tasks_for(blocks_for(keyed, BLOCK * 2 * dim * 4)), PARTITIONS)
-    placed = keyed.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = keyed.select(*order).repartitionByRange(parts, *dealt).sortWithinPartitions(*order)
     blocks = tables.write(placed.mapInArrow(_store(dim), "interval long, pivot int, least double, most double, ids binary, labels binary, xs binary"), "blocks")
-    listed = blocks.groupBy("interval").agg(F.first("pivot"), F.min("least"), F.max("most")).orderBy("interval").collect()
-    name, pivot, least, most = (np.array(c) for c in zip(*listed, strict=True))
-    space = _Space(dim, space.longest, space.pivots, name, pivot, least, most)
+    listed = blocks.select("interval", "pivot", "least", "most", F.col("_metadata.file_name").alias("file")).groupBy("interval").agg(F.first("pivot"), F.min("least"), F.max("most"), F.collect_set("file")).orderBy("interval").collect()
+    *columns, files = zip(*listed, strict=True)
+    name, pivot, least, most = (np.array(c) for c in columns)
+    space = _Space(dim, space.longest, space.pivots, name, pivot, least, most, tables.path_of(blocks), list(files), FIRST, MORE)
 
     asked = keyed.where("anchor").select(*order)
-    packs = max(1, -(-asked.count() // PACK))
-    ordered = asked.repartitionByRange(packs, *order).sortWithinPartitions(*order)
-    state = tables.write(ordered.mapInArrow(_begin(space, positives), _STATE_DDL).withColumn("pack", F.monotonically_increasing_id()).select("pack", *_STATE.names), "packs")
-    tables.drop(keyed)
-    state = _search(state, blocks, space, True, positives, tables)
-    after = tables.write(state.mapInArrow(_further(space, negatives, low, high), f"pack long, {_STATE_DDL}"), "packs")
-    tables.drop(state)
-    state = _search(after, blocks, space, False, negatives, tables)
-    tables.drop(blocks)
-    return state.mapInArrow(_result(dim), empty.schema)
+    n_asked = asked.count()
+    ordered = asked.repartitionByRange(min(max(1, -(-n_asked // PACK)), PARTITIONS), *dealt).sortWithinPartitions(*order)
+    packs = ordered.mapInArrow(_packed_queries(dim), "ids binary, labels binary, xs binary")
+    # Each task reads the blocks once a round for so many queries.
+    cores = spark.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-n_asked // (cores * TOGETHER)))
+    found = tables.write(packs.repartition(tasks).mapInArrow(_find(space, positives, negatives, low, high), empty.schema), "found")
+    tables.drop(keyed, blocks)
+    return found
