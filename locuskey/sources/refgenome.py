@@ -217,6 +217,22 @@ def with_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column
     return joined.withColumn(into, F.when(F.length(text) == n, text)).drop("_first", "_last", "_chunk", "_ref_contig", "_ref_chunk", "_ref_start", "_ref_seq")
 
 
+def with_whole_bases(rows: DataFrame, sequences: DataFrame, contig: str, first: Column, last: Column, into: str = "bases") -> DataFrame:
+    """``with_bases`` for spans of any length, from a table of whole sequences (contig, seq): one join, no chunks.
+
+    A row meets its contig's whole sequence, so this is for sequences of up to some megabytes. Bases come in upper case.
+    """
+    spot = rows.withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long"))
+    whole = sequences.select(F.col("contig").cast("string").alias("_ref_contig"), F.col("seq").alias("_ref_seq")).withColumn("_ref_length", F.length("_ref_seq"))
+    joined = spot.join(whole, F.col(contig) == F.col("_ref_contig"), "left")
+    first, n = F.col("_first").cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int")
+    there = (F.col("_first") >= 1) & (F.col("_first") <= F.col("_last")) & (F.col("_last") <= F.col("_ref_length"))
+    # In bytes, where each is a letter, a piece is found without counting the letters before it.
+    plain = F.octet_length("_ref_seq") == F.col("_ref_length")
+    text = F.when(plain, F.substring(F.col("_ref_seq").cast("binary"), first, n).cast("string")).otherwise(F.substring(F.col("_ref_seq"), first, n))
+    return joined.withColumn(into, F.when(there, F.upper(text))).drop("_first", "_last", "_ref_contig", "_ref_seq", "_ref_length")
+
+
 def with_long_bases(rows: DataFrame, reference: DataFrame, contig: str, first: Column, last: Column, into: str = "bases", chunk: int = CHUNK) -> DataFrame:
     """``with_bases`` for spans of any length.
 
